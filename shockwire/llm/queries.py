@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shockwire.llm import mixing
+from shockwire.llm import bpe, mixing, prefix_counts
 from shockwire.llm.common import table
 
 
+#: Tokens that a document of op3 may have.
+TOKEN_LIMIT = 4096
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_mixing": op5_mixing}
+    return {"op3_token_counts": op3_token_counts, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
