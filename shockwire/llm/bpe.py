@@ -26,7 +26,6 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +115,7 @@ def _split(words: bool, max_words: int):
     """Over the rows of a split, in order: the words of each block (kind 0), or the documents as numbers (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen, count = TaskContext.get().partitionId() << 24, Numbered(), 0
+        block, seen, count = None, Numbered(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys = list(seen)
@@ -125,6 +124,8 @@ def _split(words: bool, max_words: int):
                 yield _rows([block] * len(part), 0, list(range(at, at + len(part))), [None] * len(part), [None] * len(part), part)
 
         for batch in batches:
+            if block is None and batch.num_rows:
+                block = batch.column(2)[0].as_py() << 24
             for at in range(0, batch.num_rows, 256):
                 ids, texts = (batch.slice(at, 256).column(k).to_pylist() for k in (0, 1))
                 out: tuple[list, list, list, list, list] = ([], [], [], [], [])
@@ -212,7 +213,7 @@ def encode(docs: DataFrame, ranks: str | None = None, max_words: int = MAX_WORDS
     path = ranks or public_tokenizers.path(RANKS)
     if max_words > 1 << 20:
         raise ValueError("max_words: 2**20 at most, so that numbers fit three bytes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.spark_partition_id().alias("split"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = texts.mapInArrow(_split(True, max_words), _SCHEMA).select("block", "n", "data")
     encoded = words.repartition(parts, "data").sortWithinPartitions("data").mapInArrow(_encode_words(path), _SCHEMA)
