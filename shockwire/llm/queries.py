@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm import bpe, mixing, prefix_counts
+from shockwire.llm import bpe, mixing, prefix_counts, quality
 from shockwire.llm.common import table
 
 
@@ -20,6 +20,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+#: Score from which op4 predicts label 1.
+QUALITY_THRESHOLD = 0.7
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,7 +39,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe}
+    return {"op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
