@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm import bpe, mixing, prefix_counts, quality
+from shockwire.llm import bpe, html_text, mixing, prefix_counts, quality
 from shockwire.llm.common import table
 
 
@@ -38,8 +38,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe}
+    return {"op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe, "op9_html_text": op9_html_text}
 
 
 def oracle_sql() -> dict[str, str]:
