@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm import bpe, html_text, mixing, prefix_counts, quality
+from shockwire.llm import bpe, html_text, mixing, prefix_counts, quality, warc
 from shockwire.llm.common import table
 
 
@@ -42,9 +42,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe, "op9_html_text": op9_html_text}
+    return {"op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle_sql()}
+    return {"op5_mixing": mixing.oracle_sql(), "op10_warc": warc.ORACLE}
