@@ -2,13 +2,13 @@
 
 1. Pre-tokens are taken in place: the documents of an input split form blocks, each with a dictionary of its distinct
    words, and a document becomes the positions' dictionary numbers (one to three bytes a word).
-2. The blocks' distinct words are dealt by word and sorted, so that each distinct word of the corpus stands together
-   and is encoded once. A word has one row a block, not one an occurrence: a word that makes up a third of the corpus
-   deals like any other.
+2. The blocks' distinct words are dealt by a hash of the word, packed: one row a block and bucket. All rows of a bucket
+   meet in one task, which encodes each distinct word of the corpus once (its cache starts anew beyond CACHE words). A
+   word stands once a block, not once an occurrence, so a word that makes up a third of the corpus deals like any other.
 3. The ids go back to their blocks, where documents are put together by position.
 
 Memory follows a block: MAX_WORDS distinct words. The two passes over a split number its words alike, because a file
-split is read in one order; each document carries its CRC-32, and a document whose bytes do not come back raises.
+split is read in one order; each document carries its length in bytes, and one that comes back unlike it raises.
 
 Defined results: a null text is empty and has no ids; an empty table gives no rows; rows that repeat a doc_id, and null
 doc_ids, are encoded row by row; further columns of docs are not read. Special-token strings are ordinary text.
@@ -34,6 +34,8 @@ from shockwire.llm.common import text_of
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct words of a block.
 MAX_WORDS = 250_000
+#: Words whose ids a task keeps.
+CACHE = 1_000_000
 #: White space as the library's engine has it (Unicode's White_Space; Python's \s also has \x1c-\x1f).
 _WS = r"\t-\r \x85\xa0  -     　"
 _ANY = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]"))
@@ -101,27 +103,45 @@ def unpack(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << shift, start)
 
 
-_SCHEMA = "block long, kind int, n long, doc_id long, crc long, data binary"
+_SCHEMA = "block long, kind int, n long, doc_id long, size long, data binary"
 
 
-def _rows(block: list, kind: int, n: list, doc_id: list, crc: list, data: list) -> pa.RecordBatch:
+def _rows(block: list, kind: int, n: list, doc_id: list, size: list, data: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(block, pa.int64()), pa.array([kind] * len(block), pa.int32()), pa.array(n, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(crc, pa.int64()), pa.array(data, pa.binary())],
-        names=["block", "kind", "n", "doc_id", "crc", "data"],
+        [pa.array(block, pa.int64()), pa.array([kind] * len(block), pa.int32()), pa.array(n, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())],
+        names=["block", "kind", "n", "doc_id", "size", "data"],
     )
 
 
-def _split(words: bool, max_words: int):
-    """Over the rows of a split, in order: the words of each block (kind 0), or the documents as numbers (kind 1)."""
+def pack_lists(numbers: np.ndarray, items: list[bytes]) -> bytes:
+    """Ascending numbers and an item for each, compressed."""
+    parts = [pack(np.diff(numbers, prepend=0)), pack(np.fromiter(map(len, items), np.int64, len(items)))]
+    return zlib.compress(b"".join((len(p).to_bytes(4, "little") + p for p in parts)) + b"".join(items), 3)
+
+
+def unpack_lists(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    data, parts = zlib.decompress(data), []
+    for _ in range(2):
+        end = 4 + int.from_bytes(data[:4], "little")
+        parts.append(unpack(data[4:end]))
+        data = data[end:]
+    ends = np.cumsum(parts[1]).tolist()
+    return np.cumsum(parts[0]), [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _split(buckets: int | None, max_words: int):
+    """Over the rows of a split, in order: with buckets, the words of each block by bucket (kind 0), else the documents as
+    numbers (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seen, count = None, Numbered(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = list(seen)
-            for at in range(0, len(keys), 20_000):
-                part = [w.encode() for w in keys[at : at + 20_000]]
-                yield _rows([block] * len(part), 0, list(range(at, at + len(part))), [None] * len(part), [None] * len(part), part)
+            words = list(map(str.encode, seen))
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                yield _rows([block], 0, [int(bucket[some[0]])], [None], [None], [pack_lists(some, [words[k] for k in some.tolist()])])
 
         for batch in batches:
             if block is None and batch.num_rows:
@@ -132,41 +152,51 @@ def _split(words: bool, max_words: int):
                 for doc_id, text in zip(ids, texts, strict=True):
                     found = pretokens(text)
                     codes = np.fromiter(map(seen.__getitem__, found), np.int64, len(found))
-                    if not words:
-                        for column, value in zip(out, (block, count, doc_id, zlib.crc32(text.encode()), pack(codes)), strict=True):
+                    if not buckets:
+                        for column, value in zip(out, (block, count, doc_id, len(text.encode()), pack(codes)), strict=True):
                             column.append(value)
                     count += 1
                     if len(seen) >= max_words:
-                        if words:
+                        if buckets:
                             yield from flush()
                         seen.clear()
                         block += 1
-                if not words:
+                if not buckets:
                     yield _rows(out[0], 1, *out[1:])
-        if words:
+        if buckets and seen:
             yield from flush()
 
     return run
 
 
+class _Encoder(dict):
+    """A word's ids as bytes, encoded when first asked for."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        encoding, table = tokenizer(path)
+        self.encode, self.kind = encoding._encode_single_piece, _kind(table)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = np.array(self.encode(word), self.kind).tobytes()
+        return ids
+
+
+def _kind(table: list[bytes]) -> type:
+    return np.uint16 if len(table) <= 1 << 16 else np.uint32
+
+
 def _encode_words(path: str):
-    """Words sorted: encodes each distinct one once, whatever the number of blocks that hold it."""
+    """The words of a bucket's blocks to their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table = tokenizer(path)[0]._encode_single_piece, tokenizer(path)[1]
-        kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
-        last, ids = None, b""
+        known = _Encoder(path)
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode(word), kind).tobytes()
-                out.append(ids)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([0] * n, pa.int32()), batch.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(out, pa.binary())],
-                names=["block", "kind", "n", "doc_id", "crc", "data"],
-            )
+            for block, n, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 5)), strict=True):
+                numbers, words = unpack_lists(data)
+                if len(known) > CACHE:
+                    known.clear()
+                yield _rows([block], 0, [n], [None], [None], [pack_lists(numbers, list(map(known.__getitem__, words)))])
 
     return run
 
@@ -176,25 +206,27 @@ def _reassemble(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokenizer(path)[1]
-        kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
-        block, word_ids = None, []
+        kind, sizes = _kind(table), np.fromiter(map(len, table), np.int64, len(table))
+        block, word_ids = None, {}
         for batch in batches:
-            blocks, kinds, ids, crcs, data = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
-            doc_ids, rows = [], []
-            for b, k, doc_id, crc, x in zip(blocks, kinds, ids, crcs, data, strict=True):
+            blocks, kinds, ids, lengths, data = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            doc_ids, rows, held = [], [], 0
+            for b, k, doc_id, size, x in zip(blocks, kinds, ids, lengths, data, strict=True):
                 if b != block:
-                    block, word_ids = b, []
+                    block, word_ids = b, {}
                 if k == 0:
-                    word_ids.append(x)
+                    numbers, items = unpack_lists(x)
+                    word_ids.update(zip(numbers.tolist(), items, strict=True))
                     continue
                 tokens = np.frombuffer(b"".join(map(word_ids.__getitem__, unpack(x).tolist())), kind)
-                if zlib.crc32(b"".join(map(table.__getitem__, tokens.tolist()))) != crc:
+                if sizes[tokens].sum() != size:
                     raise ValueError(f"document {doc_id} does not come back from its words: its split was not read twice alike")
                 doc_ids.append(doc_id)
                 rows.append(tokens)
-                if sum(map(len, rows)) > 1 << 20:
+                held += len(tokens)
+                if held > 1 << 20:
                     yield _ids(doc_ids, rows)
-                    doc_ids, rows = [], []
+                    doc_ids, rows, held = [], [], 0
             if rows:
                 yield _ids(doc_ids, rows)
 
@@ -215,9 +247,9 @@ def encode(docs: DataFrame, ranks: str | None = None, max_words: int = MAX_WORDS
         raise ValueError("max_words: 2**20 at most, so that numbers fit three bytes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.spark_partition_id().alias("split"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.mapInArrow(_split(True, max_words), _SCHEMA).select("block", "n", "data")
-    encoded = words.repartition(parts, "data").sortWithinPartitions("data").mapInArrow(_encode_words(path), _SCHEMA)
-    numbers = texts.mapInArrow(_split(False, max_words), _SCHEMA)
+    words = texts.mapInArrow(_split(parts, max_words), _SCHEMA).repartition(parts, "n")
+    encoded = words.mapInArrow(_encode_words(path), _SCHEMA)
+    numbers = texts.mapInArrow(_split(None, max_words), _SCHEMA)
     return encoded.unionByName(numbers).repartition(parts, "block").sortWithinPartitions("block", "kind", "n").mapInArrow(_reassemble(path), "doc_id long, ids array<int>")
 
 
