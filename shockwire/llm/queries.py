@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm import bpe, html_text, mixing, prefix_counts, quality, warc
+from shockwire.llm import bpe, html_text, mixing, neardup, prefix_counts, quality, warc
 from shockwire.llm.common import table
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Tokens that a document of op3 may have.
 TOKEN_LIMIT = 4096
 
@@ -47,8 +51,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
+    return {"op2_neardup": op2_neardup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle_sql(), "op10_warc": warc.ORACLE}
+    return {"op2_neardup": neardup.ORACLE, "op5_mixing": mixing.oracle_sql(), "op10_warc": warc.ORACLE}
