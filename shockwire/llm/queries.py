@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm import bpe, fingerprints, html_text, mixing, neardup, prefix_counts, quality, warc
+from shockwire.llm import bpe, fingerprints, html_text, mixing, neardup, pii, prefix_counts, quality, warc
 from shockwire.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_neardup": op2_neardup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op7_bpe": op7_bpe, "op8_fingerprints": op8_fingerprints, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
+    return {"op2_neardup": op2_neardup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_fingerprints": op8_fingerprints, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
