@@ -273,6 +273,7 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, *also: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns named, of what decode() gives."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("bytes"), 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("bytes"), 256).alias("decoded_sha256"), *also)
