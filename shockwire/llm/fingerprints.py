@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame expressions alone.
 
 A document is a weighted set: its words with their counts. For sample k a term with weight w draws, from hashes of the term
-and k alone, r and c ~ Gamma(2, 1) (by interpolated quantiles) and b ~ U(0, 1), and takes
+and k alone, r and c ~ Gamma(2, 1) (by tabled quantiles) and b ~ U(0, 1), and takes
 t = floor(ln(w) / r + b), ln(a) = ln(c) - r (t - b + 1). The sample is the term with the smallest a, at its t. Two documents
 draw the same sample with a probability of their generalised Jaccard similarity, sum min(w) / sum max(w). As a is a function
 of term and t, the smallest a itself stands for the sample; 16 bits of its hash are kept, SAMPLES of them a fingerprint.
@@ -29,15 +29,17 @@ from shockwire.llm.common import cut, text_of
 SAMPLES = 32
 #: Code points of texts that a task of the counting stage should hold.
 TASK_CHARS = 4_000_000
-#: Cells of the tables of quantiles of Gamma(2, 1).
-CELLS = 512
+#: Samples that one row of the sampling stage makes; more would make the code that Spark generates for it too long.
+LANE = 8
+#: log2 of the entries of the tables of quantiles of Gamma(2, 1).
+CELL_BITS = 12
 
 
 def _quantiles() -> list[float]:
-    """Quantiles of Gamma(2, 1) at (i + 1/2) / (CELLS + 1), i = 0 .. CELLS, by Newton's method."""
+    """Quantiles of Gamma(2, 1) at (i + 1/2) / 2**CELL_BITS, by Newton's method."""
     out, x = [], 0.01
-    for i in range(CELLS + 1):
-        p = (i + 0.5) / (CELLS + 1)
+    for i in range(1 << CELL_BITS):
+        p = (i + 0.5) / (1 << CELL_BITS)
         for _ in range(60):
             x = max(1e-9, x - (1 - math.exp(-x) * (1 + x) - p) / (x * math.exp(-x)))
         out.append(x)
@@ -53,26 +55,21 @@ _GAMMA = _quantiles()
 _LOG_GAMMA = [math.log(x) for x in _GAMMA]
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """ln(a) of sample k for a term's hash and the log of its weight. Draws are interpolated quantiles, by bits of a hash."""
-    h = F.xxhash64(term, F.lit(k))
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
+    """ln(a) of sample k for a term's hash and the log of its weight. r, c and b come from separate bits of one hash."""
+    h = F.xxhash64(term, k)
     bits = lambda shift, n: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-
-    def draw(values: list[float], shift: int) -> Column:
-        cell, share = bits(shift, 9), bits(shift + 9, 12) / F.lit(4096.0)
-        below = F.get(_table(values), cell)
-        return below + share * F.get(_table([b - a for a, b in zip(values, values[1:], strict=False)]), cell)
-
-    r, log_c = draw(_GAMMA, 0), draw(_LOG_GAMMA, 21)
-    b = bits(42, 22) / F.lit(float(1 << 22))
+    r, log_c = (F.get(_table(values), bits(shift, CELL_BITS)) for values, shift in ((_GAMMA, 0), (_LOG_GAMMA, CELL_BITS)))
+    b = bits(2 * CELL_BITS, 30) / F.lit(float(1 << 30))
     return log_c - r * (F.floor(log_weight / r + b) - b + 1)
 
 
 def fingerprint_words(words: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
-    """by and `marks` (array of ints below 2**16) from rows (by, word)."""
+    """by, lane and `marks` (LANE ints below 2**16) from rows (by, word): samples / LANE lanes for each by."""
     terms = words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("w")).select(*by, F.xxhash64("word").alias("term"), F.log(F.col("w").cast("double")).alias("lw"))
-    least = terms.groupBy(*by).agg(*[F.min(sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)])
-    return least.select(*by, F.array(*[F.hash(f"s{k}").bitwiseAND(F.lit(65535)) for k in range(samples)]).alias("marks"))
+    lanes = terms.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(samples // LANE - 1))))
+    least = lanes.groupBy(*by, "lane").agg(*[F.min(sample(F.col("term"), F.col("lw"), F.col("lane") * LANE + k)).alias(f"s{k}") for k in range(LANE)])
+    return least.select(*by, "lane", F.array(*[F.hash(f"s{k}").bitwiseAND(F.lit(65535)) for k in range(LANE)]).alias("marks"))
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -135,6 +132,7 @@ def _marks(texts: DataFrame, samples: int) -> DataFrame:
     rows = numbered.select("doc_id", "row", F.explode(bodies).alias("x")).select("doc_id", "row", "x.part", "x.facts", "x.body")
     terms = rows.select("doc_id", "row", "part", "facts", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))).alias("word"))
     marks = fingerprint_words(terms, ["doc_id", "row", "part", "facts"], samples)
-    both = marks.groupBy("doc_id", "row").agg(F.max("facts").alias("facts"), F.max(F.when(F.col("part") == 0, F.col("marks"))).alias("marks"), F.max(F.when(F.col("part") == 1, F.col("marks"))).alias("edited_marks"))
+    of = lambda part: F.concat(*[F.max(F.when((F.col("part") == part) & (F.col("lane") == lane), F.col("marks"))) for lane in range(samples // LANE)])
+    both = marks.groupBy("doc_id", "row").agg(F.max("facts").alias("facts"), of(0).alias("marks"), of(1).alias("edited_marks"))
     number = lambda at: F.conv(F.hex(F.substring("facts", at, 8)), 16, -10).cast("long")
     return both.select("doc_id", number(1).alias("h"), number(9).alias("n_chars"), F.lower(F.hex(F.substring("facts", 17, 32))).alias("edited_sha256"), "marks", "edited_marks")
