@@ -30,7 +30,7 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -48,7 +48,7 @@ WIDTH, ERRORS, CHUNKS = 5, 1, 14
 SYMBOLS = WIDTH * CHUNKS
 #: 64-bit words of the map of a leader's shingles.
 MAP = 8
-#: Words of a worker's cache.
+#: Words of a task's cache.
 CACHE = 400_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -63,9 +63,6 @@ class _Words(dict):
         return n
 
 
-_words = _Words()
-
-
 def finish(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix in which every bit depends on every bit."""
     x = (x ^ (x >> np.uint64(32))) * _MIX[3]
@@ -73,14 +70,14 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, words: _Words) -> np.ndarray:
     """The 64-bit hashes of a text's distinct shingles, ascending. A-Z is lowered, words end at ASCII white space; a text
-    of fewer words has one shingle, of all of them."""
-    if len(_words) > CACHE:
-        _words.clear()
+    of fewer words has one shingle, of all of them. words: the task's cache."""
+    if len(words) > CACHE:
+        words.clear()
     found = text.encode().lower().split()  # on bytes, lower() is A-Z and split() is at \x20 and \x09-\x0D
     n = len(found)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, n)
+    h = np.fromiter(map(words.__getitem__, found), np.uint64, n)
     if not n:
         return h
     width = min(n, SHINGLE)
@@ -119,10 +116,10 @@ def _long(x: np.ndarray) -> pa.Array:
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), hi, lo (128 bits of the set) and keys of every row of docs (doc_id, text)."""
 
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def f(batch: pa.RecordBatch, words: _Words) -> pa.RecordBatch:
         n, hi, lo, key, ends = [], [], [], [], [0]
         for text in batch.column(1).to_pylist():
-            s = shingles(text)
+            s = shingles(text, words)
             n.append(len(s))
             hi.append(finish(s ^ _MIX[1]).sum(dtype=np.uint64) if len(s) else np.uint64(0))
             lo.append(finish(s ^ _MIX[2]).sum(dtype=np.uint64) if len(s) else np.uint64(0))
@@ -132,19 +129,19 @@ def profiles(docs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(np.concatenate(key) if key else np.zeros(0, np.uint64)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _long(np.array(hi, np.uint64)), _long(np.array(lo, np.uint64)), lists], names=["doc_id", "n", "hi", "lo", "keys"])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")), lambda: f, "doc_id long, n long, hi long, lo long, keys array<long>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")), lambda: partial(f, words=_Words()), "doc_id long, n long, hi long, lo long, keys array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n and the set (array of long, ascending as unsigned) of docs (doc_id, text)."""
 
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t) for t in batch.column(1).to_pylist()]
+    def f(batch: pa.RecordBatch, words: _Words) -> pa.RecordBatch:
+        found = [shingles(t, words) for t in batch.column(1).to_pylist()]
         ends = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), _long(np.concatenate(found) if found else np.zeros(0, np.uint64)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), lists], names=["id", "n", "set"])
 
-    return map_rows(docs.select(F.col("doc_id").alias("id"), text_of("text").alias("text")), lambda: f, "id long, n long, set array<long>")
+    return map_rows(docs.select(F.col("doc_id").alias("id"), text_of("text").alias("text")), lambda: partial(f, words=_Words()), "id long, n long, set array<long>")
 
 
 def compare(pairs: DataFrame, known: DataFrame) -> DataFrame:

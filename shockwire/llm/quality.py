@@ -33,7 +33,7 @@ MAX_ROWS = 6000
 EPOCHS = 4
 #: Learning rate, its offset, L1 and L2 of the updates.
 ALPHA, BETA, L1, L2 = 0.6, 0.1, 0.002, 0.01
-#: Words kept in a worker's cache.
+#: Words kept in a task's cache.
 CACHE = 400_000
 
 _LOWER, _UPPER, _DIGITS = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -57,15 +57,12 @@ class _Words(dict):
         return n
 
 
-_words = _Words()
-
-
-def features(text: str) -> list[np.ndarray]:
-    """For each kind of n-gram, the weights' numbers of the text's n-grams."""
+def features(text: str, words: _Words) -> list[np.ndarray]:
+    """For each kind of n-gram, the weights' numbers of the text's n-grams. words: the task's cache."""
     found = WORD_RE.findall(text)
-    if len(_words) > CACHE:
-        _words.clear()
-    both = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    if len(words) > CACHE:
+        words.clear()
+    both = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
     word, form = both >> np.uint64(20), both & np.uint64(0xFFFFF)
     form[1:] += (both[1:] == both[:-1]).astype(np.uint64) << np.uint64(20)
     kinds = [word, word[:-1] * _M2 + word[1:], form * _M3 + np.uint64(1), form[:-1] * _M2 + form[1:] * _M3, (form[:-2] * _M2 + form[1:-1]) * _M2 + form[2:] * _M3]
@@ -80,10 +77,10 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray
     """Weights and bias after FTRL-proximal updates over the rows (text, label), in order."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    sparse = []
+    sparse, words = [], _Words()
     for text, label in rows:
         at, share = [np.array([size])], [np.ones(1)]
-        for k in features(text):
+        for k in features(text, words):
             index, count = np.unique(k, return_counts=True)
             at.append(index)
             share.append(count / len(k))
@@ -131,10 +128,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     names = docs.columns
 
     def make():
-        w, bias = np.frombuffer(shared.value[0], np.float32), shared.value[1]
+        w, bias, words = np.frombuffer(shared.value[0], np.float32), shared.value[1], _Words()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [logistic(bias + sum(float(w[k].mean(dtype=np.float64)) for k in features(t))) for t in batch.column(0).to_pylist()]
+            scores = [logistic(bias + sum(float(w[k].mean(dtype=np.float64)) for k in features(t, words))) for t in batch.column(0).to_pylist()]
             return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*names, "score"])
 
         return f
