@@ -1,3 +1,4 @@
 """Imports the modules that register queries."""
 
 from shockwire.plans import catalog_events, catalog_text  # noqa: F401
+from shockwire.plans import catalog_model  # noqa: F401
