@@ -45,8 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and its byte-level BPE ids, with their number and digests of ids and decoded bytes."""
-    encoded = bpe.encode(docs)
-    return bpe.digests(bpe.decode(encoded), "ids")
+    return bpe.digests(bpe.encode(docs, decoded=True), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

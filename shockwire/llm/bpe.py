@@ -35,7 +35,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct words of a block.
 MAX_WORDS = 250_000
 #: Words whose ids a task keeps.
-CACHE = 1_000_000
+CACHE = 400_000
 #: White space as the library's engine has it (Unicode's White_Space; Python's \s also has \x1c-\x1f).
 _WS = r"\t-\r \x85\xa0  -     　"
 _ANY = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]"))
@@ -201,8 +201,8 @@ def _encode_words(path: str):
     return run
 
 
-def _reassemble(path: str):
-    """Rows sorted by block, words first: each document's ids, by position."""
+def _reassemble(path: str, decoded: bool):
+    """Rows sorted by block, words first: each document's ids, by position, and their bytes if these are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokenizer(path)[1]
@@ -225,22 +225,31 @@ def _reassemble(path: str):
                 rows.append(tokens)
                 held += len(tokens)
                 if held > 1 << 20:
-                    yield _ids(doc_ids, rows)
+                    yield _ids(doc_ids, rows, table if decoded else None)
                     doc_ids, rows, held = [], [], 0
             if rows:
-                yield _ids(doc_ids, rows)
+                yield _ids(doc_ids, rows, table if decoded else None)
 
     return run
 
 
-def _ids(doc_ids: list, rows: list[np.ndarray]) -> pa.RecordBatch:
+def join_bytes(ids: np.ndarray, table: list[bytes]) -> bytes:
+    """Decoding: each id's bytes from the token-byte table, joined."""
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
+def _ids(doc_ids: list, rows: list[np.ndarray], table: list[bytes] | None) -> pa.RecordBatch:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     values = np.concatenate(rows).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "ids"])
+    columns = [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+    if table is not None:
+        columns.append(pa.array([join_bytes(r, table) for r in rows], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "bytes"][: len(columns)])
 
 
-def encode(docs: DataFrame, ranks: str | None = None, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id and ids (array of int) of every row of docs (doc_id, text). docs has to read the same rows in the same
+def encode(docs: DataFrame, ranks: str | None = None, max_words: int = MAX_WORDS, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every row of docs (doc_id, text); with decoded, also what decode() would add, from
+    the ids and in the same task. docs has to read the same rows in the same
     order twice, as tables and files do; a document for which it didn't raises."""
     path = ranks or public_tokenizers.path(RANKS)
     if max_words > 1 << 20:
@@ -250,7 +259,7 @@ def encode(docs: DataFrame, ranks: str | None = None, max_words: int = MAX_WORDS
     words = texts.mapInArrow(_split(parts, max_words), _SCHEMA).repartition(parts, "n")
     encoded = words.mapInArrow(_encode_words(path), _SCHEMA)
     numbers = texts.mapInArrow(_split(None, max_words), _SCHEMA)
-    return encoded.unionByName(numbers).repartition(parts, "block").sortWithinPartitions("block", "kind", "n").mapInArrow(_reassemble(path), "doc_id long, ids array<int>")
+    return encoded.unionByName(numbers).repartition(parts, "block").sortWithinPartitions("block", "kind", "n").mapInArrow(_reassemble(path, decoded), "doc_id long, ids array<int>" + ", bytes binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -265,7 +274,7 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
                 part = batch.slice(k, 256)
                 ids = part.column(at)
                 values, offsets, null = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_null().to_pylist()
-                out = [None if none else b"".join(map(table.__getitem__, values[a:b].tolist())) for a, b, none in zip(offsets[:-1], offsets[1:], null, strict=True)]
+                out = [None if none else join_bytes(values[a:b], table) for a, b, none in zip(offsets[:-1], offsets[1:], null, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "bytes"])
 
     fields = [f for f in encoded.schema.fields]

@@ -49,7 +49,7 @@ SYMBOLS = WIDTH * CHUNKS
 #: 64-bit words of the map of a leader's shingles.
 MAP = 8
 #: Words of a task's cache.
-CACHE = 400_000
+CACHE = 200_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _rng = np.random.default_rng(20_240_501)

@@ -34,7 +34,7 @@ EPOCHS = 4
 #: Learning rate, its offset, L1 and L2 of the updates.
 ALPHA, BETA, L1, L2 = 0.6, 0.1, 0.002, 0.01
 #: Words kept in a task's cache.
-CACHE = 400_000
+CACHE = 200_000
 
 _LOWER, _UPPER, _DIGITS = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

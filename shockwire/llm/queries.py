@@ -43,7 +43,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
