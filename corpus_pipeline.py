@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockwire.llm import bpe, mixing, neardup, pii, quality
-from shockwire.llm.common import cut, table
+from shockwire.llm.common import cut, fresh, table
 from shockwire.llm.queries import QUALITY_THRESHOLD
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier accepts. It learns from the labelled rows among docs."""
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "score")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), score)
+    return scored.where(F.col(score) >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = fresh(docs, "kept_id")
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +37,12 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the source mixture takes its words: whole copies first, then by its share of words left
-    over. A document of which less than half a copy is taken goes."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    copies = taken.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    repeated = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """Each document as often as the source mixture takes its words, in whole copies: taken / size, rounded; a document of
+    which less than half is taken goes."""
+    id_, copies, copy = (fresh(docs, c) for c in ("taken_id", "copies", "copy"))
+    times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    taken = mixing.mix(docs).select(F.col("doc_id").alias(id_), times.alias(copies)).groupBy(id_).agg(F.max(copies).alias(copies)).where(F.col(copies) > 0)
+    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(id_))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return repeated.select(*docs.columns)
 
 

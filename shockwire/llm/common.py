@@ -32,6 +32,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, and all others in one struct `_row`, so that no name can clash with an operator's own."""
+    others = [c for c in df.columns if c not in keep]
+    return df.select(*keep, (F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)).alias("_row"))
+
+
+def unpacked(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    """The columns `names` again, those in `keep` from df and the others from its `_row`."""
+    return df.select(*[F.col(f"`{c}`") if c in keep else F.col("_row").getField(c).alias(c) for c in names])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: a lost executor costs nothing before this point."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shockwire.llm.common import WORD, cut, text_of
+from shockwire.llm.common import WORD, cut, packed, text_of, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
@@ -159,19 +159,18 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, text: str = "text", **parameters) -> DataFrame:
-    """docs with the spans of its text replaced: base spans by their kind, terms by [NUMBER] or [WORD]. Of overlapping
-    spans the first in the text is replaced, and the longest of those that start together."""
-    names = docs.columns
-    found = all_spans(docs, **parameters)
+def sanitise(docs: DataFrame, **parameters) -> DataFrame:
+    """docs (doc_id, text, ...) with the spans of its text replaced: base spans by their kind, terms by [NUMBER] or [WORD].
+    Of overlapping spans the first in the text is replaced, and the longest of those that start together."""
+    found = all_spans(packed(docs, "doc_id", "text"), **parameters)
     labels = F.array(*map(F.lit, LABELS))
-    ordered = F.transform(F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value")))), lambda s: s)
+    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         label = F.when(s["kind"] < 4, F.get(labels, s["kind"])).when(s["value"].rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
-        done = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), label).alias("out"))
+        done = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), label).alias("out"))
         return F.when(s["start"] >= acc["at"], done).otherwise(acc)
 
-    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*names)
+    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length(F.col("text")))))
+    return unpacked(found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))), docs.columns, "doc_id", "text")

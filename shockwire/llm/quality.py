@@ -122,19 +122,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return (np.zeros(1 << BITS, np.float32), 0.0) if got is None else (np.frombuffer(got["w"], np.float32), got["bias"])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with `score` (double, 0 to 1)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """docs with a score (double, 0 to 1) in column `name`, in place of a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1]))
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != name.lower()]
+    rows = docs.select(text_of("text").alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
 
     def make():
         w, bias, words = np.frombuffer(shared.value[0], np.float32), shared.value[1], _Words()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = [logistic(bias + sum(float(w[k].mean(dtype=np.float64)) for k in features(t, words))) for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*names, "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
 
         return f
 
-    schema = type(docs.schema)(list(docs.schema.fields)).add("score", "double")
-    return map_rows(docs.select(text_of("text").alias("_text"), *[F.col(c) for c in names]), make, schema)
+    schema = type(rows.schema)(list(rows.schema.fields)[1:]).add("score", "double")
+    return map_rows(rows, make, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("score").alias(name))
