@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shockwire.config import DEFAULT
 
-#: A price series is one row a trading day and stays small however large the corpus is; windows over all of it are fine.
-ALL = Window.partitionBy(F.lit(0))
+
+def all_rows() -> WindowSpec:
+    """A window over a whole price series: one row a trading day, small however large the corpus is."""
+    return Window.partitionBy(F.lit(0))
 
 
 def returns(prices: DataFrame) -> DataFrame:
     """(date, close, ret), day over day; a missing close is carried forward first."""
-    by_date = ALL.orderBy("date")
+    by_date = all_rows().orderBy("date")
     filled = prices.withColumn("close", F.last("close", ignorenulls=True).over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.lag("close").over(by_date)
     return filled.withColumn("ret", F.when(before != 0, F.col("close") / before - 1))
@@ -39,7 +41,7 @@ def event_table(clustered: DataFrame, prices: DataFrame, within: list[str] | Non
     the last close before it (per cent; null without an earlier close)."""
     keys = [*(within or []), "event_id"]
     spans = clustered.groupBy(*keys).agg(F.min("date").alias("first_shock_date"), F.max("date").alias("last_shock_date"), F.count(F.lit(1)).cast("int").alias("shock_count"))
-    prior = prices.withColumn("prior_close", F.lag("close").over(ALL.orderBy("date"))).select(F.col("date").alias("_first"), "prior_close")
+    prior = prices.withColumn("prior_close", F.lag("close").over(all_rows().orderBy("date"))).select(F.col("date").alias("_first"), "prior_close")
     lows = prices.select(F.col("date").alias("_day"), "close")
     days = spans.select(*keys, F.explode(F.sequence("first_shock_date", "last_shock_date")).alias("_day"))
     low = days.join(lows, "_day").groupBy(*keys).agg(F.min("close").alias("low"))
@@ -72,10 +74,8 @@ def control_candidates(prices: DataFrame, events: DataFrame, days: int = DEFAULT
 
 def control_dates(prices: DataFrame, events: DataFrame, days: int = DEFAULT.control_exclusion_days, ratio: int = DEFAULT.control_ratio, seed: str = DEFAULT.seed) -> DataFrame:
     """`ratio` candidates an event, by the order of a seeded hash (all where there are too few), numbered by date."""
-    wanted = events.agg((F.count(F.lit(1)) * ratio).alias("wanted"))
-    order = ALL.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("date").cast("string"))))
-    picked = control_candidates(prices, events, days).withColumn("_n", F.row_number().over(order)).join(wanted, F.col("_n") <= F.col("wanted"))
-    return picked.select(F.row_number().over(ALL.orderBy("date")).alias("control_id"), "date")
+    picked = control_candidates(prices, events, days).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("date").cast("string")))).limit(events.count() * ratio)
+    return picked.select(F.row_number().over(all_rows().orderBy("date")).alias("control_id"), "date")
 
 
 def reference_dates(events: DataFrame, controls: DataFrame) -> DataFrame:

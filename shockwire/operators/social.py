@@ -6,15 +6,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from shockwire.config import DEFAULT
 from shockwire.functions.adf import adf_pvalue
 from shockwire.functions.special import f_tail, student_two_sided, t_two_sided
 
-#: Monthly series are a few hundred rows; windows over all of them are fine.
-BY_MONTH = Window.partitionBy(F.lit(0)).orderBy("year_month")
+def by_month() -> WindowSpec:
+    """A window over a whole monthly series: a few hundred rows."""
+    return Window.partitionBy(F.lit(0)).orderBy("year_month")
 
 
 def monthly(scores: DataFrame, threshold: float = DEFAULT.warning_threshold) -> DataFrame:
@@ -38,8 +39,8 @@ def parse_statistics(raw: DataFrame) -> DataFrame:
 
 def rolling_correlation(merged: DataFrame, x: str, y: str, window: int = DEFAULT.rolling_window, lag: int = 0) -> DataFrame:
     """Pearson r of the last `window` months, y moved back by lag rows; months before a full window go."""
-    common = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_y", F.lead(y, lag).over(BY_MONTH) if lag else F.col(y)).where("_y is not null")
-    w = BY_MONTH.rowsBetween(-(window - 1), 0)
+    common = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_y", F.lead(y, lag).over(by_month()) if lag else F.col(y)).where("_y is not null")
+    w = by_month().rowsBetween(-(window - 1), 0)
     out = common.withColumn("rolling_corr", F.when((F.count("_y").over(w) == window) & (F.stddev_pop(x).over(w) > 0) & (F.stddev_pop("_y").over(w) > 0), F.corr(x, "_y").over(w)))
     return out.where(F.col("rolling_corr").isNotNull()).select("year_month", F.round("rolling_corr", 4).alias("rolling_corr"))
 
@@ -52,7 +53,7 @@ def rolling_summary(rolling: DataFrame) -> DataFrame:
 
 def lagged(merged: DataFrame, x: str, y: str, max_lag: int = DEFAULT.max_lag) -> DataFrame:
     """R and n of x with y `lag` rows later, among months that have both; a lag needs n - 5 rows to move over."""
-    common = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.row_number().over(BY_MONTH).alias("rn"), F.col(x).alias("x"), F.col(y).alias("y"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n"))
+    common = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.row_number().over(by_month()).alias("rn"), F.col(x).alias("x"), F.col(y).alias("y"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n"))
     left = common.where("n >= 10").withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).where("lag < n - 5").select("lag", "x", (F.col("rn") + F.col("lag")).alias("at"))
     pairs = left.join(common.select(F.col("rn").alias("at"), "y"), "at")
     flat = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
@@ -77,10 +78,10 @@ def best_lag(correlations: DataFrame, *keys: str) -> DataFrame:
 
 def lag_features(merged: DataFrame, lags: dict[str, int]) -> DataFrame:
     """For each column its value `lag` rows before, and changes on 1 and 12 rows in per cent."""
-    change = lambda c, k: F.try_divide(F.col(c) - F.lag(c, k).over(BY_MONTH), F.lag(c, k).over(BY_MONTH)) * 100
+    change = lambda c, k: F.try_divide(F.col(c) - F.lag(c, k).over(by_month()), F.lag(c, k).over(by_month())) * 100
     out = {}
     for c, k in lags.items():
-        out |= {f"{c}_lag": F.lag(c, k).over(BY_MONTH) if k else F.col(c), f"{c}_mom": change(c, 1), f"{c}_yoy": change(c, 12)}
+        out |= {f"{c}_lag": F.lag(c, k).over(by_month()) if k else F.col(c), f"{c}_mom": change(c, 1), f"{c}_yoy": change(c, 12)}
     return merged.withColumns(out)
 
 
@@ -162,7 +163,7 @@ def granger(merged: DataFrame, metrics: list[str], indicators: list[str], max_la
 def crisis_means(merged: DataFrame, crises: DataFrame, y: str, lag: int = 0) -> DataFrame:
     """For each crisis (name, year_month): mean of y over the 6 rows before it, over rows lag .. lag + 6 after, and over
     the row itself and its neighbours."""
-    numbered = merged.select("year_month", F.col(y).alias("y"), F.row_number().over(BY_MONTH).alias("rn"))
+    numbered = merged.select("year_month", F.col(y).alias("y"), F.row_number().over(by_month()).alias("rn"))
     at = crises.join(numbered.select("year_month", F.col("rn").alias("at")), "year_month")
     near = at.withColumn("rn", F.explode(F.sequence(F.col("at") - 6, F.col("at") + max(6 + lag, 1)))).join(numbered.select("rn", "y"), "rn")
     d = F.col("rn") - F.col("at")

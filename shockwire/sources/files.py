@@ -49,7 +49,7 @@ def read_csv_any(spark: SparkSession, path: str, columns: list[str]) -> DataFram
             for name, data in zip(frame["path"], frame["content"], strict=True):
                 text = decode(bytes(data))
                 if text is not None and text.strip():
-                    yield pd.read_csv(io.StringIO(text), dtype=str).reindex(columns=columns).assign(file=name.rsplit("/", 1)[-1])
+                    yield _plain(pd.read_csv(io.StringIO(text), dtype=str).reindex(columns=columns).assign(file=name.rsplit("/", 1)[-1]))
 
     return _binary(spark, path, "*.csv").mapInPandas(run, ", ".join(f"`{c}` string" for c in [*columns, "file"]))
 
@@ -68,11 +68,17 @@ def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                 if rows:
                     width = len(rows[0])
                     body = [(r + [None] * width)[:width] for r in rows[1:]]
-                    yield pd.DataFrame(body, columns=rows[0], dtype=object).reindex(columns=columns).assign(file=name.rsplit("/", 1)[-1])
+                    yield _plain(pd.DataFrame(body, columns=rows[0], dtype=object).reindex(columns=columns).assign(file=name.rsplit("/", 1)[-1]))
 
     return _binary(spark, path, "*.xlsx").mapInPandas(run, ", ".join(f"`{c}` string" for c in [*columns, "file"]))
 
 
+def _plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """Columns as Python objects, missing values as None."""
+    frame = frame.astype(object)
+    return frame.where(frame.notna(), None)
+
+
 def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 

@@ -36,10 +36,11 @@ def trailing_counts(stream: DataFrame, days: int, late: str = "2 days") -> DataF
 
 
 def shock_sessions(shocks: DataFrame, gap_days: int, late: str = "10 days") -> DataFrame:
-    """(first_shock_date, last_shock_date, shock_count) of shock days (ts); a gap of exactly gap_days still joins."""
+    """(series, first_shock_date, last_shock_date, shock_count) of shock days (series, ts); a gap of exactly gap_days still
+    joins. Session windows on a stream need a key, so each price series has its name."""
     s = F.session_window("ts", f"{gap_days} days")
-    found = shocks.withWatermark("ts", late).groupBy(s).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("shock_count"))
-    return found.select(F.to_date("a").alias("first_shock_date"), F.to_date("b").alias("last_shock_date"), "shock_count")
+    found = shocks.withWatermark("ts", late).groupBy("series", s).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("shock_count"))
+    return found.select("series", F.to_date("a").alias("first_shock_date"), F.to_date("b").alias("last_shock_date"), "shock_count")
 
 
 def warning_streaks(scores: DataFrame, threshold: float) -> DataFrame:
