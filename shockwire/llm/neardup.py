@@ -225,12 +225,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = compare(rest, known).where(_similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b")
     names = components(links.unionByName(more))
-    # back to documents, through their classes
-    groups = classes.select("hi", "lo", "id").join(names, "id").select("hi", "lo", "label")
-    out = profile.select("doc_id", "n", "hi", "lo").join(groups, ["hi", "lo"], "left")
-    label = F.coalesce("label", F.when(F.col("n") > 0, F.col("least")), F.col("doc_id"))
-    least = classes.select("hi", "lo", F.col("id").alias("least"))
-    out = out.join(least, ["hi", "lo"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), label))
+    # back to documents, through their classes; written, so that Spark can split the join where a class has many copies
+    labels = cut(classes.select("hi", "lo", "id").join(names, "id", "left").select("hi", "lo", F.coalesce("label", "id").alias("label")))
+    out = profile.select("doc_id", "n", "hi", "lo").join(labels, ["hi", "lo"], "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
