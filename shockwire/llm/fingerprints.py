@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from shockwire.llm.common import cut, text_of
 
-SAMPLES = 32
+SAMPLES = 64
 #: Code points of texts that a task of the counting stage should hold.
 TASK_CHARS = 4_000_000
 #: Samples that one row of the sampling stage makes; more would make the code that Spark generates for it too long.
 LANE = 8
 #: log2 of the entries of the tables of quantiles of Gamma(2, 1).
-CELL_BITS = 12
+CELL_BITS = 10
 
 
 def _quantiles() -> list[float]:
