@@ -5,7 +5,8 @@ are written so that a text is gone over once: a run is entered at its start only
 finds the same matches. A card's pattern takes exactly the maximal runs of 16 to 19 digits.
 
 Information-theoretic sanitisation. The base spans' values are the protected entities. A context is the CONTEXT words on
-either side of an entity within its line; equal contexts of one entity count once, so copies of a document are no evidence.
+either side of an entity within its line; equal and nearly equal contexts of one entity count once (by MinHash marks), so that
+copies of a document are no evidence.
 With N windows in the corpus, a term t that stands in c contexts of an entity e with d contexts, and n times in the corpus,
 has PMI(t; e) = log2(c N / (n d)) and the entity IC(e) = log2(N / d). A term with c >= MIN_CONTEXTS and PMI >= DISCLOSURE *
 IC reveals e: its occurrences in the documents that hold e are spans of kind `term`, which sanitise() generalises (a
@@ -102,6 +103,10 @@ def _core(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
+def _mark(k: int):
+    return lambda w: F.xxhash64(F.lit(k), w)
+
+
 def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame] | None:
     """(doc_id, entity) of the documents' entities, and (entity, term) of the terms that reveal them; None if no term
     has enough contexts, so that nothing is left to count. docs: doc_id, text."""
@@ -113,8 +118,13 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int
     entity = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.kind") + 1), F.lower("s.value"))
     seen = cut(held.select("doc_id", entity.alias("entity"), F.array_distinct(F.transform(near, _core)).alias("near")))
     contexts = seen.select("entity", "near").distinct()
-    known = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= min_contexts)
-    pairs = contexts.select("entity", F.explode("near").alias("term")).where("term != ''").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_contexts)
+    # near copies of a context mostly agree in their smallest word hash: of three such marks the fewest distinct count
+    marks = [F.array_min(F.transform("near", _mark(k))).alias(f"m{k}") for k in range(3)]
+    marked = contexts.select("entity", "near", *marks)
+    unlike = F.least(*[F.count_distinct(f"m{k}") for k in range(3)])
+    known = marked.groupBy("entity").agg(unlike.alias("d")).where(F.col("d") >= min_contexts)
+    terms = marked.select("entity", F.explode("near").alias("term"), "m0", "m1", "m2").where("term != ''")
+    pairs = terms.groupBy("entity", "term").agg(unlike.alias("c")).where(F.col("c") >= min_contexts)
     pairs = cut(pairs.join(known, "entity"))
     if pairs.isEmpty():
         return None
