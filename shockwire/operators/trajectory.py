@@ -132,3 +132,32 @@ def _similar(a: np.ndarray, b: np.ndarray, alpha: float) -> float:
     if len(a) < 2 or np.allclose(a, 0) or np.allclose(b, 0):
         return 0.0
     return float(alpha * (a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)) + (1 - alpha) * (1 - min(np.linalg.norm(a - b) / np.sqrt(len(a)), 1)))
+
+
+def best_normalisation(scores: DataFrame, sizes: range = range(5, 21)) -> DataFrame:
+    """Minmax and global normalisation with their best cluster size by silhouette, the better first."""
+    out = []
+    for how, alpha in (("minmax", 0.7), ("global", 0.5)):
+        tried = search_cluster_sizes(normalise(paths(scores), how), sizes)
+        best = tried.orderBy(F.desc("silhouette"), "size").limit(1)
+        out.append(best.select(F.lit(how).alias("method"), F.lit(alpha).alias("alpha"), "size", "n_clusters", "n_noise", "silhouette"))
+    both = out[0].unionByName(out[1])
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("silhouette"), F.desc("method"))))
+
+
+def separation(event_matches: DataFrame, control_matches: DataFrame) -> DataFrame:
+    """Best similarities of events and of controls, and how many events beat the controls' 95th percentile."""
+    limits = confidence_limits(control_matches)
+    best = lambda df, kind: df.where("rank = 1").select(F.lit(kind).alias("kind"), "similarity")
+    both = best(event_matches, "event").unionByName(best(control_matches, "control")).crossJoin(limits)  # limits: one row
+    above = F.avg(F.when(F.col("similarity") >= F.col("threshold"), 1.0).otherwise(0.0))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean_similarity"), above.alias("share_above"))
+
+
+def time_split(labelled_dates: DataFrame, cutoff: str, min_cluster_size: int, alpha: float = 0.7) -> DataFrame:
+    """Types learnt from paths (id, path, date) up to the cutoff, matched with the later ones; paths without a date are
+    in neither part. No rows where the early part has no cluster."""
+    day = F.lit(cutoff).cast("date")
+    early, late = labelled_dates.where(F.col("date") <= day), labelled_dates.where(F.col("date") > day)
+    types = type_table(cluster(early.select("id", "path"), min_cluster_size).select("id", "path", "label"))
+    return match(late.select("id", "path"), types, alpha).where("rank = 1").drop("rank")
