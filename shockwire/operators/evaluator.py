@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shockwire.functions.aggregates import pearson
+
 
 def daily_rates(counts: DataFrame, articles: DataFrame) -> DataFrame:
     """(date, property_id, rate): per cent of a day's articles with the property, two digits."""
@@ -38,7 +40,7 @@ def pair_correlations(rates: DataFrame, top: int = 30) -> DataFrame:
     """The strongest correlations of two properties' rates over the days; each unordered pair once."""
     rows = dense_rates(rates)
     a, b = rows.select("date", F.col("property_id").alias("a"), F.col("rate").alias("x")), rows.select("date", F.col("property_id").alias("b"), F.col("rate").alias("y"))
-    pairs = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")).alias("r"))
+    pairs = a.join(b, "date").where("a < b").groupBy("a", "b").agg(pearson("x", "y").alias("r"))
     return pairs.where(F.col("r").isNotNull()).withColumn("r", F.round("r", 6)).orderBy(F.desc(F.abs("r")), "a", "b").limit(top)
 
 

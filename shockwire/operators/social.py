@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shockwire.config import DEFAULT
 from shockwire.functions.adf import adf_pvalue
+from shockwire.functions.aggregates import pearson
 from shockwire.functions.special import f_tail, student_two_sided, t_two_sided
 
 def by_month() -> WindowSpec:
@@ -41,7 +42,7 @@ def rolling_correlation(merged: DataFrame, x: str, y: str, window: int = DEFAULT
     """Pearson r of the last `window` months, y moved back by lag rows; months before a full window go."""
     common = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_y", F.lead(y, lag).over(by_month()) if lag else F.col(y)).where("_y is not null")
     w = by_month().rowsBetween(-(window - 1), 0)
-    out = common.withColumn("rolling_corr", F.when((F.count("_y").over(w) == window) & (F.stddev_pop(x).over(w) > 0) & (F.stddev_pop("_y").over(w) > 0), F.corr(x, "_y").over(w)))
+    out = common.withColumn("rolling_corr", F.when(F.count("_y").over(w) == window, pearson(x, "_y", w)))
     return out.where(F.col("rolling_corr").isNotNull()).select("year_month", F.round("rolling_corr", 4).alias("rolling_corr"))
 
 
@@ -56,8 +57,7 @@ def lagged(merged: DataFrame, x: str, y: str, max_lag: int = DEFAULT.max_lag) ->
     common = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.row_number().over(by_month()).alias("rn"), F.col(x).alias("x"), F.col(y).alias("y"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n"))
     left = common.where("n >= 10").withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).where("lag < n - 5").select("lag", "x", (F.col("rn") + F.col("lag")).alias("at"))
     pairs = left.join(common.select(F.col("rn").alias("at"), "y"), "at")
-    flat = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
-    return pairs.groupBy("lag").agg(F.when(flat, F.corr("x", "y")).alias("correlation"), F.count(F.lit(1)).alias("n_obs")).where("n_obs >= 5")
+    return pairs.groupBy("lag").agg(pearson("x", "y").alias("correlation"), F.count(F.lit(1)).alias("n_obs")).where("n_obs >= 5")
 
 
 def cross_correlation(merged: DataFrame, x: str, y: str, max_lag: int = DEFAULT.max_lag, alpha: float = DEFAULT.alpha) -> DataFrame:
@@ -88,8 +88,8 @@ def lag_features(merged: DataFrame, lags: dict[str, int]) -> DataFrame:
 def line(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Slope, intercept, r, r2, n and the standard error of the slope."""
     a, b = F.col(x), F.col(y)
-    base = rows.where(a.isNotNull() & b.isNotNull()).agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.corr(a, b).alias("r"), F.regr_r2(b, a).alias("r2"), F.count(F.lit(1)).alias("n"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"))
-    return base.select("slope", "intercept", "r", "r2", "n", F.sqrt((1 - F.col("r2")) * F.col("syy") / F.col("sxx") / (F.col("n") - 2)).alias("slope_se"))
+    base = rows.where(a.isNotNull() & b.isNotNull()).agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), pearson(x, y).alias("r"), F.regr_r2(b, a).alias("r2"), F.count(F.lit(1)).alias("n"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"))
+    return base.select("slope", "intercept", "r", "r2", "n", F.sqrt(F.try_divide((1 - F.col("r2")) * F.col("syy"), F.col("sxx") * (F.col("n") - 2))).alias("slope_se"))
 
 
 def ols(rows: DataFrame, xs: list[str], y: str) -> DataFrame:
@@ -124,8 +124,7 @@ def sweep(merged: DataFrame, metrics: list[str], indicators: list[str], max_lag:
     rows = long_pairs(merged, metrics, indicators).withColumns({"rn": F.row_number().over(w.orderBy("year_month")), "n": F.count(F.lit(1)).over(w)}).where("n >= 10")
     left = rows.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).where("lag < n - 5").select(*keys, "lag", "x", (F.col("rn") + F.col("lag")).alias("at"))
     pairs = left.join(rows.select(*keys, F.col("rn").alias("at"), "y"), [*keys, "at"])
-    flat = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
-    return pairs.groupBy(*keys, "lag").agg(F.when(flat, F.corr("x", "y")).alias("correlation"), F.count(F.lit(1)).alias("n_obs")).where("n_obs >= 5")
+    return pairs.groupBy(*keys, "lag").agg(pearson("x", "y").alias("correlation"), F.count(F.lit(1)).alias("n_obs")).where("n_obs >= 5")
 
 
 def granger(merged: DataFrame, metrics: list[str], indicators: list[str], max_lag: int = 6, alpha: float = DEFAULT.alpha) -> DataFrame:
