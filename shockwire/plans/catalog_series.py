@@ -108,7 +108,7 @@ def _(spark, d):
 
 
 JOINED = f"{s.PRICES}, {s.SCORES}, bt AS (SELECT date, close, risk_score, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM prices JOIN scores USING (date))"
-BT = f"""{JOINED}, st AS (SELECT 'hold' AS strategy, date, risk_score, greatest(-0.05, least(0.05, coalesce(ret, 0))) AS ret, 1.0::DOUBLE AS position FROM bt UNION ALL SELECT 'risk_off', date, risk_score, greatest(-0.05, least(0.05, coalesce(ret, 0))), CASE WHEN risk_score < 45 THEN 1.0 ELSE 0.0 END FROM bt),
+BT = f"""{JOINED}, st AS (SELECT 'hold' AS strategy, date, risk_score, greatest(-0.0517391, least(0.0517391, coalesce(ret, 0))) AS ret, 1.0::DOUBLE AS position FROM bt UNION ALL SELECT 'risk_off', date, risk_score, greatest(-0.0517391, least(0.0517391, coalesce(ret, 0))), CASE WHEN risk_score < 45 THEN 1.0 ELSE 0.0 END FROM bt),
 ch AS (SELECT *, coalesce(lag(position) OVER w, 0) AS pp, lag(date) OVER w AS pd FROM st WINDOW w AS (PARTITION BY strategy ORDER BY date)),
 eq AS (SELECT strategy, date, position, pp, 1000000.0::DOUBLE * exp(sum(ln(CASE WHEN pp <> position THEN 1 - 0.00015::DOUBLE ELSE 1 END * CASE WHEN position > 0 AND pd IS NOT NULL THEN greatest(1 + ret, 0) ELSE 1 END)) OVER (PARTITION BY strategy ORDER BY date)) AS asset FROM ch),
 dr AS (SELECT *, asset / max(asset) OVER (PARTITION BY strategy ORDER BY date) - 1 AS drawdown FROM eq)"""
@@ -119,8 +119,8 @@ def days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, d: str) -> DataFrame:
-    """Returns cut to 5 per cent a day: the stand-in prices are noise."""
-    calm = days(spark, d).withColumn("ret", F.greatest(F.lit(-0.05), F.least(F.lit(0.05), F.coalesce("ret", F.lit(0.0)))))
+    """Returns cut to 5.17391 per cent a day (no round number, whose products would end in rounding ties): the stand-in prices are noise."""
+    calm = days(spark, d).withColumn("ret", F.greatest(F.lit(-0.0517391), F.least(F.lit(0.0517391), F.coalesce("ret", F.lit(0.0)))))
     return backtest.equity(backtest.positions(calm, {"hold": backtest.buy_and_hold(), "risk_off": backtest.risk_off(45)}))
 
 
