@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockwire.llm.common import text_of
+from shockwire.llm.common import small_batches, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct words of a block.
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, ranks: str | None = None, max_words: int = MAX_WORDS
     path = ranks or public_tokenizers.path(RANKS)
     if max_words > 1 << 20:
         raise ValueError("max_words: 2**20 at most, so that numbers fit three bytes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.spark_partition_id().alias("split"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.spark_partition_id().alias("split"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = texts.mapInArrow(_split(parts, max_words), _SCHEMA).repartition(parts, "n")
     encoded = words.mapInArrow(_encode_words(path), _SCHEMA)
@@ -279,7 +279,7 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     fields = [f for f in encoded.schema.fields]
     schema = type(encoded.schema)([*fields]).add("bytes", "binary")
-    return encoded.mapInArrow(run, schema)
+    return small_batches(encoded).mapInArrow(run, schema)
 
 
 def digests(decoded: DataFrame, *also: str) -> DataFrame:

@@ -59,6 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch; Spark's own default stands for several hundred MB in an executor, on both sides of the pipe.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session's Arrow batches are bounded by BATCH_BYTES (unless the session has a bound of its own)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) in ("67108864b", "67108864"):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """Runs make() once a task, and what it returns on slices of at most `rows` rows, so that a task's memory
     follows one slice and not Arrow's batch."""
@@ -69,4 +81,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             for at in range(0, batch.num_rows, rows):
                 yield f(batch.slice(at, rows))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shockwire.llm.common import cut, map_rows, text_of
+from shockwire.llm.common import cut, map_rows, small_batches, text_of
 
 SHINGLE = 5
 #: Similarity, in per cent, from which documents are linked.
@@ -166,7 +166,7 @@ def compare(pairs: DataFrame, known: DataFrame) -> DataFrame:
     one = known.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     two = known.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     schema = "a long, b long, na long, nb long, both long, " + ", ".join(f"m{k} long" for k in range(MAP))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
+    return small_batches(pairs).join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
 
 
 def _similar(both: Column, na: Column, nb: Column) -> Column:

@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockwire.llm.common import map_rows, text_of
+from shockwire.llm.common import map_rows, small_batches, text_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -186,4 +186,4 @@ def _ask(counted: DataFrame, column: str, name: str, answer) -> DataFrame:
             out = [None if x is None or q is None else answer(np.cumsum(np.frombuffer(x, np.int8), dtype=np.int64), q) for x, q in zip(batch.column(at).to_pylist(), batch.column(of).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name])
 
-    return counted.mapInArrow(run, type(counted.schema)(list(counted.schema.fields)).add(name, "long"))
+    return small_batches(counted).mapInArrow(run, type(counted.schema)(list(counted.schema.fields)).add(name, "long"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm.common import cut, text_of
+from shockwire.llm.common import cut, small_batches, text_of
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 4_000_000
@@ -127,12 +127,12 @@ def write(planned: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
         if content:
             yield row()
 
-    return cut(planned.mapInArrow(run, _ARCHIVE))
+    return cut(small_batches(planned).mapInArrow(run, _ARCHIVE))
 
 
 def build_index(archives: DataFrame) -> DataFrame:
     """The index's blocks (block, first_key, lines): sorted lines of key, archive, offset, length, compressed."""
-    captures = archives.select("archive", F.explode("captures").alias("c")).select("c.key", "archive", "c.offset", "c.length")
+    captures = small_batches(archives).select("archive", F.explode("captures").alias("c")).select("c.key", "archive", "c.offset", "c.length")
     rows = archives.agg(F.sum(F.size("captures"))).first()[0] or 0
     size = max(BLOCK_LINES, -(-rows // (MAX_DIRECTORY // 2)))
     parts = max(1, min(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // size)))
@@ -197,7 +197,7 @@ def look_up(wanted: DataFrame, archives: DataFrame, index: DataFrame) -> DataFra
                     out += map(_facts, parse(bytes(content[place["offset"] : place["offset"] + place["length"]])))
                 yield _fact_rows(out)
 
-    keys = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct().mapInArrow(find_blocks, "block long, key string")
+    keys = small_batches(wanted).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct().mapInArrow(find_blocks, "block long, key string")
     by_block = keys.groupBy("block").agg(F.collect_list("key").alias("keys"))
     places = by_block.join(index, "block").select("lines", "keys").mapInArrow(find_places, "archive string, offset long, length long")
     by_archive = places.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
