@@ -107,9 +107,8 @@ def _mark(k: int):
     return lambda w: F.xxhash64(F.lit(k), w)
 
 
-def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame] | None:
-    """(doc_id, entity) of the documents' entities, and (entity, term) of the terms that reveal them; None if no term
-    has enough contexts, so that nothing is left to count. docs: doc_id, text."""
+def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, entity) of the documents' entities, and (entity, term) of the terms that reveal them. docs: doc_id, text."""
     held = base_spans(docs.select("doc_id", text_of("text").alias("text"))).where(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("s"))
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " ")), " ")
     left = words(F.substring_index(F.expr("left(text, s.start)"), "\n", -1))
@@ -126,13 +125,11 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int
     terms = marked.select("entity", F.explode("near").alias("term"), "m0", "m1", "m2").where("term != ''")
     pairs = terms.groupBy("entity", "term").agg(unlike.alias("c")).where(F.col("c") >= min_contexts)
     pairs = cut(pairs.join(known, "entity"))
-    if pairs.isEmpty():
-        return None
     all_words = docs.select(F.explode(F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     counted = cut(all_words.groupBy(_core(F.col("w")).alias("term")).agg(F.sum("n").alias("n")).join(pairs.select("term").distinct(), "term", "left_semi"))
-    windows = docs.agg(F.sum(F.regexp_count(text_of("text"), F.lit(WORD)))).first()[0] / (2 * context + 1)
-    ratio = F.log2(F.col("c") * F.lit(float(windows)) / (F.col("n") * F.col("d")))
-    ic = F.log2(F.lit(float(windows)) / F.col("d"))
+    windows = (docs.agg(F.sum(F.regexp_count(text_of("text"), F.lit(WORD)))).first()[0] or 0) / (2 * context + 1)
+    ratio = F.log2(F.try_divide(F.col("c") * F.lit(float(windows)), F.col("n") * F.col("d")))
+    ic = F.log2(F.try_divide(F.lit(float(windows)), F.col("d")))
     revealing = pairs.join(counted, "term").where((ic > 0) & (ratio >= F.lit(disclosure) * ic)).select("entity", "term")
     return seen.select("doc_id", "entity").distinct(), cut(revealing)
 
@@ -140,10 +137,7 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int
 def all_spans(docs: DataFrame, **parameters) -> DataFrame:
     """docs (doc_id, text, ...) with `base` and `spans` (base spans, then those of disclosing terms by start)."""
     found = base_spans(docs)
-    told = disclosing_terms(docs.select("doc_id", "text"), **parameters)
-    if told is None:
-        return found.withColumn("spans", F.col("base"))
-    entities, revealing = told
+    entities, revealing = disclosing_terms(docs.select("doc_id", "text"), **parameters)
     terms = entities.where("doc_id is not null").join(revealing, "entity").groupBy("doc_id").agg(F.collect_set("term").alias("_terms")).withColumnRenamed("doc_id", "_id")
     # only documents with entities can have terms; the others pass without an exchange
     some = found.where(F.size("base") > 0).join(terms, F.col("doc_id") == F.col("_id"), "left").drop("_id")
