@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vendor headers and the names they get.
+#: The vendor's headers, and the names they get.
 HEADERS = {"뉴스 식별자": "article_id", "일자": "date", "언론사": "source", "제목": "title", "본문": "body", "분석제외 여부": "excluded"}
 
 
+#: The ends of sentences, in the order in which they are tried.
+SENTENCE_MARKS = (".", "다.", "요.", "음.")
+
+
 def rename_headers(df: DataFrame, headers: dict[str, str] = HEADERS) -> DataFrame:
     """Vendor columns renamed; without an exact header, the first one that contains it once spaces are gone."""
     bare = {c: c.replace(" ", "") for c in df.columns}
@@ -36,7 +40,7 @@ def lead_cut(body: Column, chars: int = 200, least: int = 50) -> Column:
     """P5: the first characters, cut after the last sentence mark beyond `least`; marks are tried in order."""
     head = F.substring(F.trim(body), 1, chars)
     cuts = []
-    for mark in (".", "다.", "요.", "음."):
+    for mark in SENTENCE_MARKS:
         back = F.locate(mark[::-1], F.reverse(head))
         at = F.char_length(head) - back - len(mark) + 1
         cuts.append(F.when((back > 0) & (at > least), F.substring(head, F.lit(1), at + len(mark))))
