@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm import bpe, fingerprints, html_text, mixing, neardup, pii, prefix_counts, quality, warc
+from shockwire.llm import bpe, chroma, fingerprints, html_text, mixing, neardup, pii, prefix_counts, quality, warc
 from shockwire.llm.common import table
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: the bytes of each whole text of documents stand in for the samples of a recording."""
+    return chroma.fingerprints(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("audio"))).withColumnRenamed("id", "doc_id")
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_neardup": op2_neardup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_fingerprints": op8_fingerprints, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
+    return {"op1_chroma": op1_chroma, "op2_neardup": op2_neardup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_fingerprints": op8_fingerprints, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
