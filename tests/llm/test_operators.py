@@ -321,6 +321,14 @@ def test_main_text():
     assert html_text.main_text("plain text & no markup") == "plain text & no markup"
 
 
+def test_named_article_is_weighed():
+    prose = " ".join(["An ordinary sentence of the article itself."] * 9)
+    links = "".join(f'<p><a href="/{k}">Read more of story {k} here</a></p>' for k in range(4))
+    page = f"<body><p>Short line</p><article><h1>Title</h1><p>{prose}</p>{links}<p>{prose}</p></article><div><p>{prose} outside</p></div><p>Our site</p></body>"
+    assert html_text.main_text(page) == f"Title\n{prose}\n{prose}\n{prose} outside\nOur site"
+    assert html_text.main_text("<p>Welcome to the pages of our house.</p><article><p>one</p><p>two</p><p>three</p><p>four is the last line</p></article>") == "one\ntwo\nthree\nfour is the last line"
+
+
 def test_pages_odd(spark):
     rows = [(1, "u", "<article><p>a</p></article>", "x", 1), (1, "u", "<article><p>a</p></article>", "x", 1), (None, None, None, None, None), (2, None, "", "", 0), (3, "v", "<p>" + "word " * 50_000, "", 0), (4, "w", "<" * 1000, "", 0)]
     got = html_text.extract(spark.createDataFrame(rows, PAGES)).collect()
