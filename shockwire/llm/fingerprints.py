@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame expressions alone.
 
 A document is a weighted set: its words with their counts. For sample k a term with weight w draws, from hashes of the term
-and k alone, r and c ~ Gamma(2, 1) (by tabled quantiles) and b ~ U(0, 1), and takes
+and k alone, r and c ~ Gamma(2, 1) (-ln of two uniforms' product) and b ~ U(0, 1), and takes
 t = floor(ln(w) / r + b), ln(a) = ln(c) - r (t - b + 1). The sample is the term with the smallest a, at its t. Two documents
 draw the same sample with a probability of their generalised Jaccard similarity, sum min(w) / sum max(w). As a is a function
 of term and t, the smallest a itself stands for the sample; 16 bits of its hash are kept, SAMPLES of them a fingerprint.
@@ -19,8 +19,6 @@ table gives no rows; further columns of docs are not read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,36 +29,17 @@ SAMPLES = 64
 TASK_CHARS = 4_000_000
 #: Samples that one row of the sampling stage makes; more would make the code that Spark generates for it too long.
 LANE = 8
-#: log2 of the entries of the tables of quantiles of Gamma(2, 1).
-CELL_BITS = 10
-
-
-def _quantiles() -> list[float]:
-    """Quantiles of Gamma(2, 1) at (i + 1/2) / 2**CELL_BITS, by Newton's method."""
-    out, x = [], 0.01
-    for i in range(1 << CELL_BITS):
-        p = (i + 0.5) / (1 << CELL_BITS)
-        for _ in range(60):
-            x = max(1e-9, x - (1 - math.exp(-x) * (1 + x) - p) / (x * math.exp(-x)))
-        out.append(x)
-    return out
-
-
-def _table(values: list[float]) -> Column:
-    """The values as one constant array, which Spark folds."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-_GAMMA = _quantiles()
-_LOG_GAMMA = [math.log(x) for x in _GAMMA]
 
 
 def sample(term: Column, log_weight: Column, k: Column) -> Column:
-    """ln(a) of sample k for a term's hash and the log of its weight. r, c and b come from separate bits of one hash."""
+    """ln(a) of sample k for a term's hash and the log of its weight. r and c are each -ln of two uniforms, 32 bits each of
+    one hash; b is from a third."""
     h = F.xxhash64(term, k)
-    bits = lambda shift, n: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-    r, log_c = (F.get(_table(values), bits(shift, CELL_BITS)) for values, shift in ((_GAMMA, 0), (_LOG_GAMMA, CELL_BITS)))
-    b = bits(2 * CELL_BITS, 30) / F.lit(float(1 << 30))
+    g = F.xxhash64(h, term)
+    half = lambda x: (x.cast("double") + 0.5) / F.lit(float(1 << 32))
+    gamma = lambda x: -F.log(half(F.shiftrightunsigned(x, 32)) * half(x.bitwiseAND(F.lit((1 << 32) - 1))))
+    r, log_c = gamma(h), F.log(gamma(g))
+    b = F.shiftrightunsigned(F.xxhash64(g, k), 11).cast("double") / F.lit(float(1 << 53))
     return log_c - r * (F.floor(log_weight / r + b) - b + 1)
 
 

@@ -296,6 +296,17 @@ def test_fingerprints(spark):
         assert prints.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_likeness_of_long_texts(spark, n):
+    rnd, ranks = random.Random(n), range(1, 100_001)
+    counts = [Counter(f"w{k}" if k <= 100 else f"{side}{k}" for k in rnd.choices(ranks, [1 / k for k in ranks], k=n)) for side in "xy"]
+    exact = sum((counts[0] & counts[1]).values()) / sum((counts[0] | counts[1]).values())
+    words = spark.createDataFrame([(side, w, c) for side in (0, 1) for w, c in counts[side].items()], "id int, word string, n int").selectExpr("id", "explode(array_repeat(word, n)) AS word")
+    marks = {(r.id, r.lane): r.marks for r in fingerprints.fingerprint_words(words, ["id"], 512).collect()}
+    equal = [a == b for lane in range(64) for a, b in zip(marks[0, lane], marks[1, lane], strict=True)]
+    assert abs(sum(equal) / 512 - exact) < 0.06  # of 512 samples, nearly three standard deviations
+
+
 def test_fingerprints_odd(spark, odd, none):
     rows = fingerprints.fingerprint(odd).collect()
     assert len(rows) == len(ODD) and fingerprints.fingerprint(none).count() == 0
