@@ -19,6 +19,10 @@ table gives no rows; further columns of docs are not read.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,28 +31,49 @@ from shockwire.llm.common import cut, text_of
 SAMPLES = 64
 #: Code points of texts that a task of the counting stage should hold.
 TASK_CHARS = 4_000_000
+#: Most tasks of that stage; beyond it, tasks grow and spill.
+MAX_TASKS = 50_000
 #: Samples that one row of the sampling stage makes; more would make the code that Spark generates for it too long.
 LANE = 8
 
 
-def sample(term: Column, log_weight: Column, k: Column) -> Column:
-    """ln(a) of sample k for a term's hash and the log of its weight. r and c are each -ln of two uniforms, 32 bits each of
-    one hash; b is from a third."""
-    h = F.xxhash64(term, k)
-    g = F.xxhash64(h, term)
-    half = lambda x: (x.cast("double") + 0.5) / F.lit(float(1 << 32))
-    gamma = lambda x: -F.log(half(F.shiftrightunsigned(x, 32)) * half(x.bitwiseAND(F.lit((1 << 32) - 1))))
-    r, log_c = gamma(h), F.log(gamma(g))
-    b = F.shiftrightunsigned(F.xxhash64(g, k), 11).cast("double") / F.lit(float(1 << 53))
-    return log_c - r * (F.floor(log_weight / r + b) - b + 1)
+#: Coefficients of a polynomial for ln(x) on [1, 4], lowest power first; its error is below 2e-5.
+LOG = [float(c) for c in np.polynomial.Chebyshev.interpolate(np.log, 8, [1, 4]).convert(kind=np.polynomial.Polynomial).coef]
+
+
+def _gamma(bits: Column, one: Column, two: Column) -> Column:
+    """A draw of Gamma(2, 1), -ln of two uniforms' product. A uniform is m / 2**e: e the place of the first bit set, m in
+    [1, 2); both places together are that of the second bit set. one, two: the uniforms' m. F.log costs three times as much."""
+    rest = bits.bitwiseAND(bits - 1)
+    p = one * two
+    return F.bit_count(rest.bitwiseXOR(rest - 1)) * F.lit(math.log(2)) - reduce(lambda y, c: y * p + F.lit(c), LOG[-2::-1], F.lit(LOG[-1]))
 
 
-def fingerprint_words(words: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
-    """by, lane and `marks` (LANE ints below 2**16) from rows (by, word): samples / LANE lanes for each by."""
-    terms = words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("w")).select(*by, F.xxhash64("word").alias("term"), F.log(F.col("w").cast("double")).alias("lw"))
+def _between(x: Column, at: int, n: int) -> Column:
+    """n bits of x from bit `at` on, as a double within (0, 1)."""
+    return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1)).cast("double") * F.lit(2.0**-n) + F.lit(2.0 ** -(n + 1))
+
+
+def samples_of(term: Column, k: Column, *log_weights: Column) -> list[Column]:
+    """ln(a) of sample k for a term's hash and each log of a weight (null: none). r and c are never cut to a table: their
+    tails reach 2**-40 (r) and 2**-18 (c, whose small values decide, with 46 bits there)."""
+    h = F.xxhash64(term, k)
+    g, f = F.xxhash64(h, term), F.xxhash64(term, h, k)
+    r = _gamma(F.shiftrightunsigned(h, 24), 1 + _between(g, 0, 32), 1 + _between(g, 32, 32))
+    c = _gamma(F.shiftrightunsigned(f, 46), 1 + _between(f, 0, 23), 1 + _between(f, 23, 23))
+    b = _between(h, 0, 24)
+    return [F.log(c) - r * (F.floor(lw / r + b) - b + 1) for lw in log_weights]
+
+
+def fingerprint_words(words: DataFrame, by: list[str], samples: int = SAMPLES, parts: int = 1) -> DataFrame:
+    """by, lane and marks_0, marks_1, ... (LANE ints below 2**16) from rows (by, part, word): samples / LANE lanes for each
+    by. A word's hashes and draws are made once for all parts."""
+    weights = [F.log(F.sum(F.when(F.col("part") == p, 1).otherwise(0)).cast("double")).alias(f"lw{p}") for p in range(parts)]
+    terms = words.groupBy(*by, "word").agg(*weights).select(*by, F.xxhash64("word").alias("term"), *[f"lw{p}" for p in range(parts)])
     lanes = terms.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(samples // LANE - 1))))
-    least = lanes.groupBy(*by, "lane").agg(*[F.min(sample(F.col("term"), F.col("lw"), F.col("lane") * LANE + k)).alias(f"s{k}") for k in range(LANE)])
-    return least.select(*by, "lane", F.array(*[F.hash(f"s{k}").bitwiseAND(F.lit(65535)) for k in range(LANE)]).alias("marks"))
+    drawn = [samples_of(F.col("term"), F.col("lane") * LANE + k, *[F.col(f"lw{p}") for p in range(parts)]) for k in range(LANE)]
+    least = lanes.groupBy(*by, "lane").agg(*[F.min(drawn[k][p]).alias(f"s{p}_{k}") for p in range(parts) for k in range(LANE)])
+    return least.select(*by, "lane", *[F.array(*[F.hash(f"s{p}_{k}").bitwiseAND(F.lit(65535)) for k in range(LANE)]).alias(f"marks_{p}") for p in range(parts)])
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -82,7 +107,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     lengths = cut(base.select("doc_id", F.char_length("text").cast("long").alias("n")))
     chain = cut(in_order(lengths))
     chars = lengths.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, -(-chars // TASK_CHARS)))
     dealt = base.where("doc_id is not null").repartition(parts, "doc_id")
     half = F.floor(F.char_length("text") / 2).cast("int")
     # the start of each document, as long as the one before it needs, sent there
@@ -108,12 +133,12 @@ def _marks(texts: DataFrame, samples: int) -> DataFrame:
     words = F.array_remove(F.split("body", r"[\x20\x09-\x0D]+"), "")
     eight = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     facts = F.concat(eight(F.xxhash64("text")), eight(F.char_length("text").cast("long")), F.unhex(F.sha2("edited", 256)))
-    bodies = F.array(F.struct(F.lit(0).alias("part"), facts.alias("facts"), F.col("text").alias("body")), F.struct(F.lit(1).alias("part"), F.lit(b"").alias("facts"), F.col("edited").alias("body")))
+    bodies = F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("body")), F.struct(F.lit(1).alias("part"), F.col("edited").alias("body")))
     numbered = texts.withColumn("row", F.monotonically_increasing_id())  # of its own, so that both parts share it
-    rows = numbered.select("doc_id", "row", F.explode(bodies).alias("x")).select("doc_id", "row", "x.part", "x.facts", "x.body")
-    terms = rows.select("doc_id", "row", "part", "facts", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))).alias("word"))
-    marks = fingerprint_words(terms, ["doc_id", "row", "part", "facts"], samples)
-    of = lambda part: F.concat(*[F.max(F.when((F.col("part") == part) & (F.col("lane") == lane), F.col("marks"))) for lane in range(samples // LANE)])
-    both = marks.groupBy("doc_id", "row").agg(F.max("facts").alias("facts"), of(0).alias("marks"), of(1).alias("edited_marks"))
+    rows = numbered.select("doc_id", "row", facts.alias("facts"), F.explode(bodies).alias("x")).select("doc_id", "row", "facts", "x.part", "x.body")
+    terms = rows.select("doc_id", "row", "facts", "part", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))).alias("word"))
+    marks = fingerprint_words(terms, ["doc_id", "row", "facts"], samples, parts=2)
+    of = lambda part: F.concat(*[F.max(F.when(F.col("lane") == lane, F.col(f"marks_{part}"))) for lane in range(samples // LANE)])
+    both = marks.groupBy("doc_id", "row", "facts").agg(of(0).alias("marks"), of(1).alias("edited_marks"))
     number = lambda at: F.conv(F.hex(F.substring("facts", at, 8)), 16, -10).cast("long")
     return both.select("doc_id", number(1).alias("h"), number(9).alias("n_chars"), F.lower(F.hex(F.substring("facts", 17, 32))).alias("edited_sha256"), "marks", "edited_marks")

@@ -301,12 +301,29 @@ def test_likeness_of_long_texts(spark, n):
     rnd, ranks = random.Random(n), range(1, 100_001)
     counts = [Counter(f"w{k}" if k <= 100 else f"{side}{k}" for k in rnd.choices(ranks, [1 / k for k in ranks], k=n)) for side in "xy"]
     exact = sum((counts[0] & counts[1]).values()) / sum((counts[0] | counts[1]).values())
-    words = spark.createDataFrame([(side, w, c) for side in (0, 1) for w, c in counts[side].items()], "id int, word string, n int").selectExpr("id", "explode(array_repeat(word, n)) AS word")
-    marks = {(r.id, r.lane): r.marks for r in fingerprints.fingerprint_words(words, ["id"], 512).collect()}
+    words = spark.createDataFrame([(side, w, c) for side in (0, 1) for w, c in counts[side].items()], "id int, word string, n int").selectExpr("id", "0 AS part", "explode(array_repeat(word, n)) AS word")
+    marks = {(r.id, r.lane): r.marks_0 for r in fingerprints.fingerprint_words(words, ["id"], 512).collect()}
     equal = [a == b for lane in range(64) for a, b in zip(marks[0, lane], marks[1, lane], strict=True)]
     assert abs(sum(equal) / 512 - exact) < 0.06  # of 512 samples, nearly three standard deviations
 
 
+def test_draws_are_gamma(spark):
+    """The least of a over terms of weight w is exponential with rate w per term; r and c follow Gamma(2, 1) in their tails."""
+    r = fingerprints._gamma
+    h, g = F.xxhash64("id"), F.xxhash64("id", F.lit(1))
+    x = np.array([row[0] for row in spark.range(400_000).select(r(F.shiftrightunsigned(h, 24), 1 + fingerprints._between(g, 0, 32), 1 + fingerprints._between(g, 32, 32))).collect()])
+    tail = lambda v: (1 + v) * np.exp(-v)
+    for v in (0.01, 0.1, 0.5, 1, 2, 4, 8, 10):
+        p = tail(v)
+        assert abs((x > v).mean() - p) < 5 * np.sqrt(p * (1 - p) / len(x)) + 1e-5
+    a = fingerprints.samples_of(F.col("id"), F.lit(3), F.lit(0.0), F.log(F.lit(7.0)))
+    got = np.array([tuple(row) for row in spark.range(200_000).select(*a).collect()])
+    for k, w in ((0, 1), (1, 7)):
+        e = np.exp(got[:, k]) * w
+        assert all(abs((e > v).mean() - np.exp(-v)) < 5 * np.sqrt(np.exp(-v) / len(e)) for v in (0.001, 0.01, 0.1, 1, 3))
+    assert spark.range(3).select(fingerprints.samples_of(F.col("id"), F.lit(0), F.lit(None).cast("double"))[0].alias("a")).where("a is not null").count() == 0
+
+
 def test_fingerprints_odd(spark, odd, none):
     rows = fingerprints.fingerprint(odd).collect()
     assert len(rows) == len(ODD) and fingerprints.fingerprint(none).count() == 0
