@@ -5,10 +5,12 @@
 2. Sources are cut into about sqrt(rows) shards by a hash of doc_id, so that neither the shards of one source nor the
    rows of one shard grow with more than the square root of a source: a source with a third of all rows is dealt over
    many tasks.
-3. All blocks of `block_words` words are seats: highest quotients target / (2 seats + 1) give each source its quota, and
-   the same rule gives each shard of it an integer quota.
-4. A shard's documents stand in a seeded order and are cut into blocks; the quota takes whole rounds of all blocks, then
-   a run of blocks from a seeded start, round the end. A document's taken words are the overlap with what was taken.
+3. A source's shards, end to end, are one line of words, cut into blocks of `block_words`; only its last block is short. A
+   block belongs to the shard in which it begins. Highest quotients target / (2 seats + 1) give each source its quota of
+   blocks, and the same rule gives each shard of it an integer quota.
+4. A shard's documents stand in a seeded order; the quota takes whole rounds of its blocks, then a run of blocks from a
+   seeded start, round the end. A document's taken words are the overlap with what was taken, so a source's taken words
+   are its quota's blocks, whatever the lengths of its texts: within two blocks of its target, but for the short block.
 
 Defined results: a null text has size 0 and is never taken; an empty table gives no rows; rows that repeat a doc_id are
 rows of their own (ordered by size where all else ties); a null source is a source of its own; a null doc_id is hashed
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shockwire.llm.common import WORD, cut, text_of
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 16
 SEED = "mix-1"
 
 
@@ -95,23 +97,36 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, repeats: int = 3, seed:
         .withColumn("id_text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
         .withColumn("shard", F.when(F.col("n_shards") > 0, F.pmod(_number(seed, "shard", F.col("id_text")), F.col("n_shards"))).otherwise(F.lit(0)))
     )
-    shards = sharded.groupBy("ordinal", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats")).where("shard_size > 0 and seats is not null")
-    quotas = apportion(shards, ["ordinal"], "shard", "shard_size", "seats").select(F.col("ordinal").alias("_o"), F.col("shard").alias("_s"), "shard_size", F.col("quota").alias("shard_quota"))
-    order = Window.partitionBy("ordinal", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("id_text"))), "id_text", "size")
-    placed = sharded.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
-    joined = placed.join(quotas, (F.col("ordinal") == F.col("_o")) & (F.col("shard") == F.col("_s")), "left")
-    blocks = F.ceil(F.col("shard_size") / F.lit(float(block_words))).cast("long")
-    over = lambda lo, hi: F.greatest(F.least(F.col("end"), hi) - F.greatest(F.col("begin"), lo), F.lit(0))
-    taken = (
-        joined.withColumn("blocks", blocks)
-        .withColumn("quota_", F.least(F.col("shard_quota"), repeats * F.col("blocks")))
-        .withColumn("rounds", F.floor(F.col("quota_") / F.col("blocks")).cast("long"))
+    line = Window.partitionBy("ordinal").orderBy("shard")  # the shards of a source: as many as the square root of its rows
+    so_far = lambda w: F.floor((w + b - 1) / b).cast("long")  # blocks that begin before word w of the line
+    shards = (
+        sharded.groupBy("ordinal", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats")).where("shard_size > 0 and seats is not null")
+        .withColumn("base", F.sum("shard_size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("shard_size"))
+        .withColumn("first", so_far(F.col("base")))
+        .withColumn("blocks", so_far(F.col("base") + F.col("shard_size")) - F.col("first"))
+    )
+    shards = cut(shards)
+    quotas = apportion(shards, ["ordinal"], "shard", "blocks", "seats").select(F.col("ordinal").alias("_o"), F.col("shard").alias("_s"), F.col("quota").alias("shard_quota"))
+    chosen = (
+        shards.join(quotas, (F.col("ordinal") == F.col("_o")) & (F.col("shard") == F.col("_s")), "left").drop("_o", "_s")
+        .withColumn("quota_", F.least("shard_quota", repeats * F.col("blocks")))
+        .withColumn("rounds", F.when(F.col("blocks") > 0, F.floor(F.col("quota_") / F.col("blocks"))).cast("long"))
         .withColumn("rest", F.col("quota_") - F.col("rounds") * F.col("blocks"))
-        .withColumn("from", F.pmod(_number(seed, "start", F.col("ordinal").cast("string"), F.col("shard").cast("string")), F.col("blocks")))
+        .withColumn("from", F.when(F.col("blocks") > 0, F.pmod(_number(seed, "start", F.col("ordinal").cast("string"), F.col("shard").cast("string")), F.col("blocks"))))
         .withColumn("to", F.col("from") + F.col("rest"))
-        .withColumn("part", over(F.col("from") * b, F.least(F.col("to"), F.col("blocks")) * b) + over(F.lit(0).cast("long"), (F.col("to") - F.col("blocks")) * b))
-        .select("doc_id", "source", "size", "ordinal", F.when(F.col("blocks") > 0, F.col("rounds") * F.col("size") + F.col("part")).otherwise(0).cast("long").alias("taken"))
+        # how often the last block of the shards before, which may reach into this one, is taken
+        .withColumn("carried", F.last(F.col("rounds") + F.when(F.col("to") >= F.col("blocks"), 1).otherwise(0), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+        .select(F.col("ordinal").alias("_o"), F.col("shard").alias("_s"), "base", "first", "blocks", "rounds", "from", "to", "carried")
     )
+    order = Window.partitionBy("ordinal", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("id_text"))), "id_text", "size")
+    placed = sharded.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
+    joined = placed.join(chosen, (F.col("ordinal") == F.col("_o")) & (F.col("shard") == F.col("_s")), "left").withColumns({"begin": F.col("base") + F.col("begin"), "end": F.col("base") + F.col("end")})
+    # words of the document in blocks lo .. hi - 1 of its source
+    over = lambda lo, hi: F.greatest(F.least(F.col("end"), hi * b) - F.greatest(F.col("begin"), lo * b), F.lit(0))
+    first, last = F.col("first"), F.col("first") + F.col("blocks")
+    own = F.col("rounds") * over(first, last) + over(first + F.col("from"), F.least(first + F.col("to"), last)) + over(first, first + F.col("to") - F.col("blocks"))
+    before = F.col("carried") * F.greatest(F.least(F.col("end"), first * b) - F.col("begin"), F.lit(0))
+    taken = joined.select("doc_id", "source", "size", "ordinal", (F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))).cast("long").alias("taken"))
     return taken.join(known.withColumnRenamed("ordinal", "_o"), F.col("ordinal") == F.col("_o"), "left").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -139,14 +154,19 @@ targets AS (SELECT source, ordinal, source_size, n_rows, 0 AS every, least(cap::
 sharded AS (SELECT s.doc_id, s.size, t.*, q.quota, coalesce(s.doc_id::VARCHAR, '') AS id_text,
   ('0x' || substr(md5('{seed}|shard|' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT % ceil(sqrt(n_rows::DOUBLE))::BIGINT AS shard
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN source_quota q USING (ordinal)),
-shards AS (SELECT ordinal, shard, sum(size)::BIGINT AS shard_size, first(quota) AS seats FROM sharded WHERE quota IS NOT NULL GROUP BY ordinal, shard HAVING sum(size) > 0),
-{quota("shard_quota", "shards", "ordinal", "shard", "shard_size")},
-placed AS (SELECT *, sum(size) OVER (PARTITION BY ordinal, shard ORDER BY md5('{seed}|' || id_text), id_text, size ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM sharded),
-joined AS (SELECT p.*, e - size AS b, ceil(s.shard_size / {block_words}.0::DOUBLE)::BIGINT AS blocks, least(q.quota, 3 * ceil(s.shard_size / {block_words}.0::DOUBLE)::BIGINT) AS q
-  FROM placed p LEFT JOIN shards s USING (ordinal, shard) LEFT JOIN shard_quota q USING (ordinal, shard)),
-cut AS (SELECT *, q // blocks AS rounds, ('0x' || substr(md5('{seed}|start|' || ordinal || '|' || shard), 1, 8))::BIGINT % blocks AS lo FROM joined),
-ends AS (SELECT *, lo + q - rounds * blocks AS hi FROM cut)
+shard_sizes AS (SELECT ordinal, shard, sum(size)::BIGINT AS shard_size, first(quota) AS seats FROM sharded WHERE quota IS NOT NULL GROUP BY ordinal, shard HAVING sum(size) > 0),
+shard_base AS (SELECT *, (sum(shard_size) OVER (PARTITION BY ordinal ORDER BY shard) - shard_size)::BIGINT AS base FROM shard_sizes),
+shards AS (SELECT *, (base + {block_words} - 1) // {block_words} AS first_, (base + shard_size + {block_words} - 1) // {block_words} - (base + {block_words} - 1) // {block_words} AS blocks FROM shard_base),
+{quota("shard_quota", "shards", "ordinal", "shard", "blocks")},
+c1 AS (SELECT s.*, least(q.quota, 3 * blocks) AS q, ('0x' || substr(md5('{seed}|start|' || ordinal || '|' || shard), 1, 8))::BIGINT % nullif(blocks, 0) AS lo FROM shards s LEFT JOIN shard_quota q USING (ordinal, shard)),
+c2 AS (SELECT *, q // nullif(blocks, 0) AS rounds FROM c1),
+c3 AS (SELECT *, lo + q - rounds * blocks AS hi FROM c2),
+chosen AS (SELECT *, last_value(rounds + CASE WHEN hi >= blocks THEN 1 ELSE 0 END IGNORE NULLS) OVER (PARTITION BY ordinal ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM c3),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY ordinal, shard ORDER BY md5('{seed}|' || id_text), id_text, size ROWS UNBOUNDED PRECEDING)::BIGINT AS e_ FROM sharded),
+joined AS (SELECT p.*, base + e_ - size AS b, base + e_ AS e, first_, first_ + blocks AS last_, blocks, rounds, lo, hi, carried FROM placed p LEFT JOIN chosen USING (ordinal, shard))
 SELECT doc_id, size, source_size, target,
-  CASE WHEN blocks > 0 THEN rounds * size + greatest(least(e, least(hi, blocks) * {block_words}) - greatest(b, lo * {block_words}), 0) + greatest(least(e, (hi - blocks) * {block_words}) - b, 0) ELSE 0 END::BIGINT AS taken
-FROM ends
-"""
+  (coalesce(rounds * greatest(e - greatest(b, first_ * {block_words}), 0) + greatest(least(e, least(first_ + hi, last_) * {block_words}) - greatest(b, (first_ + lo) * {block_words}), 0)
+     + greatest(least(e, (first_ + hi - blocks) * {block_words}) - greatest(b, first_ * {block_words}), 0), 0)
+   + coalesce(carried * greatest(least(e, first_ * {block_words}) - b, 0), 0))::BIGINT AS taken
+FROM joined
+  """
