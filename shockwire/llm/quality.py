@@ -5,9 +5,11 @@ words and word pairs as they stand, and one to three neighbouring word shapes (l
 other characters kept; a word equal to the one before is marked). A score is the logistic function of the sparse dot
 product of shares and weights plus a bias.
 
-Training reads a bounded, seeded sample: the MAX_ROWS labelled rows with the smallest hash of doc_id, which one task goes
-over EPOCHS times with FTRL-proximal updates (per-coordinate rates, L1 and L2). Its size does not grow with the corpus;
-the weights are 2**BITS floats, which bounds what is broadcast. Scoring is one narrow pass over whole texts.
+Training reads a bounded, seeded sample: the labelled rows in order of a hash of doc_id, MAX_ROWS at most and as long as
+their whole texts together stay within MAX_CHARS. One task reads them in that order, keeps their features (about 60 bytes
+a word, so some 400 MB at most) and goes over them EPOCHS times with FTRL-proximal updates (per-coordinate rates, L1 and L2).
+The sample does not grow with the corpus; the weights are 2**BITS floats, which bounds what is broadcast. Scoring is one
+narrow pass over whole texts.
 
 Defined results: a null or empty text has the bias alone, and so a score; without labels every score is 0.5; an empty
 table gives no rows; repeated rows are scored row by row; repeated labels of one doc_id count once each distinct value;
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shockwire.llm.common import WORD_RE, map_rows, text_of
+from shockwire.llm.common import WORD_RE, map_rows, small_batches, text_of
 
 BITS = 18
 MAX_ROWS = 6000
+MAX_CHARS = 40_000_000
 EPOCHS = 4
 #: Learning rate, its offset, L1 and L2 of the updates.
 ALPHA, BETA, L1, L2 = 0.6, 0.1, 0.002, 0.01
-#: Words kept in a task's cache.
-CACHE = 200_000
+#: Words kept in a task's cache, none of them longer than CACHED.
+CACHE, CACHED = 200_000, 256
 
 _LOWER, _UPPER, _DIGITS = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -42,10 +45,7 @@ _SHIFT = np.uint64(64 - BITS)
 
 
 def shape(word: str) -> str:
-    """Letters and digits of a word by kind, other characters as they are; long words by their first 64 characters'
-    kinds and their last 64's."""
-    if len(word) > 128:
-        word = word[:64] + word[-64:]
+    """Letters and digits of a word by kind, other characters as they are."""
     return _DIGITS.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
 
 
@@ -53,7 +53,9 @@ class _Words(dict):
     """A word's 40-bit hash, above its shape's 20-bit hash."""
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = (xxhash.xxh64_intdigest(word) >> 24 << 20) | (xxhash.xxh64_intdigest(shape(word)) >> 44)
+        n = (xxhash.xxh64_intdigest(word) >> 24 << 20) | (xxhash.xxh64_intdigest(shape(word)) >> 44)
+        if len(word) <= CACHED:
+            self[word] = n
         return n
 
 
@@ -73,19 +75,22 @@ def logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, x))))
 
 
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def shares(text: str, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """A text's sparse vector: the weights' numbers, ascending, the bias (2**BITS, of share 1) last, and their shares."""
+    at, share = [np.array([1 << BITS])], [np.ones(1)]
+    for k in features(text, words):
+        index, count = np.unique(k, return_counts=True)
+        at.append(index)
+        share.append(count / len(k))
+    index, back = np.unique(np.concatenate(at), return_inverse=True)
+    return index.astype(np.int32), np.bincount(back, np.concatenate(share))
+
+
+def train(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias after FTRL-proximal updates over the rows (text, label), in order."""
     size = 1 << BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    sparse, words = [], _Words()
-    for text, label in rows:
-        at, share = [np.array([size])], [np.ones(1)]
-        for k in features(text, words):
-            index, count = np.unique(k, return_counts=True)
-            at.append(index)
-            share.append(count / len(k))
-        index, back = np.unique(np.concatenate(at), return_inverse=True)
-        sparse.append((index, np.bincount(back, np.concatenate(share)), label))
+    z, n, words = np.zeros(size + 1), np.zeros(size + 1), _Words()
+    sparse = [(*shares(text, words), label) for text, label in rows]
 
     def weights(at):
         zi, ni = z[at], n[at]
@@ -107,18 +112,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Weights and bias learnt from at most max_rows labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[np.ndarray, float]:
+    """Weights and bias learnt from a bounded sample of the labelled rows that are not held out."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     some = known.dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((xxhash.xxh64_intdigest(str(i)), i, t, y) for b in batches for i, t, y in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-        w, bias = train([(t, y) for _, _, t, y in found])
+        def within() -> Iterator[tuple[str, int]]:
+            chars = 0
+            for batch in batches:
+                for text, y in zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True):
+                    chars += len(text)
+                    if chars <= max_chars:
+                        yield text, y
+
+        w, bias = train(within())
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    got = rows.select("doc_id", "text", "label").coalesce(1).mapInArrow(run, "w binary, bias double").first()
+    ordered = small_batches(rows).select("doc_id", "text", "label").coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label")
+    got = ordered.mapInArrow(run, "w binary, bias double").first()
     return (np.zeros(1 << BITS, np.float32), 0.0) if got is None else (np.frombuffer(got["w"], np.float32), got["bias"])
 
 
