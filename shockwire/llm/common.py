@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,20 @@ def text_of(column: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset (tests, one machine) a folder is chosen here."""
+    """The folder of spark.checkpoint.dir. Where that is unset, one machine's own folder does; a cluster needs the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file:///tmp/checkpoints"
     return folder.rstrip("/")
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file as Spark names it, and its path there."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as it takes to be none of df's columns."""
     taken = {c.lower() for c in df.columns}

@@ -1,16 +1,17 @@
 """WARC archives with a two-level capture index.
 
 Writing: equal payloads of at least MIN_REVISIT bytes keep one response record, that of the smallest page_id; the others
-are revisit records without payload that refer to it. Each record is a gzip member of its own; members are laid end to
-end into archives of about ARCHIVE_BYTES, rows of a table in the shared folder (write_files() puts the same bytes into
-.warc.gz files where executors share a mounted folder, read_files() reads such files).
+are revisit records without payload that refer to it. Each record is a gzip member of its own; tasks lay members end to
+end into .warc.gz files of about ARCHIVE_BYTES in the shared folder. A file's name is its task attempt's own, and only the
+captures of attempts that succeed are kept, so a lost or repeated attempt leaves files that nothing points to.
 
 Index: a line a capture, keyed by the URL with its host reversed and the page_id, range-partitioned and sorted, cut into
 compressed blocks; the directory keeps each block's first key. A block has at least BLOCK_LINES lines and enough of them
 that the directory stays below MAX_DIRECTORY entries of KEY_CHARS characters: that bounds what is broadcast.
 
-Look-up: binary search in the directory, then in the block, then a range read of the archive. Keys travel to their
-block and locations to their archive as one row each, so no archive or block is copied for each of its keys.
+Look-up: binary search in the directory, then in the block, then a range read of the archive: a task reads the bytes of
+the records asked for, and no others. Keys and blocks meet sorted by block, so a task holds one block, whatever the
+number of its keys; places meet sorted by archive, so that a file is opened once and read forwards.
 
 Defined results: a null html is the empty payload; a null url is written without target and keyed as the empty text; a
 null page_id comes last (it is a response only where no other record has its payload); rows that repeat page_id and
@@ -22,9 +23,12 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import io
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm.common import cut, small_batches, text_of
+from shockwire.llm.common import cut, file_system, shared_folder, small_batches, text_of
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 4_000_000
@@ -40,6 +44,8 @@ BLOCK_LINES = 512
 MAX_DIRECTORY = 65_536
 KEY_CHARS = 200
 LEVEL = 4
+#: Bytes that are read at once when an archive is read forwards.
+CHUNK = 16_384
 DATE = "1970-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -89,53 +95,59 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return packer.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payload of each record of gzip members laid end to end."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        text = unpacker.decompress(data) + unpacker.flush()
-        data = unpacker.unused_data
-        head, _, rest = text.partition(b"\r\n\r\n")
+def parse(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and payload of each record of gzip members laid end to end, read forwards in small pieces."""
+    rest = source.read(CHUNK)
+    while rest:
+        unpacker, text = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if not rest:
+                raise ValueError("the archive ends within a record")
+            text.append(unpacker.decompress(rest))
+            rest = unpacker.unused_data or source.read(CHUNK)
+        head, _, body = b"".join(text).partition(b"\r\n\r\n")
         names = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        block = rest[: int(names["Content-Length"])]
-        yield names, block.partition(b"\r\n\r\n")[2]
+        yield names, body[: int(names["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
-_ARCHIVE = "archive string, content binary, captures array<struct<key:string,offset:long,length:long>>"
-
-
-def write(planned: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """The archives of planned records: a table in the shared folder."""
+def write(planned: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes the archives of planned records into a folder that all executors share (a new one in the shared folder, if
+    none is named) and returns their captures: key, archive, offset, length."""
+    folder = folder or f"{shared_folder(planned.sparkSession)}/warc-{uuid.uuid4().hex}"
+    files, path = file_system(folder)
+    files.create_dir(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, content, captures, size = TaskContext.get().partitionId(), 0, [], [], 0
-        kinds = pa.list_(pa.struct([("key", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{n:06d}"]), pa.array([b"".join(content)], pa.binary()), pa.array([captures], kinds)], names=["archive", "content", "captures"])
-
+        task = TaskContext.get()
+        files, path = file_system(folder)
+        name, n, size, out = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}", 0, 0, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
+                captures: tuple[list, list, list, list] = ([], [], [], [])
                 for page_id, url, payload, digest, refers_to in zip(*(batch.slice(at, 256).column(k).to_pylist() for k in range(5)), strict=True):
+                    if out is None:
+                        archive = f"{folder}/{name}-{n:04d}.warc.gz"
+                        out, size, n = files.open_output_stream(f"{path}/{name}-{n:04d}.warc.gz", compression=None), 0, n + 1
                     member = record(page_id, url, payload, digest, refers_to)
-                    captures.append({"key": capture_key(url, page_id), "offset": size, "length": len(member)})
-                    content.append(member)
+                    out.write(member)
+                    for column, value in zip(captures, (capture_key(url, page_id), archive, size, len(member)), strict=True):
+                        column.append(value)
                     size += len(member)
                     if size >= archive_bytes:
-                        yield row()
-                        n, content, captures, size = n + 1, [], [], 0
-        if content:
-            yield row()
+                        out.close()
+                        out = None
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(captures, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "archive", "offset", "length"])
+        if out is not None:
+            out.close()
 
-    return cut(small_batches(planned).mapInArrow(run, _ARCHIVE))
+    return cut(small_batches(planned).mapInArrow(run, "key string, archive string, offset long, length long"))
 
 
-def build_index(archives: DataFrame) -> DataFrame:
+def build_index(captures: DataFrame) -> DataFrame:
     """The index's blocks (block, first_key, lines): sorted lines of key, archive, offset, length, compressed."""
-    captures = small_batches(archives).select("archive", F.explode("captures").alias("c")).select("c.key", "archive", "c.offset", "c.length")
-    rows = archives.agg(F.sum(F.size("captures"))).first()[0] or 0
+    rows = captures.count()
     size = max(BLOCK_LINES, -(-rows // (MAX_DIRECTORY // 2)))
-    parts = max(1, min(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // size)))
+    parts = max(1, min(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held = TaskContext.get().partitionId(), 0, []
@@ -152,10 +164,10 @@ def build_index(archives: DataFrame) -> DataFrame:
             yield row(held)
 
     order = ["key", "archive", "offset"]
-    return cut(captures.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "block long, first_key string, lines binary"))
+    return cut(small_batches(captures).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "block long, first_key string, lines binary"))
 
 
-def look_up(wanted: DataFrame, archives: DataFrame, index: DataFrame) -> DataFrame:
+def look_up(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """The captures of wanted (page_id, url), read by range from the archives: page_id, record_type, refers_to,
     payload_bytes, payload_digest (both of the record's own payload, null for revisits), said_digest."""
     directory = sorted((r["first_key"][:KEY_CHARS], r["block"]) for r in index.select("first_key", "block").toLocalIterator())
@@ -176,32 +188,40 @@ def look_up(wanted: DataFrame, archives: DataFrame, index: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(keys, pa.string())], names=["block", "key"])
 
     def find_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, its lines first and then keys."""
+        held, known, rows = None, [], []
         for batch in batches:
             places: tuple[list, list, list] = ([], [], [])
-            for data, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [line.split("\t") for line in zlib.decompress(data).decode().split("\n")]
-                known = [r[0] for r in rows]
-                for key in set(keys):
-                    at = bisect.bisect_left(known, key)
-                    while at < len(rows) and known[at] == key:
-                        for column, value in zip(places, (rows[at][1], int(rows[at][2]), int(rows[at][3])), strict=True):
-                            column.append(value)
-                        at += 1
+            for block, data, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if data is not None:
+                    held, rows = block, [line.split("\t") for line in zlib.decompress(data).decode().split("\n")]
+                    known = [r[0] for r in rows]
+                    continue
+                at = bisect.bisect_left(known, key) if block == held else len(rows)
+                while at < len(rows) and known[at] == key:
+                    for column, value in zip(places, (rows[at][1], int(rows[at][2]), int(rows[at][3])), strict=True):
+                        column.append(value)
+                    at += 1
             yield pa.RecordBatch.from_arrays([pa.array(places[0], pa.string()), pa.array(places[1], pa.int64()), pa.array(places[2], pa.int64())], names=["archive", "offset", "length"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by archive and offset."""
+        opened, source = None, None
         for batch in batches:
-            for content, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                content, out = memoryview(content.as_buffer()), []
-                for place in places:
-                    out += map(_facts, parse(bytes(content[place["offset"] : place["offset"] + place["length"]])))
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for archive, offset, length in zip(*(batch.slice(at, 256).column(k).to_pylist() for k in range(3)), strict=True):
+                    if archive != opened:
+                        files, path = file_system(archive)
+                        opened, source = archive, files.open_input_file(path)
+                    out += map(_facts, parse(io.BytesIO(source.read_at(length, offset))))
                 yield _fact_rows(out)
 
-    keys = small_batches(wanted).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct().mapInArrow(find_blocks, "block long, key string")
-    by_block = keys.groupBy("block").agg(F.collect_list("key").alias("keys"))
-    places = by_block.join(index, "block").select("lines", "keys").mapInArrow(find_places, "archive string, offset long, length long")
-    by_archive = places.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
-    return by_archive.join(archives.select("archive", "content"), "archive").select("content", "places").mapInArrow(read, _FACTS)
+    keys = small_batches(wanted).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).distinct().mapInArrow(find_blocks, "block long, key string").distinct()
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = index.select("block", "lines", F.lit(None).cast("string").alias("key")).unionByName(keys.select("block", F.lit(None).cast("binary").alias("lines"), "key"))
+    places = met.repartition(parts, "block").sortWithinPartitions("block", F.col("lines").isNull(), "key").mapInArrow(find_places, "archive string, offset long, length long")
+    return places.repartition(parts, "archive").sortWithinPartitions("archive", "offset").mapInArrow(read, _FACTS)
 
 
 _FACTS = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, said_digest string"
@@ -238,32 +258,21 @@ def resolve(facts: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages, indexes the archives, and reads every capture back through the index."""
-    archives = write(plan(pages))
-    return resolve(look_up(pages, archives, build_index(archives)))
-
-
-def write_files(archives: DataFrame, folder: str) -> DataFrame:
-    """Writes each archive as folder/<archive>.warc.gz from the executors. The folder must be mounted on all of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with open(f"{folder}/{archive}.warc.gz", "wb") as f:
-                    f.write(content)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["archive"])
-
-    return archives.select("archive", "content").mapInArrow(run, "archive string")
+    return resolve(look_up(pages, build_index(write(plan(pages)))))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The facts of every record of the .warc.gz files under path, one file at a time in memory."""
+    """The facts of every record of the .warc.gz files under path, streamed, one record at a time in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                yield _fact_rows([_facts(p) for p in parse(content)])
+            for archive in batch.column(0).to_pylist():
+                files, path = file_system(archive)
+                with files.open_input_stream(path, compression=None) as source:
+                    for parsed in parse(source):
+                        yield _fact_rows([_facts(parsed)])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").mapInArrow(run, _FACTS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path").mapInArrow(run, _FACTS)
 
 
 ORACLE = f"""
