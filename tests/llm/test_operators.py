@@ -1,8 +1,10 @@
 """Each operator against brute force on small frames, and on odd rows."""
 
 import hashlib
+import io
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -156,6 +158,41 @@ def test_quality_split(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_training_is_ftrl():
+    """Against follow-the-regularised-leader written for one coordinate at a time."""
+    rnd = random.Random(3)
+    rows = [(" ".join(rnd.choice("good fine 12 Bad ugly, x".split()) for _ in range(rnd.randint(0, 12))), rnd.randint(0, 1)) for _ in range(60)]
+    z, n, words = Counter(), Counter(), quality._Words()
+    weight = lambda k: 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - np.sign(z[k]) * quality.L1) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+    for _ in range(3):
+        for text, label in rows:
+            x = Counter({1 << quality.BITS: 1.0})
+            for kind in quality.features(text, words):
+                for k in kind.tolist():
+                    x[k] += 1 / len(kind)
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * x[k] for k in x)))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / quality.ALPHA * w[k]
+                n[k] += g * g
+    got, bias = quality.train(rows, epochs=3)
+    assert abs(bias - weight(1 << quality.BITS)) < 1e-9 and all(abs(got[k] - weight(k)) < 1e-6 for k in z if k < 1 << quality.BITS)
+    assert np.count_nonzero(got) <= len(z)
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "word " * 100) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    assert quality.fit(docs, labels, max_chars=499)[1] == 0.0  # no text fits
+    one = quality.fit(docs, labels, max_chars=500)
+    assert one[1] == quality.fit(docs, labels, max_rows=1)[1] != quality.fit(docs, labels)[1]
+
+
+def test_shapes_of_whole_words():
+    assert quality.shape("a" * 70 + "%%%%" + "b" * 70) == "a%%%%a" and quality.shape("x" * 70 + "123456789" + "Y" * 70) == "a0A"
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (3, 0), (6, 1), (9, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
@@ -185,6 +222,24 @@ def test_mixing_reaches_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_mixing_short_texts(spark):
+    """No words are lost in short blocks, however short texts, shards and sources are."""
+    rnd = random.Random(7)
+    rows = [(k, "w " * n, s) for k, (s, n) in enumerate([("a", 5)] * 900 + [("b", 5)] * 300 + [("c", 1)] * 400 + [("d", 3)] * 40 + [("e", rnd.randint(0, 9)) for _ in range(300)])]
+    by, facts = Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        by[r.source] += r.taken
+        facts[r.source] = r.target
+    assert all(abs(by[s] - t) <= 2 * mixing.BLOCK_WORDS for s, t in facts.items()), (by, facts)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_mixing_of_given_tables(spark, sf):
+    by = llm_queries.op5_mixing(spark, f"/root/testdata/sf{sf}").groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= max(0.01 * r.target, 2 * mixing.BLOCK_WORDS) for r in by)
+
+
 def test_apportion_is_sainte_lague(spark):
     rnd = random.Random(4)
     rows = [(g, k, rnd.randint(0, 1000), seats) for g, seats in ((0, 7), (1, 100), (2, 3), (3, 0)) for k in range(9)]
@@ -357,6 +412,61 @@ def test_named_article_is_weighed():
     assert html_text.main_text("<p>Welcome to the pages of our house.</p><article><p>one</p><p>two</p><p>three</p><p>four is the last line</p></article>") == "one\ntwo\nthree\nfour is the last line"
 
 
+def test_headings_and_paragraphs_stay():
+    prose = " ".join(["An ordinary sentence of the article itself."] * 9)
+    page = f'<main><article><h1>T</h1><p>{prose}</p><h2 id="related-work">Related work</h2><p class="social">{prose} a</p><section id="search-methods"><p>{prose} b</p></section><div class="related-posts"><p>{prose} no</p></div><div class="share-links">x</div></article></main><article><p>Teaser of another story</p></article>'
+    assert html_text.main_text(page) == f"T\n{prose}\nRelated work\n{prose} a\n{prose} b"
+
+
+def test_stretches_by_brute_force():
+    """Surge and dive against sums made line by line, and stretches by their definition."""
+    rnd = random.Random(12)
+    for _ in range(400):
+        n = rnd.randint(0, 14)
+        weight, inside = [rnd.choice((0, 0, 3, 30, 90)) for _ in range(n)], sorted(rnd.random() < 0.5 for _ in range(n))
+        total = [0] * n
+        for k in range(n):
+            for m in range(k, min(n, k + html_text.WINDOW)):
+                if inside[m] == inside[k]:
+                    total[k] += weight[m]
+        surge = min(html_text.SURGE, max(total, default=0))
+        want = set()
+        for k in range(n):
+            if total[k] and total[k] >= surge:
+                before = [j for j in range(k) if all(weight[i] and inside[i] == inside[k] for i in range(j, k))]
+                after = [j for j in range(k, n) if all(total[i] and inside[i] == inside[k] for i in range(k, j + 1))]
+                want |= {j for j in before + after if weight[j]}
+        assert set(html_text.stretches(weight, inside)) == want, (weight, inside)
+
+
+def test_tokens_by_brute_force():
+    """Against a scan that looks at each tag by itself."""
+    rnd = random.Random(13)
+    for _ in range(3000):
+        page, at, want = "".join(rnd.choice(["<a ", "<b>", '"', "'", ">", "x", "</p>", "<!-- ", "-->"]) for _ in range(rnd.randint(0, 14))), 0, []
+        while at < len(page):
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+            elif re.match("</?[a-z]", page[at:]):
+                m = re.compile(r"""<(?:[^>"']|"[^"]*"|'[^']*')*>""").match(page, at)
+                end = m.end() if m else page.find(">", at) + 1
+            else:
+                end = 0
+            if end:
+                want.append((at, end))
+            at = end or at + 1
+        assert list(html_text.tokens(page)) == want, page
+
+
+@pytest.mark.parametrize("bit", ['<a "', "<a \"'>", "<nav><footer>", "<nav><div></p>", "<!--", "<![CDATA[", "<a", "<p>x", "&amp;", "<nav><article><p>"])
+def test_long_malformed_pages(bit):
+    """A megabyte of each takes about a second; at quadratic cost it would take an hour."""
+    began = time.perf_counter()
+    html_text.main_text(bit * (1_000_000 // len(bit)))
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_odd(spark):
     rows = [(1, "u", "<article><p>a</p></article>", "x", 1), (1, "u", "<article><p>a</p></article>", "x", 1), (None, None, None, None, None), (2, None, "", "", 0), (3, "v", "<p>" + "word " * 50_000, "", 0), (4, "w", "<" * 1000, "", 0)]
     got = html_text.extract(spark.createDataFrame(rows, PAGES)).collect()
@@ -382,23 +492,50 @@ def test_warc(spark, tmp_path):
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = [((i if i is not None else 99), len((t or "").encode()), sha(t), "revisit" if t == long and i != 2 else "response", 2 if t == long and i != 2 else None) for i, _, t in rows]
     assert got == sorted(want, key=lambda r: tuple(-1 if x is None else x for x in r)) or sorted(map(repr, got)) == sorted(map(repr, want))
-    archives = warc.write(warc.plan(pages), archive_bytes=200)
-    assert warc.write_files(archives, str(tmp_path)).count() > 1
+    captures = warc.write(warc.plan(pages), str(tmp_path), archive_bytes=200)
+    assert captures.select("archive").distinct().count() > 1
     facts = warc.read_files(spark, str(tmp_path))
     assert facts.count() == len(rows) and warc.resolve(facts).where("payload_digest is null").count() == 0
-    index = warc.build_index(archives)
-    one = warc.look_up(spark.createDataFrame([(3, "u"), (77, "nothing")], "page_id long, url string"), archives, index).collect()
+    one = warc.look_up(spark.createDataFrame([(3, "u"), (77, "nothing"), (3, "u")], "page_id long, url string"), warc.build_index(captures)).collect()
     assert [r.page_id for r in one] == [3]
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
 def test_index_of_many(spark):
-    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 7).cast("string"), F.lit(".example/p"), F.col("id").cast("string")).alias("url"), F.concat(F.lit("<p>"), F.col("id").cast("string")).alias("html"))
-    archives = warc.write(warc.plan(pages), archive_bytes=50_000)
-    index = warc.build_index(archives)
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 7).cast("string"), F.lit(".example/"), F.expr("repeat('long', int(id % 2) * 80)"), F.col("id").cast("string")).alias("url"), F.concat(F.lit("<p>"), F.col("id").cast("string")).alias("html"))
+    index = warc.build_index(warc.write(warc.plan(pages), archive_bytes=50_000))
     assert index.count() > 4
-    wanted = pages.where("page_id % 20 = 0")
-    assert sorted(r.page_id for r in warc.look_up(wanted, archives, index).collect()) == list(range(0, 3000, 20))
+    wanted = pages.where("page_id % 20 < 2")
+    assert sorted(r.page_id for r in warc.look_up(wanted, index).collect()) == [k for k in range(3000) if k % 20 < 2]
+
+
+def test_look_up_reads_its_ranges_only(spark, tmp_path):
+    """Bytes of other records may be gone: a look-up doesn't touch them."""
+    pages = spark.createDataFrame([(k, f"http://x.example/{k}", f"page {k} " * 50) for k in range(50)], "page_id long, url string, html string").coalesce(1)
+    captures = warc.write(warc.plan(pages), str(tmp_path))
+    index = warc.build_index(captures)
+    for c in captures.where("key not like '% 7'").collect():
+        with open(common.file_system(c.archive)[1], "r+b") as f:
+            f.seek(c.offset)
+            f.write(b"\0" * c.length)
+    got = warc.look_up(pages.where("page_id = 7"), index).first()
+    assert got.payload_digest == hashlib.sha256(("page 7 " * 50).encode()).hexdigest()
+
+
+def test_parse_is_linear():
+    member = warc.record(1, "u", b"payload " * 40, "0", None)
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.parse(io.BytesIO(member * n))) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_warc_long_payload(spark):
+    long = "".join(chr(97 + k * k % 23) for k in range(3_000_000))
+    got = warc.round_trip(spark.createDataFrame([(1, "u" * 5000, long), (2, "u" * 5000 + "x", long)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [(r.payload_bytes, r.record_type, r.refers_to) for r in got] == [(3_000_000, "response", None), (3_000_000, "revisit", 1)]
 
 
 def test_url_keys():
