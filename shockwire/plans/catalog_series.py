@@ -110,7 +110,7 @@ def _(spark, d):
 JOINED = f"{s.PRICES}, {s.SCORES}, bt AS (SELECT date, close, risk_score, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM prices JOIN scores USING (date))"
 BT = f"""{JOINED}, st AS (SELECT 'hold' AS strategy, date, risk_score, greatest(-0.0517391, least(0.0517391, coalesce(ret, 0))) AS ret, 1.0::DOUBLE AS position FROM bt UNION ALL SELECT 'risk_off', date, risk_score, greatest(-0.0517391, least(0.0517391, coalesce(ret, 0))), CASE WHEN risk_score < 45 THEN 1.0 ELSE 0.0 END FROM bt),
 ch AS (SELECT *, coalesce(lag(position) OVER w, 0) AS pp, lag(date) OVER w AS pd FROM st WINDOW w AS (PARTITION BY strategy ORDER BY date)),
-eq AS (SELECT strategy, date, position, pp, 1000000.0::DOUBLE * exp(sum(ln(CASE WHEN pp <> position THEN 1 - 0.00015::DOUBLE ELSE 1 END * CASE WHEN position > 0 AND pd IS NOT NULL THEN greatest(1 + ret, 0) ELSE 1 END)) OVER (PARTITION BY strategy ORDER BY date)) AS asset FROM ch),
+eq AS (SELECT strategy, date, position, pp, pd, 1000000.0::DOUBLE * exp(sum(ln(CASE WHEN pp <> position THEN 1 - 0.00015::DOUBLE ELSE 1 END * CASE WHEN position > 0 AND pd IS NOT NULL THEN greatest(1 + ret, 0) ELSE 1 END)) OVER (PARTITION BY strategy ORDER BY date)) AS asset FROM ch),
 dr AS (SELECT *, asset / max(asset) OVER (PARTITION BY strategy ORDER BY date) - 1 AS drawdown FROM eq)"""
 
 
@@ -139,13 +139,18 @@ def _(spark, d):
     return backtest.drawdowns(assets(spark, d)).select("strategy", "date", F.round("drawdown", 6).alias("drawdown"))
 
 
-@query("B10_metrics", f"WITH {BT}, r AS (SELECT *, asset / lag(asset) OVER (PARTITION BY strategy ORDER BY date) - 1 AS daily FROM dr), m AS (SELECT strategy, min_by(asset, date) AS a, max_by(asset, date) AS b, max(date) - min(date) AS n, min(drawdown) * 100 AS mdd, avg(daily) AS mu, stddev_samp(daily) AS sd, sum(CASE WHEN position > 0 AND pp = 0 THEN 1 ELSE 0 END)::BIGINT AS trades FROM r GROUP BY 1) SELECT strategy, round(b, 2) AS final_asset, round((b / a - 1) * 100, 4) AS total_return_pct, round((pow(b / a, 1 / (n / 365.25::DOUBLE)) - 1) * 100, 4) AS cagr_pct, round(mdd, 4) AS mdd_pct, round((mu * 252 - 0.03) / (sd * sqrt(252)), 4) AS sharpe, trades AS n_trades FROM m")
+TURNS = f"""{BT}, tu AS (SELECT *, CASE WHEN pd IS NULL OR position = pp THEN 0 WHEN position > pp THEN 1 ELSE -1 END AS turn FROM dr),
+sl AS (SELECT *, min(CASE WHEN turn = -1 THEN date END) OVER (PARTITION BY strategy ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS exit_date FROM tu),
+rt AS (SELECT b.*, e.asset > b.asset AS won FROM sl b LEFT JOIN tu e ON e.strategy = b.strategy AND e.date = b.exit_date)"""
+
+
+@query("B10_metrics", f"WITH {TURNS}, r AS (SELECT *, asset / lag(asset) OVER (PARTITION BY strategy ORDER BY date) - 1 AS daily FROM rt), m AS (SELECT strategy, max_by(asset, date) AS b, max(date) - min(date) AS n, min(drawdown) * 100 AS mdd, avg(daily) AS mu, stddev_samp(daily) AS sd, sum(abs(turn))::BIGINT AS trades, coalesce(100.0::DOUBLE * count(*) FILTER (turn = 1 AND won) / nullif(count(*) FILTER (turn = 1 AND exit_date IS NOT NULL), 0), 0) AS wins FROM r GROUP BY 1) SELECT strategy, round(b, 2) AS final_asset, round((b / 1000000.0::DOUBLE - 1) * 100, 4) AS total_return_pct, round((pow(b / 1000000.0::DOUBLE, 1 / (n / 365.25::DOUBLE)) - 1) * 100, 4) AS cagr_pct, round(mdd, 4) AS mdd_pct, round((mu * 252 - 0.03) / (sd * sqrt(252)), 4) AS sharpe, trades AS n_trades, round(wins, 4) AS win_rate_pct FROM m")
 def _(spark, d):
     m = backtest.metrics(assets(spark, d))
-    return m.select("strategy", F.round("final_asset", 2).alias("final_asset"), *[F.round(c, 4).alias(c) for c in ("total_return_pct", "cagr_pct", "mdd_pct", "sharpe")], "n_trades")
+    return m.select("strategy", F.round("final_asset", 2).alias("final_asset"), *[F.round(c, 4).alias(c) for c in ("total_return_pct", "cagr_pct", "mdd_pct", "sharpe")], "n_trades", F.round("win_rate_pct", 4).alias("win_rate_pct"))
 
 
-@query("W18_round_trips", f"WITH {BT}, t AS (SELECT strategy, date, CASE WHEN position > 0 AND pp = 0 THEN 'buy' WHEN position = 0 AND pp > 0 THEN 'sell' END AS turn FROM eq), u AS (SELECT *, lead(date) OVER (PARTITION BY strategy ORDER BY date) AS exit_date FROM t WHERE turn IS NOT NULL) SELECT strategy, date AS entry_date, exit_date FROM u WHERE turn = 'buy'")
+@query("W18_round_trips", f"WITH {TURNS} SELECT strategy, date AS entry_date, exit_date, won FROM rt WHERE turn = 1")
 def _(spark, d):
     return backtest.round_trips(assets(spark, d))
 
@@ -160,15 +165,47 @@ def _(spark, d):
     return backtest.rebased(assets(spark, d), "1996-01-01", "1996-12-31").withColumn("index", F.round("index", 4))
 
 
-@query("B3_B6_positions")
+#: Rows numbered by date with half the score, and a fold over them: the state after row rn follows from the one before.
+NUMBERED = f"{JOINED}, d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY date) AS rn, date, close, risk_score / 2 AS x, greatest(-0.0517391, least(0.0517391, coalesce(ret, 0))) AS ret FROM bt)"
+STATES = f"""{NUMBERED}, f AS (
+SELECT 0::BIGINT AS rn, 0.0::DOUBLE AS peak, 0 AS dip_left, 0 AS dip, 0 AS left60, 0 AS in60, 0 AS left30, 0 AS in30, 0 AS phase, 0.0::DOUBLE AS top, 0 AS long_left, 0 AS turn
+UNION ALL SELECT d.rn,
+ CASE WHEN dip_left = 1 OR (dip_left = 0 AND greatest(peak, x) > 5 AND x <= greatest(peak, x) * 0.5) THEN x ELSE greatest(peak, x) END,
+ CASE WHEN dip_left > 0 THEN dip_left - 1 WHEN greatest(peak, x) > 5 AND x <= greatest(peak, x) * 0.5 THEN 29 ELSE 0 END,
+ CASE WHEN dip_left > 0 OR (greatest(peak, x) > 5 AND x <= greatest(peak, x) * 0.5) THEN 1 ELSE 0 END,
+ CASE WHEN left60 > 0 THEN left60 - 1 WHEN x >= 18.52 THEN 59 ELSE 0 END, CASE WHEN left60 > 0 OR x >= 18.52 THEN 1 ELSE 0 END,
+ CASE WHEN left30 > 0 THEN left30 - 1 WHEN x >= 18.52 THEN 29 ELSE 0 END, CASE WHEN left30 > 0 OR x >= 18.52 THEN 1 ELSE 0 END,
+ CASE phase WHEN 0 THEN CASE WHEN x >= 18.52 THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN x <= greatest(top, x) * 0.5 THEN 2 ELSE 1 END ELSE CASE WHEN long_left <= 1 THEN 0 ELSE 2 END END,
+ CASE phase WHEN 0 THEN x WHEN 1 THEN greatest(top, x) ELSE top END, CASE WHEN phase = 1 THEN 60 ELSE long_left - 1 END,
+ CASE phase WHEN 0 THEN CASE WHEN x >= 18.52 THEN -2 ELSE 0 END WHEN 1 THEN -2 ELSE 2 END
+FROM f JOIN d ON d.rn = f.rn + 1), g AS (SELECT date, x, f.* FROM f JOIN d USING (rn))"""
+POSITIONS = [
+    ("buy_and_hold", "1", "1"), ("risk_off_18", "x < 18.52", "1"), ("risk_off_10", "x < 10", "1"), ("buy_the_dip", "dip", "1"), ("dip_2x", "dip", "1 + dip"), ("contrarian_2x_60", "in60", "1 + in60"), ("hold_with_dip", "1", "1 + dip"),
+    ("inverse_1x_30", "in30", "1 - 2 * in30"), ("inverse_2x_30", "in30", "1 - 3 * in30"), ("inverse_2x_60", "in60", "1 - 3 * in60"), ("inverse_then_leverage", "turn <> 0", "CASE WHEN turn = 0 THEN 1 ELSE turn END"),
+]
+
+
+@query("B3_B6_positions", f"WITH RECURSIVE {STATES} " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, date, ({p})::INT::DOUBLE AS position, ({q})::DOUBLE AS leverage FROM g" for n, p, q in POSITIONS))
 def _(spark, d):
     scaled = days(spark, d).withColumn("risk_score", F.col("risk_score") / 2)
     return backtest.positions(scaled, backtest.STRATEGIES).select("strategy", "date", "position", "leverage")
 
 
-@query("B7_B9_dca")
+DCA = f"""{NUMBERED}, plans AS (SELECT * FROM (VALUES ('dca_4', 4, 0.05::DOUBLE, 18.52::DOUBLE, 60), ('dca_5', 5, 0.03::DOUBLE, 10.0::DOUBLE, 90)) AS v(strategy, n, step, limit_, hold)), f AS (
+SELECT strategy, 0::BIGINT AS rn, 0 AS parts, 0.0::DOUBLE AS last_, 0 AS left_, 1000000.0::DOUBLE AS cash, 0.0::DOUBLE AS part, 0.0::DOUBLE AS invested, '' AS signal, 0 AS inside FROM plans
+UNION ALL SELECT strategy, rn, CASE signal WHEN 'entry' THEN 1 WHEN 'add' THEN parts + 1 WHEN 'exit' THEN 0 ELSE parts END, CASE WHEN signal IN ('entry', 'add') THEN close ELSE last_ END, CASE signal WHEN 'entry' THEN hold ELSE left_ - 1 END,
+ CASE signal WHEN 'exit' THEN cash + invested * (1 - 0.00015::DOUBLE) ELSE cash - spent * (1 + 0.00015::DOUBLE) END, CASE signal WHEN 'entry' THEN cash / n ELSE part END,
+ CASE signal WHEN 'exit' THEN 0 ELSE (invested + spent) * CASE WHEN rn > 1 THEN 1 + ret * 2 ELSE 1 END END, signal, inside
+FROM (SELECT *, CASE signal WHEN 'entry' THEN cash / n WHEN 'add' THEN greatest(0, least(part, cash / (1 + 0.00015::DOUBLE))) ELSE 0 END AS spent FROM (
+ SELECT f.* EXCLUDE (rn, signal, inside), d.rn, d.close, d.ret, plans.n, plans.hold, CASE WHEN parts > 0 OR x >= limit_ THEN 1 ELSE 0 END AS inside,
+  CASE WHEN parts = 0 THEN CASE WHEN x >= limit_ THEN 'entry' ELSE '' END WHEN left_ <= 1 THEN 'exit' WHEN parts < n AND close <= last_ * (1 - step) THEN 'add' ELSE '' END AS signal
+ FROM f JOIN d ON d.rn = f.rn + 1 JOIN plans USING (strategy))))"""
+
+
+@query("B7_B9_dca", f"WITH RECURSIVE {DCA} SELECT strategy, date, signal, inside::DOUBLE AS position, round(cash, 2) AS cash, round(invested, 2) AS invested, round(cash + invested, 2) AS asset FROM f JOIN d USING (rn)")
 def _(spark, d):
-    return six(backtest.dca(days(spark, d).withColumn("risk_score", F.col("risk_score") / 2)))
+    calm = days(spark, d).withColumn("ret", F.greatest(F.lit(-0.0517391), F.least(F.lit(0.0517391), F.coalesce("ret", F.lit(0.0))))).withColumn("risk_score", F.col("risk_score") / 2)
+    return backtest.dca(calm).select("strategy", "date", "signal", "position", *[F.round(c, 2).alias(c) for c in ("cash", "invested", "asset")])
 
 
 RATES = f"{s.DAILY}, rates AS (SELECT date, property_id, round(100 * cnt::DOUBLE / n_articles, 2) AS rate FROM daily JOIN per_day USING (date) WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-03-20'), g AS (SELECT * FROM (SELECT DISTINCT date FROM rates), (SELECT DISTINCT property_id FROM rates)), dense AS (SELECT g.date, g.property_id, coalesce(rate, 0) AS rate FROM g LEFT JOIN rates USING (date, property_id))"

@@ -174,11 +174,15 @@ def test_ols_recovers_a_plane(spark):
 def test_strategies():
     s = np.array([0, 6, 8, 4, 1, 20, 20, 9, 9, 0], float)
     assert backtest.risk_off(10)(s)[0] == [1, 1, 1, 1, 1, 0, 0, 1, 1, 1]
-    assert backtest.contrarian(18.52, 2, -2.0)(s) == ([0, 0, 0, 0, 0, 1, 1, 0, 0, 0], [-2.0] * 10)
-    assert backtest.buy_the_dip(hold=2)(s)[0] == [0, 0, 0, 1, 1, 0, 0, 1, 1, 0]
-    position, lever = backtest.inverse_then_leverage(18.52, 1)(s)
-    assert position == [0, 0, 0, 0, 0, 1, 1, 1, 0, 0] and lever[5:8] == [-2.0, -2.0, 2.0]
-    assert backtest.tranches(s, np.array([9, 9, 9, 9, 9, 10, 9.4, 9.3, 8.8, 8.0]), hold=4) == ["", "", "", "", "", "entry", "add", "", "add", "exit"]
+    assert backtest.contrarian(18.52, 2, -2.0)(s) == ([0, 0, 0, 0, 0, 1, 1, 0, 0, 0], [1.0] * 5 + [-2.0, -2.0] + [1.0] * 3)
+    assert backtest.buy_the_dip(hold=2)(s)[0] == [0, 0, 0, 1, 1, 0, 0, 1, 1, 1]
+    # worked by hand: the last row held starts a new peak at its score
+    assert backtest.buy_the_dip(hold=2)(np.array([20, 8, 40, 15, 15], float))[0] == [0, 1, 1, 1, 1]
+    assert backtest.hold_with_dip(hold=2)(np.array([20, 8, 40, 15, 15], float)) == ([1] * 5, [1.0, 2.0, 2.0, 2.0, 2.0])
+    # long from the row after the switch, for two rows
+    assert backtest.inverse_then_leverage(18.52, 2)(np.array([20, 30, 14, 10, 10, 10, 10], float)) == ([1, 1, 1, 1, 1, 0, 0], [-2.0, -2.0, -2.0, 2.0, 2.0, 1.0, 1.0])
+    plan = backtest.Tranches(hold=4)
+    assert plan.signals(s, np.array([9, 9, 9, 9, 9, 10, 9.4, 9.3, 8.8, 8.0])) == (["", "", "", "", "", "entry", "add", "", "add", "exit"], [0, 0, 0, 0, 0, 1, 1, 1, 1, 1])
 
 
 def test_equity_dies_at_zero(spark):
@@ -187,10 +191,23 @@ def test_equity_dies_at_zero(spark):
     assert got == [pytest.approx(v) for v in (100.0, 120.0, 0.0, 0.0)]
 
 
-def test_dca_keeps_money(spark):
-    rows = [(day(k), 100.0 - k, 20.0 if k == 2 else 0.0, 0.0) for k in range(8)]
-    got = backtest.dca(spark.createDataFrame(rows, "date date, close double, risk_score double, ret double"), 1000.0, step=0.01, hold=3, commission=0.0).orderBy("date").collect()
-    assert [r.signal for r in got] == ["", "", "entry", "add", "add", "exit", "", ""] and all(r.asset == pytest.approx(1000) for r in got)
+def test_dca_by_hand(spark):
+    """1,000 in two parts, commission of a tenth: 500 bought for 550, then 50 per cent on it twice over, then 409.09 more."""
+    rows = [(day(0), 10.0, 0.0, None), (day(1), 10.0, 20.0, 0.0), (day(2), 10.0, 0.0, 0.25), (day(3), 9.0, 0.0, 0.0), (day(4), 9.0, 0.0, 0.5), (day(5), 9.0, 0.0, 0.0)]
+    got = backtest.dca(spark.createDataFrame(rows, "date date, close double, risk_score double, ret double"), {"p": backtest.Tranches(n=2, hold=3)}, 1000.0, 0.1).orderBy("date").collect()
+    assert [(r.signal, r.position, r.leverage) for r in got] == [("", 0, 1), ("entry", 1, 2), ("", 1, 2), ("add", 1, 2), ("exit", 1, 2), ("", 0, 1)]
+    added = 450 / 1.1
+    assert [r.asset for r in got] == [pytest.approx(v) for v in (1000, 950, 450 + 750, 750 + added, (750 + added) * 0.9, (750 + added) * 0.9)]
+
+
+def test_metrics_by_hand(spark):
+    """Returns on the seed, buys and sells without the first day's, and the share of round trips won."""
+    placed = [(1, 990.0), (1, 1000.0), (0, 1000.0), (1, 1000.0), (1, 1200.0), (0, 1200.0), (1, 1100.0), (0, 1000.0), (1, 1000.0)]
+    rows = [("s", day(k), float(p), a) for k, (p, a) in enumerate(placed)]
+    assets = spark.createDataFrame(rows, "strategy string, date date, position double, asset double")
+    m = backtest.metrics(assets, seed=1000.0).first()
+    assert (m.n_trades, m.win_rate_pct, m.total_return_pct) == (6, 50.0, pytest.approx(0.0)) and m.mdd_pct == pytest.approx(-100 / 6)
+    assert [(r.entry_date, r.exit_date, r.won) for r in backtest.round_trips(assets).orderBy("entry_date").collect()] == [(day(3), day(5), True), (day(6), day(7), False), (day(8), None, None)]
 
 
 def test_checks(spark):
