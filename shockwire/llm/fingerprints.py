@@ -30,7 +30,7 @@ from shockwire.llm.common import cut, text_of
 
 SAMPLES = 64
 #: Code points of texts that a task of the counting stage should hold.
-TASK_CHARS = 4_000_000
+TASK_CHARS = 2_000_000
 #: Most tasks of that stage; beyond it, tasks grow and spill.
 MAX_TASKS = 50_000
 #: Samples that one row of the sampling stage makes; more would make the code that Spark generates for it too long.
@@ -58,7 +58,8 @@ def samples_of(term: Column, k: Column, *log_weights: Column) -> list[Column]:
     """ln(a) of sample k for a term's hash and each log of a weight (null: none). r and c are never cut to a table: their
     tails reach 2**-40 (r) and 2**-18 (c, whose small values decide, with 46 bits there)."""
     h = F.xxhash64(term, k)
-    g, f = F.xxhash64(h, term), F.xxhash64(term, h, k)
+    g = F.xxhash64(h)
+    f = F.xxhash64(g)
     r = _gamma(F.shiftrightunsigned(h, 24), 1 + _between(g, 0, 32), 1 + _between(g, 32, 32))
     c = _gamma(F.shiftrightunsigned(f, 46), 1 + _between(f, 0, 23), 1 + _between(f, 23, 23))
     b = _between(h, 0, 24)

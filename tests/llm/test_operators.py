@@ -379,6 +379,36 @@ def test_draws_are_gamma(spark):
     assert spark.range(3).select(fingerprints.samples_of(F.col("id"), F.lit(0), F.lit(None).cast("double"))[0].alias("a")).where("a is not null").count() == 0
 
 
+def test_sampler_by_brute_force(spark):
+    """Marks against samples drawn one by one, from the hashes Spark gives."""
+    words = [(d, 0, w) for d, text in enumerate(("a b a c a", "b c d d d d d d d", "a", "z y x w v u z y z")) for w in text.split()]
+    got = {(r.d, r.lane): r.marks_0 for r in fingerprints.fingerprint_words(spark.createDataFrame(words, "d int, part int, word string"), ["d"], 16).collect()}
+    named = spark.createDataFrame(sorted({(w,) for *_, w in words}), "word string").select("word", F.xxhash64("word").alias("term")).crossJoin(spark.range(16).select(F.col("id").cast("int").alias("k")))
+    hashes = {(r.word, r.k): (r.h, r.g, r.f) for r in named.withColumn("h", F.xxhash64("term", "k")).withColumn("g", F.xxhash64("h")).withColumn("f", F.xxhash64("g")).collect()}
+    bits = lambda x, at, n: ((x & (2**64 - 1)) >> at & (2**n - 1)) / 2**n + 0.5 / 2**n
+
+    def second(x):
+        places = [k for k in range(64) if x >> k & 1]
+        return places[1] + 1 if len(places) > 1 else 64
+
+    def a(word, k, weight):
+        h, g, f = (x & (2**64 - 1) for x in hashes[word, k])
+        r = second(h >> 24) - np.log2((1 + bits(g, 0, 32)) * (1 + bits(g, 32, 32)))
+        c = second(f >> 46) - np.log2((1 + bits(f, 0, 23)) * (1 + bits(f, 23, 23)))
+        b = bits(h, 0, 24)
+        r, c = r * np.log(2), c * np.log(2)
+        return np.log(c) - r * (np.floor(np.log(weight) / r + b) - b + 1)
+
+    winners = {}
+    for d in range(4):
+        counts = Counter(w for x, _, w in words if x == d)
+        for k in range(16):
+            word = min(counts, key=lambda w: a(w, k, counts[w]))  # noqa: B023
+            winners.setdefault((k, word, round(a(word, k, counts[word]), 3)), set()).add(got[d, k // 8][k % 8])
+    assert all(len(marks) == 1 for marks in winners.values())  # equal samples, equal marks
+    assert len({(k, min(m)) for (k, *_), m in winners.items()}) >= len(winners) - 1  # and unequal ones
+
+
 def test_fingerprints_odd(spark, odd, none):
     rows = fingerprints.fingerprint(odd).collect()
     assert len(rows) == len(ODD) and fingerprints.fingerprint(none).count() == 0
