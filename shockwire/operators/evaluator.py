@@ -25,15 +25,16 @@ def dense_rates(rates: DataFrame) -> DataFrame:
 
 
 def dynamics(rates: DataFrame, least: float = 0.5) -> DataFrame:
-    """By property: trend (last of three days against the first, 15 per cent), velocity (mean of the last three
-    changes), spike (last change above 0.3 of the mean); properties that never reach `least` go."""
+    """By property: trend (last of three days against the first, 15 per cent; unknown below three days), velocity (mean
+    of the last three changes), spike (last change above 0.3 of the mean); properties that never reach `least` go. A table
+    of one day gives no rows."""
     w = Window.partitionBy("property_id").orderBy("date")
     rows = dense_rates(rates).withColumns({"change": F.col("rate") - F.lag("rate").over(w), "back": F.row_number().over(Window.partitionBy("property_id").orderBy(F.desc("date")))})
     at = lambda c, k: F.max(F.when(F.col("back") == k, F.col(c)))
-    out = rows.groupBy("property_id").agg(F.max("rate").alias("top"), F.avg("rate").alias("mean"), at("rate", 1).alias("last"), at("rate", 3).alias("third"), F.avg(F.when(F.col("back") <= 3, F.col("change"))).alias("velocity"), at("change", 1).alias("jump"))
-    trend = F.when(F.col("last") > F.col("third") * 1.15, "rising").when(F.col("last") < F.col("third") * 0.85, "falling").otherwise("stable")
+    out = rows.groupBy("property_id").agg(F.max("rate").alias("top"), F.count(F.lit(1)).alias("days"), F.avg("rate").alias("mean"), at("rate", 1).alias("last"), at("rate", 3).alias("third"), F.avg(F.when(F.col("back") <= 3, F.col("change"))).alias("velocity"), at("change", 1).alias("jump"))
+    trend = F.when(F.col("third").isNull(), "unknown").when(F.col("last") > F.col("third") * 1.15, "rising").when(F.col("last") < F.col("third") * 0.85, "falling").otherwise("stable")
     spike = F.coalesce(F.when(F.col("mean") > 0, F.abs("jump") / F.when(F.col("mean") > 0, F.col("mean")) > 0.3), F.lit(False))
-    return out.where(F.col("top") >= least).select("property_id", "last", "mean", trend.alias("trend"), F.round("velocity", 3).alias("velocity"), spike.alias("spike"))
+    return out.where((F.col("top") >= least) & (F.col("days") > 1)).select("property_id", "last", "mean", trend.alias("trend"), F.round("velocity", 3).alias("velocity"), spike.alias("spike"))
 
 
 def pair_correlations(rates: DataFrame, top: int = 30) -> DataFrame:

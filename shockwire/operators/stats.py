@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from shockwire.config import DEFAULT
 from shockwire.functions.special import chi2_tail, fisher_greater, normal_tail
@@ -67,12 +72,40 @@ def mann_whitney(dense: DataFrame) -> DataFrame:
     n = n1 + n2
     u = F.col("r") - n1 * (n1 + 1) / 2
     sigma = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return sums.select("property_id", "window_days", "n1", "n2", u.alias("u"), sigma.alias("sigma"), F.when(sigma > 0, (u - n1 * n2 / 2 - 0.5) / F.when(sigma > 0, sigma)).alias("z"), "top")
+    return sums.select("property_id", "window_days", "n1", "n2", u.alias("u"), sigma.alias("sigma"), F.when(sigma > 0, (u - n1 * n2 / 2 - 0.5) / F.when(sigma > 0, sigma)).alias("z"), "top", "ties")
+
+
+#: Up to this size of the smaller sample, and without ties, the Mann-Whitney p is exact.
+EXACT = 8
+
+
+@lru_cache(maxsize=64)
+def _u_tail(n1: int, n2: int) -> np.ndarray:
+    """P(U >= u) for u = 0 .. n1 n2 over all orders of two samples without ties, by the number of subsets with each sum. It is
+    the same with the samples exchanged."""
+    ways = np.zeros((n1 + 1, n1 * n2 + 1))
+    ways[0, 0] = 1
+    for rank in range(n1 + n2):  # the k-th element taken beats rank - k of the other sample
+        for k in range(min(rank, n1 - 1), -1, -1):
+            beaten = rank - k
+            if beaten <= n2:
+                ways[k + 1, beaten:] += ways[k, : ways.shape[1] - beaten]
+    return ways[n1][::-1].cumsum()[::-1] / ways[n1].sum()
+
+
+@F.pandas_udf(DoubleType())
+def u_tail(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """The exact one-sided p of U without ties."""
+    return pd.Series([float(_u_tail(*sorted((int(a), int(b))))[int(round(x))]) for x, a, b in zip(u, n1, n2, strict=True)])
 
 
 def frequency_tests(dense: DataFrame) -> DataFrame:
-    """X5 with its one-sided p: 1 where all frequencies are 0 (or alike)."""
-    return mann_whitney(dense).withColumn("p_value", F.when((F.col("top") == 0) | F.col("z").isNull(), 1.0).otherwise(normal_tail("z")))
+    """X5 with its one-sided p: 1 where all frequencies are 0 (or alike), exact for small samples without ties."""
+    found = mann_whitney(dense)
+    small = (F.least("n1", "n2") <= EXACT) & (F.least("n1", "n2") > 0) & (F.col("ties") == 0)
+    rough = found.where(~small).withColumn("p_value", F.when((F.col("top") == 0) | F.col("z").isNull(), 1.0).otherwise(normal_tail("z")))
+    exact = found.where(small).withColumn("p_value", F.when(F.col("top") == 0, 1.0).otherwise(u_tail("u", "n1", "n2")))
+    return rough.unionByName(exact).drop("ties")
 
 
 def bh_adjust(tests: DataFrame, p: str = "p_value", within: list[str] | None = None, *ties: str) -> DataFrame:
@@ -135,13 +168,13 @@ def roc(scored: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """The area under the curve from mean ranks; 0 where a class is absent."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy("score"))
-    ranked = scored.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy("score")) + (ties - 1) / 2.0)
-    p = F.sum("label").cast("double")
-    n = F.count(F.lit(1)) - p
-    r = F.sum(F.when(F.col("label") == 1, F.col("rank")).otherwise(0.0))
-    return ranked.agg(F.when((p > 0) & (n > 0), (r - p * (p + 1) / 2) / F.when((p > 0) & (n > 0), p * n)).otherwise(0.0).alias("auc"))
+    """The area under the curve; 0 where a class is absent. Rows are counted by distinct score first: a positive beats
+    the negatives below it and ties with those at its score."""
+    by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    below = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("score")) - F.col("n")
+    won = by.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    pairs = F.sum("p").cast("double") * F.sum("n")
+    return won.agg(F.when(pairs > 0, F.sum("won") / F.when(pairs > 0, pairs)).otherwise(0.0).alias("auc"))
 
 
 def best_f1(curve: DataFrame) -> DataFrame:

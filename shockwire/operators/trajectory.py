@@ -36,29 +36,39 @@ def similarity(a: Column, b: Column, alpha: float = 0.7) -> Column:
     return F.when((F.size(a) < 2) | zero(a) | zero(b), 0.0).otherwise(alpha * cosine(a, b) + (1 - alpha) * near)
 
 
-def match(path: DataFrame, types: DataFrame, alpha: float = 0.7) -> DataFrame:
-    """Each path against the prefixes of every non-noise type (type_id, label, centroid); best first. Types
-    are a dictionary of a few rows; a path's known part may be shorter than a prefix, which is then skipped."""
+def match(path: DataFrame, types: DataFrame, alpha: float = 0.7, own: tuple[str, str] | None = None) -> DataFrame:
+    """Each path against the prefixes of every non-noise type (type_id, label, centroid), by similarity to four
+    digits; best first, then by type and the longer prefix. Types are a dictionary of a few rows; a path's known part may be
+    shorter than a prefix, which is then skipped. own: columns of path and types that have to be equal."""
     phases = F.array(*[F.struct(F.lit(k).alias("phase"), F.lit(n).alias("points")) for k, n in PHASES.items()])
-    tried = path.crossJoin(types.where("label >= 0").select("type_id", "centroid")).withColumn("p", F.explode(phases)).where(F.size("path") >= F.col("p.points"))
+    known = types.where("label >= 0")
+    both = path.crossJoin(known.select("type_id", "centroid")) if own is None else path.join(known.select(F.col(own[1]).alias("_own"), "type_id", "centroid"), F.col(own[0]) == F.col("_own"))
+    tried = both.withColumn("p", F.explode(phases)).where(F.size("path") >= F.col("p.points"))
     cut = lambda v: F.slice(v, F.lit(1), F.col("p.points"))
-    found = tried.select("id", "type_id", "p.phase", "p.points", similarity(cut(F.col("path")), cut(F.col("centroid")), alpha).alias("similarity"))
+    found = tried.select("id", "type_id", "p.phase", "p.points", F.round(similarity(cut(F.col("path")), cut(F.col("centroid")), alpha), 4).alias("similarity"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "type_id", F.desc("points"))))
 
 
+def top_matches(matches: DataFrame, n: int = 10) -> DataFrame:
+    """T4: each path's n best matches, each with the next one's type, phase and similarity (null after the last)."""
+    w = Window.partitionBy("id").orderBy("rank")
+    after = {f"next_{c}": F.lead(c).over(w) for c in ("type_id", "phase", "similarity")}
+    return matches.withColumns(after).where(F.col("rank") <= n).select("id", "rank", "type_id", "phase", "similarity", *after)
+
+
 def confidence_limits(control_matches: DataFrame) -> DataFrame:
     """Threshold, the 95th percentile of controls' best similarities, and margin, half their deviation."""
     best = control_matches.where("rank = 1")
-    return best.agg(F.percentile("similarity", F.lit(0.95)).alias("threshold"), (F.stddev_pop("similarity") * 0.5).alias("margin"))
+    four = lambda x: F.round(x + 1e-9, 4)  # a tie goes up, whatever its last bits are
+    return best.agg(four(F.percentile("similarity", F.lit(0.95))).alias("threshold"), four(F.stddev_pop("similarity") * 0.5).alias("margin"))
 
 
 def confidence(matches: DataFrame, limits: DataFrame) -> DataFrame:
-    """Unclassifiable below the threshold, uncertain within the margin of another type, else confident."""
-    other = matches.groupBy("id", "type_id").agg(F.max("similarity").alias("s"))
-    ranked = other.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "type_id")))
-    top = ranked.groupBy("id").agg(F.max(F.when(F.col("n") == 1, F.col("type_id"))).alias("type_id"), F.max(F.when(F.col("n") == 1, F.col("s"))).alias("similarity"), F.max(F.when(F.col("n") == 2, F.col("s"))).alias("runner_up"))
-    told = F.when(F.col("similarity") < F.col("threshold"), "unclassifiable").when(F.col("similarity") - F.col("runner_up") < F.col("margin"), "uncertain").otherwise("confident")
-    return top.crossJoin(limits).select("id", "type_id", "similarity", told.alias("confidence"))
+    """Unclassifiable below the threshold, uncertain within the margin of the next match, of whatever type and phase,
+    else confident."""
+    best = top_matches(matches, 1)
+    told = F.when(F.col("similarity") < F.col("threshold"), "unclassifiable").when(F.col("similarity") - F.col("next_similarity") < F.col("margin"), "uncertain").otherwise("confident")
+    return best.crossJoin(limits).select("id", "type_id", "phase", "similarity", told.alias("confidence"))
 
 
 def type_table(labelled: DataFrame) -> DataFrame:
@@ -72,19 +82,38 @@ def type_table(labelled: DataFrame) -> DataFrame:
 
 
 def shape_name(c: Column) -> Column:
-    """A centroid in a word, from its range, its last step and its half-way point."""
-    first, mid, before, last = (F.element_at(c, k) for k in (1, 3, 4, 5))
-    span = F.array_max(c) - F.array_min(c)
-    rising = F.forall(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(c, i + 1) >= F.element_at(c, i))
-    return F.when(span < 0.1, "flat").when(rising & (last - before > 0.5 * span), "late surge").when(rising & (last - mid > mid - first), "accelerating").when(rising, "gradual build").when(F.abs(last - mid) < 0.1 * span, "plateau").otherwise("mixed")
+    """A centroid in a word, from its range, the means of its first and second half (the middle point is in the second),
+    its deviation and its last two steps; the first rule that holds. unknown below three points."""
+    n = F.size(c)
+    half = F.floor(n / 2).cast("int")
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.when(F.size(v) > 0, F.size(v))
+    early, late = mean(F.slice(c, F.lit(1), half)), mean(F.slice(c, half + 1, n - half))
+    whole = mean(c)
+    deviation = F.sqrt(mean(F.transform(c, lambda x: (x - whole) * (x - whole))))
+    last = [F.try_element_at(c, F.lit(-k)) for k in (1, 2, 3)]
+    return (
+        F.when(n < 3, "unknown").when(F.array_max(c) - F.array_min(c) < 0.1, "flat").when((early < 0.3) & (late > 0.6), "late-surge").when((early > 0.4) & (late > 0.6), "gradual-build")
+        .when(deviation < 0.15, "plateau").when((last[0] > last[1]) & (last[1] > last[2]), "accelerating").otherwise("mixed")
+    )
+
+
+#: Paths that one group may hold: a group is clustered in one task, whose memory and time grow with the square of them.
+MAX_PATHS = 5_000
+
+
+def _bounded(rows: int) -> None:
+    if rows > MAX_PATHS:
+        raise ValueError(f"{rows} paths in one group: clustering in one task is for {MAX_PATHS} at most; cluster by group")
 
 
 def cluster(path: DataFrame, min_cluster_size: int, group: str = "_all") -> DataFrame:
-    """(id, path, label) by HDBSCAN, one group a task. A group is a set of events, a few hundred rows."""
+    """(id, path, label) by HDBSCAN, one group a task. A group is a set of events, a few hundred rows; more than
+    MAX_PATHS raise."""
     keyed = path if group in path.columns else path.withColumn(group, F.lit(0))
     kind = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded(len(pdf))
         pdf = pdf.sort_values("id", ignore_index=True)
         pdf["label"] = hdbscan(np.array(pdf["path"].tolist(), dtype=float), min_cluster_size)
         return pdf[[group, "id", "path", "label"]]
@@ -93,45 +122,52 @@ def cluster(path: DataFrame, min_cluster_size: int, group: str = "_all") -> Data
 
 
 def search_cluster_sizes(path: DataFrame, sizes: range = range(5, 21)) -> DataFrame:
-    """Clusters, noise and silhouette (noise counts as a cluster) for each size; sizes run side by side."""
+    """Clusters, noise and silhouette (noise counts as a cluster; -1 below two clusters) for each size; sizes run
+    side by side."""
     keyed = path.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded(len(pdf))
         pdf = pdf.sort_values("id")
         x, size = np.array(pdf["path"].tolist(), dtype=float), int(pdf["size"].iloc[0])
         labels = hdbscan(x, size)
-        return pd.DataFrame({"size": [size], "n_clusters": [len(set(labels) - {-1})], "n_noise": [int((labels < 0).sum())], "silhouette": [silhouette(x, labels)]})
+        n = len(set(labels) - {-1})
+        return pd.DataFrame({"size": [size], "n_clusters": [n], "n_noise": [int((labels < 0).sum())], "silhouette": [silhouette(x, labels) if n > 1 else -1.0]})
 
     return keyed.groupBy("size").applyInPandas(run, "size int, n_clusters int, n_noise int, silhouette double")
 
 
+def best_cluster_size(tried: DataFrame) -> DataFrame:
+    """The row of the largest silhouette, the smallest size of equals."""
+    return tried.orderBy(F.desc("silhouette"), "size").limit(1)
+
+
 def leave_one_out(labelled: DataFrame, min_cluster_size: int, alpha: float = 0.7) -> DataFrame:
-    """For each id, the others are clustered anew and the path is matched in full and by its first three points;
-    held-out ids are tasks of their own. agrees: the full match's members share the id's own label (no match: false)."""
-    everything = labelled.agg(F.collect_list(F.struct("id", "path", "label")).alias("all"))  # a few hundred paths
-    keyed = labelled.select(F.col("id").alias("held")).join(everything, how="cross").select("held", F.explode("all").alias("r")).select("held", "r.*")
+    """For each id, the others are clustered anew, and the path is matched with their types, in full and by its first
+    three points, each by all prefixes that are short enough. agrees: both find the same type (none: false). Held-out ids are
+    tasks of their own; MAX_PATHS of them or more raise."""
+    n = labelled.count()
+    _bounded(n)
+    some = labelled.select("id", "path", "label")
+    keyed = some.join(F.broadcast(some.select(F.col("id").alias("held"))), F.col("id") != F.col("held"))  # MAX_PATHS rows at most
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf["held"].iloc[0]
-        me, rest = pdf[pdf["id"] == held].iloc[0], pdf[pdf["id"] != held].sort_values("id")
+        rest = pdf.sort_values("id", ignore_index=True)
         x = np.array(rest["path"].tolist(), dtype=float)
         labels = hdbscan(x, min_cluster_size)
-        best = {}
-        for points in (5, 3):
-            options = [(_similar(np.array(me["path"])[:points], x[labels == k].mean(axis=0)[:points], alpha), -k) for k in set(labels) - {-1}]
-            best[points] = max(options, default=(None, None))
-        k = best[5][1]
-        own = None if k is None else rest["label"][labels == -k].mode().iloc[0]
-        return pd.DataFrame({"id": [held], "true_label": [int(me["label"])], "full_similarity": [best[5][0]], "partial_similarity": [best[3][0]], "agrees": [own is not None and int(own) == int(me["label"]) and int(me["label"]) >= 0]})
-
-    kind = dict(labelled.dtypes)["id"]
-    return keyed.groupBy("held").applyInPandas(run, f"id {kind}, true_label int, full_similarity double, partial_similarity double, agrees boolean")
-
+        kinds = sorted(set(labels.tolist()) - {-1})
+        if not kinds:
+            return pd.DataFrame()
+        return pd.DataFrame({"held": [pdf["held"].iloc[0]] * len(kinds), "type_id": [f"type_{k}" for k in kinds], "label": kinds, "centroid": [x[labels == k].mean(axis=0) for k in kinds]})
 
-def _similar(a: np.ndarray, b: np.ndarray, alpha: float) -> float:
-    if len(a) < 2 or np.allclose(a, 0) or np.allclose(b, 0):
-        return 0.0
-    return float(alpha * (a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)) + (1 - alpha) * (1 - min(np.linalg.norm(a - b) / np.sqrt(len(a)), 1)))
+    types = keyed.groupBy("held").applyInPandas(run, f"held {dict(labelled.dtypes)['id']}, type_id string, label int, centroid array<double>")
+    types = types.persist()  # both matches use it; recomputed if an executor is lost
+    best = lambda path: match(path, types, alpha, own=("id", "held")).where("rank = 1")
+    full = best(some).select("id", F.col("type_id").alias("full_type"), F.col("similarity").alias("full_similarity"))
+    partial = best(some.withColumn("path", F.slice("path", 1, 3))).select("id", F.col("type_id").alias("partial_type"), F.col("phase").alias("partial_phase"), F.col("similarity").alias("partial_similarity"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    out = some.join(full, "id", "left").join(partial, "id", "left")
+    return out.select("id", F.col("label").alias("true_label"), "full_type", zero("full_similarity"), "partial_type", "partial_phase", zero("partial_similarity"), F.coalesce(F.col("full_type") == F.col("partial_type"), F.lit(False)).alias("agrees"))
 
 
 def best_normalisation(scores: DataFrame, sizes: range = range(5, 21)) -> DataFrame:
@@ -139,7 +175,7 @@ def best_normalisation(scores: DataFrame, sizes: range = range(5, 21)) -> DataFr
     out = []
     for how, alpha in (("minmax", 0.7), ("global", 0.5)):
         tried = search_cluster_sizes(normalise(paths(scores), how), sizes)
-        best = tried.orderBy(F.desc("silhouette"), "size").limit(1)
+        best = best_cluster_size(tried)
         out.append(best.select(F.lit(how).alias("method"), F.lit(alpha).alias("alpha"), "size", "n_clusters", "n_noise", "silhouette"))
     both = out[0].unionByName(out[1])
     return both.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("silhouette"), F.desc("method"))))
@@ -154,10 +190,18 @@ def separation(event_matches: DataFrame, control_matches: DataFrame) -> DataFram
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean_similarity"), above.alias("share_above"))
 
 
-def time_split(labelled_dates: DataFrame, cutoff: str, min_cluster_size: int, alpha: float = 0.7) -> DataFrame:
-    """Types learnt from paths (id, path, date) up to the cutoff, matched with the later ones; paths without a date are
-    in neither part. No rows where the early part has no cluster."""
+def time_split(labelled_dates: DataFrame, cutoff: str, min_cluster_size: int, alpha: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Types learnt from paths (id, path, date) before the cutoff, matched with the others; paths without a date are in
+    neither part. Gives a summary (one row) and the best matches (id, type_id, phase, similarity). The split is skipped, with
+    a reason and no matches, below twice min_cluster_size early paths and below two clusters."""
     day = F.lit(cutoff).cast("date")
-    early, late = labelled_dates.where(F.col("date") <= day), labelled_dates.where(F.col("date") > day)
-    types = type_table(cluster(early.select("id", "path"), min_cluster_size).select("id", "path", "label"))
-    return match(late.select("id", "path"), types, alpha).where("rank = 1").drop("rank")
+    early, late = labelled_dates.where(F.col("date") < day), labelled_dates.where(F.col("date") >= day)
+    labelled = cluster(early.select("id", "path"), min_cluster_size).select("id", "path", "label").persist()
+    sizes = labelled.agg(F.count(F.lit(1)).alias("n_train"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_train_clusters"))
+    sizes = sizes.crossJoin(late.agg(F.count(F.lit(1)).alias("n_test")))  # one row each
+    reason = F.when(F.col("n_train") < 2 * min_cluster_size, "insufficient_train_data").when(F.col("n_train_clusters") < 2, F.concat(F.lit("only_"), F.col("n_train_clusters").cast("string"), F.lit("_clusters")))
+    sizes = sizes.withColumn("reason", reason)
+    usable = sizes.where("reason is null").select("n_train")  # one row or none
+    matches = match(late.select("id", "path").join(usable, how="cross").drop("n_train"), type_table(labelled), alpha).where("rank = 1").select("id", "type_id", "phase", "similarity")
+    found = matches.agg(F.count(F.lit(1)).alias("matched_count"), F.round(F.avg("similarity"), 4).alias("mean_similarity"))
+    return sizes.crossJoin(found).select(F.col("reason").isNotNull().alias("skipped"), "reason", "n_train", "n_test", "n_train_clusters", "matched_count", "mean_similarity"), matches

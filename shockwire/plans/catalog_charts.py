@@ -36,7 +36,7 @@ def _(spark, d):
     return series.six(charts.timeline(s.daily_scores(spark, d), 60))
 
 
-@query("M20_separation", f"WITH {model.MATCH}, b AS (SELECT id, max(similarity) AS s FROM mt GROUP BY 1), k AS (SELECT CASE WHEN id % 2 = 0 THEN 'event' ELSE 'control' END AS kind, s FROM b), t AS (SELECT quantile_cont(s, 0.95) AS t FROM k WHERE kind = 'control') SELECT kind, count(*) AS n, round(avg(s), 6) AS mean_similarity, round(avg(CASE WHEN s >= t THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_above FROM k, t GROUP BY 1")
+@query("M20_separation", f"WITH {model.MATCH}, b AS (SELECT id, max(similarity) AS s FROM mt GROUP BY 1), k AS (SELECT CASE WHEN id % 2 = 0 THEN 'event' ELSE 'control' END AS kind, s FROM b), t AS (SELECT round(quantile_cont(s, 0.95) + 1e-9::DOUBLE, 4) AS t FROM k WHERE kind = 'control') SELECT kind, count(*) AS n, round(avg(s), 6) AS mean_similarity, round(avg(CASE WHEN s >= t THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_above FROM k, t GROUP BY 1")
 def _(spark, d):
     found = trajectory.match(model.paths(spark, d), trajectory.type_table(model.labelled(spark, d))).withColumn("similarity", F.round("similarity", 8))
     return series.six(trajectory.separation(found.where("id % 2 = 0"), found.where("id % 2 = 1")))
@@ -45,7 +45,7 @@ def _(spark, d):
 @query("M20_time_split")
 def _(spark, d):
     dates = base.event_table(spark, d).select(F.col("event_id").alias("id"), F.col("first_shock_date").alias("date"))
-    return rounded(trajectory.time_split(model.paths(spark, d).join(dates, "id"), "2000-01-01", 3))
+    return trajectory.time_split(model.paths(spark, d).join(dates, "id"), "1996-01-01", 3)[0]
 
 
 @query("M22_best_normalisation")

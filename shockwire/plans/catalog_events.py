@@ -213,6 +213,17 @@ def params(spark: SparkSession, d: str) -> DataFrame:
     return table.select("property_id", F.col("window_days").alias("optimal_window"), "ctrl_freq_mean", (1.0 / (1 + F.ascii(F.substring("property_id", 2, 1)) % 5)).alias("weight"))
 
 
+B11 = f"""{PARAMS}, pf AS (SELECT p.date AS ref_date, property_id, optimal_window AS w, ctrl_freq_mean, weight, sum(cnt) AS freq FROM prices p, daily JOIN params USING (property_id) WHERE daily.date BETWEEN p.date - optimal_window AND p.date - 1 GROUP BY ALL),
+held AS (SELECT p.date AS ref_date, w, count(*) AS actual FROM prices p, per_day, (SELECT DISTINCT optimal_window AS w FROM params) WHERE per_day.date BETWEEN p.date - w AND p.date - 1 GROUP BY ALL),
+corrected AS (SELECT *, CASE WHEN actual < w AND actual / w::DOUBLE < 0.8 THEN trunc(freq * w::DOUBLE / actual) ELSE freq END AS f FROM pf JOIN held USING (ref_date, w)),
+rawd AS (SELECT ref_date, sum(weight * greatest(f / ctrl_freq_mean - 1, 0)) AS raw FROM corrected GROUP BY 1)"""
+
+
+@query("B11_daily_scores", f"WITH {B11} SELECT date, round(coalesce(raw, 0), 4) AS raw_score, round(least(100, coalesce(raw, 0) * 100 / 8.0::DOUBLE), 2) AS risk_score FROM prices LEFT JOIN rawd ON ref_date = date")
+def _(spark, d):
+    return scoring.daily_batch(daily(spark, d), windows.daily_articles(s.tagged(spark, d)), s.prices(spark, d), params(spark, d), max(s.WINDOWS), 8.0)
+
+
 @query("scored_dates", f"WITH {SCORE} SELECT ref_id, label, ref_date, raw_score, risk_score FROM risk")
 def scored_dates(spark, d):
     return scoring.score_references(daily(spark, d), refs(spark, d), params(spark, d), max(s.WINDOWS))

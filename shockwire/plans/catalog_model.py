@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.operators import diagnosis, dictionary, scoring, stats, tagging, trajectory, validation, windows
+from shockwire.operators import diagnosis, dictionary, scoring, stats, tagging, text, trajectory, validation, windows
 from shockwire.plans import catalog_events as base
 from shockwire.plans import standins as s
 from shockwire.plans.catalog_events import rounded
@@ -63,7 +63,8 @@ def _(spark, d):
 
 @query("M2_encode")
 def _(spark, d):
-    texts = s.articles(spark, d).select("article_id", F.col("title").alias("text"))
+    articles = s.articles(spark, d).withColumn("lead", text.lead_sentences(F.col("body")))
+    texts = articles.select("article_id", text.article_text().alias("text"))
     return rounded(tagging.encode(texts, tagging.hashing_encoder).select("article_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding")))
 
 
@@ -235,24 +236,29 @@ def _(spark, d):
 
 
 SIM = "CASE WHEN list_max(list_transform({a}, lambda x: abs(x))) <= 1e-8 OR list_max(list_transform({b}, lambda x: abs(x))) <= 1e-8 THEN 0 ELSE 0.7 * list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) + 0.3 * (1 - least(list_distance({a}, {b}) / sqrt(len({a})), 1)) END"
-MATCH = TYPES + f", ph AS (SELECT * FROM (VALUES ('D-21', 2), ('D-14', 3), ('D-7', 4), ('D-0', 5)) AS v(phase, points)), pre AS (SELECT id, type_id, phase, points, path[1:points] AS a, centroid[1:points] AS b FROM pt CROSS JOIN ty CROSS JOIN ph WHERE label >= 0), mt AS (SELECT id, type_id, phase, points, round({SIM.format(a='a', b='b')}, 8) AS similarity FROM pre)"
+MATCH = TYPES + f", ph AS (SELECT * FROM (VALUES ('D-21', 2), ('D-14', 3), ('D-7', 4), ('D-0', 5)) AS v(phase, points)), pre AS (SELECT id, type_id, phase, points, path[1:points] AS a, centroid[1:points] AS b FROM pt CROSS JOIN ty CROSS JOIN ph WHERE label >= 0), mt AS (SELECT id, type_id, phase, points, round({SIM.format(a='a', b='b')}, 4) AS similarity FROM pre), mr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, type_id, points DESC) AS rank FROM mt), mn AS (SELECT *, lead(type_id) OVER w AS next_type_id, lead(phase) OVER w AS next_phase, lead(similarity) OVER w AS next_similarity FROM mr WINDOW w AS (PARTITION BY id ORDER BY rank))"
 
 
 @query("J13_M16_M17_match", f"WITH {MATCH} SELECT id, type_id, phase, similarity FROM mt")
 def _(spark, d):
     found = trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d)))
-    return found.select("id", "type_id", "phase", F.round("similarity", 8).alias("similarity"))
+    return found.select("id", "type_id", "phase", "similarity")
 
 
-@query("A13_M18_limits", f"WITH {MATCH}, b AS (SELECT id, max(similarity) AS s FROM mt GROUP BY 1) SELECT round(quantile_cont(s, 0.95), 6) AS threshold, round(stddev_pop(s) * 0.5, 6) AS margin FROM b")
+@query("A13_M18_limits", f"WITH {MATCH}, b AS (SELECT id, max(similarity) AS s FROM mt GROUP BY 1) SELECT round(quantile_cont(s, 0.95) + 1e-9::DOUBLE, 4) AS threshold, round(stddev_pop(s) * 0.5 + 1e-9::DOUBLE, 4) AS margin FROM b")
 def _(spark, d):
     found = trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d)))
-    return trajectory.confidence_limits(found).select(F.round("threshold", 6).alias("threshold"), F.round("margin", 6).alias("margin"))
+    return trajectory.confidence_limits(found)
 
 
-@query("M18_confidence", f"WITH {MATCH}, t AS (SELECT id, type_id, max(similarity) AS s FROM mt GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, type_id) AS n FROM t), bw AS (SELECT id, max(type_id) FILTER (n = 1) AS type_id, max(s) FILTER (n = 1) AS similarity, max(s) FILTER (n = 2) AS second FROM r GROUP BY 1) SELECT id, type_id, similarity, CASE WHEN similarity < 0.9 THEN 'unclassifiable' WHEN similarity - second < 0.01 THEN 'uncertain' ELSE 'confident' END AS confidence FROM bw")
+@query("T4_top_matches", f"WITH {MATCH} SELECT id, rank::INT AS rank, type_id, phase, similarity, next_type_id, next_phase, next_similarity FROM mn WHERE rank <= 10")
 def _(spark, d):
-    found = trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d))).withColumn("similarity", F.round("similarity", 8))
+    return trajectory.top_matches(trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d))))
+
+
+@query("M18_confidence", f"WITH {MATCH} SELECT id, type_id, phase, similarity, CASE WHEN similarity < 0.9 THEN 'unclassifiable' WHEN similarity - next_similarity < 0.01 THEN 'uncertain' ELSE 'confident' END AS confidence FROM mn WHERE rank = 1")
+def _(spark, d):
+    found = trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d)))
     return trajectory.confidence(found, spark.createDataFrame([(0.9, 0.01)], "threshold double, margin double"))
 
 
@@ -272,7 +278,7 @@ def _(spark, d):
     return rounded(trajectory.leave_one_out(found, 4))
 
 
-@query("M21_shape_names")
+@query("M21_shape_names", f"WITH {TYPES}, sh AS (SELECT type_id, centroid AS c, list_avg(centroid[1:2]) AS early, list_avg(centroid[3:5]) AS late, list_stddev_pop(centroid) AS sd FROM ty) SELECT type_id, CASE WHEN list_max(c) - list_min(c) < 0.1 THEN 'flat' WHEN early < 0.3 AND late > 0.6 THEN 'late-surge' WHEN early > 0.4 AND late > 0.6 THEN 'gradual-build' WHEN sd < 0.15 THEN 'plateau' WHEN c[5] > c[4] AND c[4] > c[3] THEN 'accelerating' ELSE 'mixed' END AS shape FROM sh")
 def _(spark, d):
     return trajectory.type_table(labelled(spark, d)).select("type_id", trajectory.shape_name(F.col("centroid")).alias("shape"))
 

@@ -208,12 +208,11 @@ def _(spark, d):
     return backtest.dca(calm).select("strategy", "date", "signal", "position", *[F.round(c, 2).alias(c) for c in ("cash", "invested", "asset")])
 
 
-RATES = f"{s.DAILY}, rates AS (SELECT date, property_id, round(100 * cnt::DOUBLE / n_articles, 2) AS rate FROM daily JOIN per_day USING (date) WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-03-20'), g AS (SELECT * FROM (SELECT DISTINCT date FROM rates), (SELECT DISTINCT property_id FROM rates)), dense AS (SELECT g.date, g.property_id, coalesce(rate, 0) AS rate FROM g LEFT JOIN rates USING (date, property_id))"
+RATES = f"{s.DAILY}, rates AS (SELECT date, property_id, round(100 * cnt::DOUBLE / n_articles, 2) AS rate FROM daily JOIN per_day USING (date)), g AS (SELECT * FROM (SELECT DISTINCT date FROM rates), (SELECT DISTINCT property_id FROM rates)), dense AS (SELECT g.date, g.property_id, coalesce(rate, 0) AS rate FROM g LEFT JOIN rates USING (date, property_id))"
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:
-    found = evaluator.daily_rates(base.daily(spark, d), windows.daily_articles(s.tagged(spark, d)))
-    return found.where("date between date'1995-03-01' and date'1995-03-20'")
+    return evaluator.daily_rates(base.daily(spark, d), windows.daily_articles(s.tagged(spark, d)))
 
 
 @query("A6_daily_rates", f"WITH {RATES} SELECT * FROM rates")
@@ -226,7 +225,7 @@ def _(spark, d):
     return evaluator.tag_density(s.tagged(spark, d), (1, 3))
 
 
-@query("W10_dynamics", f"WITH {RATES}, r AS (SELECT *, rate - lag(rate) OVER (PARTITION BY property_id ORDER BY date) AS change, row_number() OVER (PARTITION BY property_id ORDER BY date DESC) AS back FROM dense), a AS (SELECT property_id, max(rate) AS top, avg(rate) AS mean, max(rate) FILTER (back = 1) AS last_, max(rate) FILTER (back = 3) AS third, avg(change) FILTER (back <= 3) AS velocity, max(change) FILTER (back = 1) AS jump FROM r GROUP BY 1) SELECT property_id, last_ AS last, round(mean, 6) AS mean, CASE WHEN last_ > third * 1.15 THEN 'rising' WHEN last_ < third * 0.85 THEN 'falling' ELSE 'stable' END AS trend, round(velocity, 3) AS velocity, coalesce(abs(jump) / nullif(mean, 0) > 0.3, false) AS spike FROM a WHERE top >= 0.5")
+@query("W10_dynamics", f"WITH {RATES}, r AS (SELECT *, rate - lag(rate) OVER (PARTITION BY property_id ORDER BY date) AS change, row_number() OVER (PARTITION BY property_id ORDER BY date DESC) AS back FROM dense), a AS (SELECT property_id, max(rate) AS top, avg(rate) AS mean, max(rate) FILTER (back = 1) AS last_, max(rate) FILTER (back = 3) AS third, avg(change) FILTER (back <= 3) AS velocity, max(change) FILTER (back = 1) AS jump FROM r GROUP BY 1) SELECT property_id, last_ AS last, round(mean, 6) AS mean, CASE WHEN third IS NULL THEN 'unknown' WHEN last_ > third * 1.15 THEN 'rising' WHEN last_ < third * 0.85 THEN 'falling' ELSE 'stable' END AS trend, round(velocity, 3) AS velocity, coalesce(abs(jump) / nullif(mean, 0) > 0.3, false) AS spike FROM a WHERE top >= 0.5")
 def _(spark, d):
     return evaluator.dynamics(rates(spark, d)).withColumn("mean", F.round("mean", 6))
 
@@ -280,13 +279,13 @@ def _(spark, d):
     return text.select("ref_id", get("RF", "ratio").alias("rf_ratio"), get("RF", "contribution").alias("rf_contrib"), get("D3", "ratio").alias("d3_ratio"))
 
 
-WHAT = f"{s.DAILY}, pw AS (SELECT property_id, 1.0::DOUBLE / (1 + ascii(substr(property_id, 2, 1)) % 5) AS weight FROM (SELECT DISTINCT property_id FROM daily)), ra AS (SELECT date, property_id, cnt / 6.0::DOUBLE AS ratio FROM daily WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-03-20'), one AS (SELECT property_id, ratio, weight, weight * greatest(ratio - 1, 0) AS part FROM ra JOIN pw USING (property_id) WHERE date = DATE '1995-03-10')"
+WHAT = f"{s.DAILY}, pw AS (SELECT property_id, 1.0::DOUBLE / (1 + ascii(substr(property_id, 2, 1)) % 5) AS weight FROM (SELECT DISTINCT property_id FROM daily)), ra AS (SELECT date, property_id, cnt / 6.0::DOUBLE AS ratio FROM daily), one AS (SELECT property_id, ratio, weight, weight * greatest(ratio - 1, 0) AS part FROM ra JOIN pw USING (property_id) WHERE date = DATE '1995-03-10')"
 
 
 def what(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     daily = base.daily(spark, d)
     params = daily.select("property_id").distinct().withColumn("weight", 1.0 / (1 + F.ascii(F.substring("property_id", 2, 1)) % 5))
-    return daily.where("date between date'1995-03-01' and date'1995-03-20'").select("date", "property_id", (F.col("cnt") / 6.0).alias("ratio")), params
+    return daily.select("date", "property_id", (F.col("cnt") / 6.0).alias("ratio")), params
 
 
 def one_day(spark: SparkSession, d: str, day: str = "1995-03-10") -> tuple[DataFrame, DataFrame]:

@@ -36,15 +36,19 @@ def _(spark, d):
     return s.articles(spark, d).select("article_id", text.normalize_text(F.col("body")).alias("body"))
 
 
-@query("P7_fill_leads", f"WITH {s.ARTICLES} SELECT article_id, title, CASE WHEN trim(CASE WHEN lang = 'fr' THEN ' ' ELSE substr(body, 1, 20) END) = '' THEN title ELSE CASE WHEN lang = 'fr' THEN ' ' ELSE substr(body, 1, 20) END END AS lead FROM articles WHERE trim(coalesce(title, '')) <> ''")
+#: The lead of P4 in SQL.
+LEAD = "array_to_string(string_split_regex(regexp_replace(trim(substr(body, 1, 200)), '([.!?。다])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ')"
+
+
+@query("P7_fill_leads", f"WITH {s.ARTICLES}, l AS (SELECT *, CASE WHEN lang = 'fr' THEN ' ' ELSE {LEAD} END AS lead FROM articles) SELECT article_id, title, CASE WHEN trim(lead) = '' THEN title ELSE lead END AS lead FROM l WHERE trim(coalesce(title, '')) <> ''")
 def _(spark, d):
-    lead = F.when(F.col("lang") == "fr", " ").otherwise(F.substring("body", 1, 20))
+    lead = F.when(F.col("lang") == "fr", " ").otherwise(text.lead_sentences(F.col("body")))
     return text.fill_leads(s.articles(spark, d).withColumn("lead", lead)).select("article_id", "title", "lead")
 
 
-@query("P8_article_text", f"WITH {s.ARTICLES} SELECT article_id, coalesce(title, '') || ' ' || coalesce(CASE WHEN lang = 'fr' THEN NULL ELSE substr(body, 1, 20) END, '') AS full_text FROM articles")
+@query("P8_article_text", f"WITH {s.ARTICLES} SELECT article_id, coalesce(title, '') || ' ' || coalesce(CASE WHEN lang = 'fr' THEN NULL ELSE {LEAD} END, '') AS full_text FROM articles")
 def _(spark, d):
-    return s.articles(spark, d).withColumn("lead", F.when(F.col("lang") != "fr", F.substring("body", 1, 20))).select("article_id", text.article_text().alias("full_text"))
+    return s.articles(spark, d).withColumn("lead", F.when(F.col("lang") != "fr", text.lead_sentences(F.col("body")))).select("article_id", text.article_text().alias("full_text"))
 
 
 @query("P9_daily_ids", f"WITH {s.ARTICLES} SELECT article_id AS original, 'daily_' || date || '_' || (row_number() OVER (PARTITION BY date ORDER BY article_id) - 1) AS article_id FROM articles")
@@ -71,6 +75,12 @@ def _(spark, d):
     return text.first_of(s.read(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("D2_distinct_vendor_ids", "WITH x AS (SELECT l_partkey AS vendor_id, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem) SELECT vendor_id, l_orderkey, l_linenumber FROM x WHERE n = 1")
+def _(spark, d):
+    rows = s.read(spark, d, "lineitem").withColumnRenamed("l_partkey", "vendor_id")
+    return text.first_of(rows, ["vendor_id"], "l_shipdate", "l_orderkey", "l_linenumber").select("vendor_id", "l_orderkey", "l_linenumber")
+
+
 @query("D3_title_and_date", f"WITH {s.ARTICLES} SELECT DISTINCT title, date FROM articles")
 def _(spark, d):
     return s.articles(spark, d).select("title", "date").dropDuplicates(["title", "date"])

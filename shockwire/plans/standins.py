@@ -35,7 +35,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.substring_index("text", "\n", 1)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int"))
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), day.alias("date"), first.alias("title"), F.substring("text", 1, 400).alias("body"), "source", "lang")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), day.alias("date"), first.alias("title"), F.col("text").alias("body"), "source", "lang")
 
 
 def property_vectors_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRICES = "prices AS (SELECT o_orderdate::DATE AS date, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / (100.0::DOUBLE * count(*)) AS close FROM orders GROUP BY 1)"
 TAGGED = """tagged AS (SELECT l_orderkey * 10 + l_linenumber AS article_id, l_shipdate::DATE AS date, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN []::VARCHAR[]
   ELSE [l_returnflag || l_linestatus, 'Q' || floor(l_quantity / 10)::BIGINT, 'D' || round(l_discount * 100)::INT] END AS properties FROM lineitem)"""
-ARTICLES = "articles AS (SELECT doc_id AS article_id, DATE '2024-01-01' + (doc_id % 90)::INT AS date, split_part(text, chr(10), 1) AS title, substr(text, 1, 400) AS body, source, lang FROM documents)"
+ARTICLES = "articles AS (SELECT doc_id AS article_id, DATE '2024-01-01' + (doc_id % 90)::INT AS date, split_part(text, chr(10), 1) AS title, text AS body, source, lang FROM documents)"
 SCORED = "scored AS (SELECT l.doc_id, l.quality AS label, (d.n_chars // 100)::DOUBLE AS score, DATE '2018-01-01' + (l.doc_id % 1500)::INT AS date FROM labels l JOIN documents d USING (doc_id))"
 SCORES = "scores AS (SELECT o_orderdate::DATE AS date, round(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END)::DOUBLE * 100 / count(*), 2) AS risk_score FROM orders GROUP BY 1)"
 MONTHLY = "series AS (SELECT strftime(l_shipdate, '%Y-%m') AS year_month, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::DOUBLE AS value FROM lineitem GROUP BY 1)"

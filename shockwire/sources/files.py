@@ -118,6 +118,22 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Date and close of a price file as vendors give it, sorted by date: a CSV whose header may name the ticker after
+    each field (Close^KS11, Close.1), with or without a line of tickers under it, dates with or without a time zone. Rows
+    without a date go; a file without rows raises."""
+    df = spark.read.csv(path, header=True)
+    field = lambda name: next((c for c in df.columns if re.match(rf"{name}\b", c, re.I)), None)
+    day, close = field("date"), field("close")
+    if day is None or close is None:
+        raise ValueError(f"{path} lacks {'a date' if day is None else 'a close'}")
+    local = F.regexp_extract(F.col(f"`{day}`"), r"^\s*(\d{4}-\d{2}-\d{2})", 1)  # the day as written: a time zone is dropped, not converted
+    rows = df.select(F.try_to_date(F.nullif(local, F.lit(""))).alias("date"), F.expr(f"try_cast(`{close}` as double)").alias("close")).where("date is not null")
+    if rows.isEmpty():
+        raise ValueError(f"{path} has no prices")
+    return rows.orderBy("date")
+
+
 def manual_indicator(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with year_month and value, or an error that says what it lacks."""
     df = spark.read.csv(path, header=True)

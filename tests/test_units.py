@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shockwire.functions import special
 from shockwire.functions.adf import adf_pvalue
 from shockwire.functions.hdbscan import hdbscan, silhouette
-from shockwire.operators import backtest, checks, dictionary, events, scoring, social, stats, tagging, text, windows
+from shockwire.operators import backtest, checks, dictionary, evaluator, events, scoring, social, stats, tagging, text, trajectory, windows
 from shockwire.plans import standins
 from shockwire.sources import files, sinks
 from shockwire.streaming import daily as stream
@@ -163,6 +163,115 @@ def test_short_series_have_no_lags(spark):
     assert social.lagged(rows, "x", "y").count() == 0
 
 
+def test_exact_mann_whitney(spark):
+    """The tail over all orders, and small samples without ties by it, others by the normal tail."""
+    from itertools import combinations
+
+    for n1, n2 in ((1, 1), (2, 3), (3, 4), (4, 2)):
+        us = [sum(a > b for a in some for b in set(range(n1 + n2)) - set(some)) for some in combinations(range(n1 + n2), n1)]
+        tail = stats._u_tail(*sorted((n1, n2)))
+        assert all(tail[u] == pytest.approx(np.mean([x >= u for x in us])) for u in range(n1 * n2 + 1))
+    rows = [("a", 7, k, int(k > 4), k) for k in range(8)] + [("b", 7, k, int(k > 4), k // 2) for k in range(8)]
+    got = {r.property_id: r.p_value for r in stats.frequency_tests(spark.createDataFrame(rows, "property_id string, window_days int, ref_id int, label int, freq int")).collect()}
+    assert got["a"] == pytest.approx(1 / 56) and got["b"] != pytest.approx(1 / 56)
+
+
+def test_price_file(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Date,Close ^KS11,Volume\n,^KS11,^KS11\n2024-01-03 00:00:00+09:00,2.5,1\n2024-01-02,2,1\n2024-01-04T00:00:00Z,,1\n")
+    assert [tuple(r) for r in files.read_prices(spark, f"file://{tmp_path}/p.csv").collect()] == [(dt.date(2024, 1, 2), 2.0), (dt.date(2024, 1, 3), 2.5), (dt.date(2024, 1, 4), None)]
+    (tmp_path / "q.csv").write_text("Date,Close\n")
+    with pytest.raises(ValueError, match="no prices"):
+        files.read_prices(spark, f"file://{tmp_path}/q.csv")
+    (tmp_path / "r.csv").write_text("Date,Open\n2024-01-02,1\n")
+    with pytest.raises(ValueError, match="lacks a close"):
+        files.read_prices(spark, f"file://{tmp_path}/r.csv")
+
+
+def test_dynamics_of_few_days(spark):
+    rows = lambda n: spark.createDataFrame([(day(k), "p", 1.0 + k) for k in range(n)], "date date, property_id string, rate double")
+    assert evaluator.dynamics(rows(1)).count() == 0
+    r = evaluator.dynamics(rows(2)).first()
+    assert (r.trend, r.velocity) == ("unknown", 1.0) and evaluator.dynamics(rows(3)).first().trend == "rising"
+
+
+def trajectories(n: int, seed: int = 3) -> list[tuple[int, list[float]]]:
+    """Paths of two shapes with noise, by turns."""
+    rnd = np.random.default_rng(seed)
+    shapes = ([0.1, 0.2, 0.1, 0.2, 0.9], [0.8, 0.7, 0.8, 0.6, 0.2])
+    return [(k, [float(x + e) for x, e in zip(shapes[k % 2], rnd.normal(0, 0.03, 5), strict=True)]) for k in range(n)]
+
+
+def plain_similarity(a, b, alpha):
+    a, b = np.array(a), np.array(b)
+    if len(a) < 2 or np.allclose(a, 0) or np.allclose(b, 0):
+        return 0.0
+    return round(float(alpha * (a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)) + (1 - alpha) * (1 - min(np.linalg.norm(a - b) / np.sqrt(len(a)), 1))), 4)
+
+
+def plain_best(path, types, alpha):
+    tried = [(-plain_similarity(path[:n], c[:n], alpha), t, -n) for t, c in types.items() for n in (2, 3, 4, 5) if n <= len(path)]
+    s, t, n = min(tried, default=(0.0, None, 0))
+    return t, {-5: "D-0", -4: "D-7", -3: "D-14", -2: "D-21"}.get(n), -s
+
+
+def plain_types(rows, size):
+    x = np.array([p for _, p in rows])
+    labels = hdbscan(x, size)
+    return {f"type_{k}": x[labels == k].mean(axis=0) for k in sorted(set(labels.tolist()) - {-1})}, labels
+
+
+def test_leave_one_out_by_a_plain_loop(spark):
+    rows = trajectories(26)
+    labels = plain_types(rows, 5)[1]
+    frame = spark.createDataFrame([(i, p, int(v)) for (i, p), v in zip(rows, labels, strict=True)], "id int, path array<double>, label int")
+    got = {r.id: r for r in trajectory.leave_one_out(frame, 5).collect()}
+    for k, (i, p) in enumerate(rows):
+        types = plain_types(rows[:k] + rows[k + 1 :], 5)[0]
+        full, partial, r = plain_best(p, types, 0.7), plain_best(p[:3], types, 0.7), got[i]
+        assert (r.full_type, r.full_similarity, r.partial_type, r.partial_phase, r.partial_similarity) == (full[0], pytest.approx(full[2], abs=1e-4), partial[0], partial[1], pytest.approx(partial[2], abs=1e-4))
+        assert r.agrees == (full[0] == partial[0] is not None) and r.true_label == labels[k]
+    few = trajectory.leave_one_out(frame.limit(4), 5).collect()
+    assert all(r.full_type is None and r.partial_similarity == 0 and not r.agrees for r in few) and len(few) == 4
+
+
+def test_time_split_and_its_skips(spark):
+    frame = lambda rows: spark.createDataFrame([(i, p, day(i) if i else None) for i, p in rows], "id int, path array<double>, date date")
+    rows = trajectories(40)
+    cutoff = str(day(30))
+    summary, matches = trajectory.time_split(frame(rows), cutoff, 5)
+    types = plain_types(rows[1:30], 5)[0]
+    want = {i: plain_best(p, types, 0.7) for i, p in rows[30:]}
+    assert {r.id: (r.type_id, r.phase, r.similarity) for r in matches.collect()} == {i: (t, q, pytest.approx(v, abs=1e-4)) for i, (t, q, v) in want.items()}
+    r = summary.first()
+    assert (r.skipped, r.reason, r.n_train, r.n_test, r.n_train_clusters, r.matched_count) == (False, None, 29, 10, 2, 10) and r.mean_similarity == pytest.approx(np.mean([v for *_, v in want.values()]), abs=1e-4)
+    for some, reason in ((rows[:6] + rows[32:], "insufficient_train_data"), ([r for r in rows[:30] if r[0] % 2] + rows[32:], "only_")):
+        summary, matches = trajectory.time_split(frame(some), cutoff, 5)
+        assert summary.first().skipped and summary.first().reason.startswith(reason) and summary.first().matched_count == matches.count() == 0
+
+
+def test_cluster_sizes_need_two_clusters(spark):
+    one = [(k, [float(x) for x in np.random.default_rng(k).normal(0, 0.01, 5)]) for k in range(12)] + [(99, [5.0] * 5)]
+    tried = trajectory.search_cluster_sizes(spark.createDataFrame(one, "id int, path array<double>"), range(4, 6))
+    assert all(r.silhouette == -1 for r in tried.collect() if r.n_clusters < 2) and tried.where("n_clusters < 2").count() > 0
+    two = trajectory.search_cluster_sizes(spark.createDataFrame(trajectories(30), "id int, path array<double>"), range(4, 8))
+    best = trajectory.best_cluster_size(two).first()
+    assert best.n_clusters == 2 and best.silhouette == max(r.silhouette for r in two.collect())
+
+
+@pytest.mark.parametrize(("centroid", "name"), [([0.1, 0.2], "unknown"), ([0.5, 0.55, 0.52, 0.5, 0.51], "flat"), ([0.1, 0.2, 0.5, 0.7, 0.9], "late-surge"), ([0.5, 0.4, 0.6, 0.8, 0.9], "gradual-build"), ([0.3, 0.35, 0.4, 0.42, 0.2], "plateau"), ([0.1, 0.35, 0.2, 0.5, 0.6], "accelerating"), ([0.9, 0.2, 0.6, 0.1, 0.3], "mixed")])
+def test_shapes(spark, centroid, name):
+    assert spark.createDataFrame([(centroid,)], "c array<double>").select(trajectory.shape_name(F.col("c"))).first()[0] == name
+
+
+def test_next_match_is_the_runner_up(spark):
+    path, types = spark.createDataFrame([(1, [0.2, 0.4, 0.6, 0.8, 1.0])], "id int, path array<double>"), spark.createDataFrame([("type_0", 0, [0.2, 0.4, 0.6, 0.8, 1.0]), ("type_1", 1, [1.0, 0.1, 0.9, 0.1, 0.2]), ("noise", -1, [0.0] * 5)], "type_id string, label int, centroid array<double>")
+    found = trajectory.match(path, types)
+    top = trajectory.top_matches(found).orderBy("rank").collect()
+    assert [(r.type_id, r.phase) for r in top[:4]] == [("type_0", q) for q in ("D-0", "D-7", "D-14", "D-21")] and len(top) == 8 and top[0].next_phase == "D-7" and top[7].next_type_id is None
+    limits = spark.createDataFrame([(0.9, 0.01)], "threshold double, margin double")
+    assert trajectory.confidence(found, limits).first().confidence == "uncertain"  # the same type's next phase is as near
+
+
 def test_ols_recovers_a_plane(spark):
     rnd = np.random.default_rng(5)
     rows = spark.createDataFrame([(float(a), float(b), float(2 + 3 * a - b)) for a, b in rnd.normal(size=(50, 2))], "a double, b double, y double")
