@@ -8,7 +8,7 @@
 3. The ids go back to their blocks, where documents are put together by position.
 
 Memory follows a block: MAX_WORDS distinct words. The two passes over a split number its words alike, because a file
-split is read in one order; each document carries its length in bytes, and one that comes back unlike it raises.
+split is read in one order; each document carries a checksum of its bytes, and one that comes back unlike it raises.
 
 Defined results: a null text is empty and has no ids; an empty table gives no rows; rows that repeat a doc_id, and null
 doc_ids, are encoded row by row; further columns of docs are not read. Special-token strings are ordinary text.
@@ -153,7 +153,7 @@ def _split(buckets: int | None, max_words: int):
                     found = pretokens(text)
                     codes = np.fromiter(map(seen.__getitem__, found), np.int64, len(found))
                     if not buckets:
-                        for column, value in zip(out, (block, count, doc_id, len(text.encode()), pack(codes)), strict=True):
+                        for column, value in zip(out, (block, count, doc_id, zlib.crc32(text.encode()), pack(codes)), strict=True):
                             column.append(value)
                     count += 1
                     if len(seen) >= max_words:
@@ -175,10 +175,10 @@ class _Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         encoding, table = tokenizer(path)
-        self.encode, self.kind = encoding._encode_single_piece, _kind(table)
+        self.encode, self.kind = encoding.encode_ordinary, _kind(table)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = np.array(self.encode(word), self.kind).tobytes()
+        ids = self[word] = np.array(self.encode(word.decode()), self.kind).tobytes()  # a pre-token by itself is one match again
         return ids
 
 
@@ -206,12 +206,11 @@ def _reassemble(path: str, decoded: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tokenizer(path)[1]
-        kind, sizes = _kind(table), np.fromiter(map(len, table), np.int64, len(table))
-        block, word_ids = None, {}
+        kind, block, word_ids = _kind(table), None, {}
         for batch in batches:
-            blocks, kinds, ids, lengths, data = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
-            doc_ids, rows, held = [], [], 0
-            for b, k, doc_id, size, x in zip(blocks, kinds, ids, lengths, data, strict=True):
+            blocks, kinds, ids, checks, data = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            doc_ids, rows, texts, held = [], [], [], 0
+            for b, k, doc_id, check, x in zip(blocks, kinds, ids, checks, data, strict=True):
                 if b != block:
                     block, word_ids = b, {}
                 if k == 0:
@@ -219,16 +218,18 @@ def _reassemble(path: str, decoded: bool):
                     word_ids.update(zip(numbers.tolist(), items, strict=True))
                     continue
                 tokens = np.frombuffer(b"".join(map(word_ids.__getitem__, unpack(x).tolist())), kind)
-                if sizes[tokens].sum() != size:
+                text = join_bytes(tokens, table)
+                if zlib.crc32(text) != check:
                     raise ValueError(f"document {doc_id} does not come back from its words: its split was not read twice alike")
                 doc_ids.append(doc_id)
                 rows.append(tokens)
+                texts.append(text)
                 held += len(tokens)
                 if held > 1 << 20:
-                    yield _ids(doc_ids, rows, table if decoded else None)
-                    doc_ids, rows, held = [], [], 0
+                    yield _ids(doc_ids, rows, texts if decoded else None)
+                    doc_ids, rows, texts, held = [], [], [], 0
             if rows:
-                yield _ids(doc_ids, rows, table if decoded else None)
+                yield _ids(doc_ids, rows, texts if decoded else None)
 
     return run
 
@@ -238,12 +239,12 @@ def join_bytes(ids: np.ndarray, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
-def _ids(doc_ids: list, rows: list[np.ndarray], table: list[bytes] | None) -> pa.RecordBatch:
+def _ids(doc_ids: list, rows: list[np.ndarray], texts: list[bytes] | None) -> pa.RecordBatch:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     values = np.concatenate(rows).astype(np.int32)
     columns = [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
-    if table is not None:
-        columns.append(pa.array([join_bytes(r, table) for r in rows], pa.binary()))
+    if texts is not None:
+        columns.append(pa.array(texts, pa.binary()))
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "bytes"][: len(columns)])
 
 

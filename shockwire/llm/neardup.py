@@ -96,9 +96,9 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys(found: np.ndarray) -> np.ndarray:
-    """The keys of a set: for each chunk of its signature, each choice of ERRORS symbols left out."""
-    chunks = signature(found).astype(np.uint64).reshape(CHUNKS, WIDTH)
+def keys(signed: np.ndarray) -> np.ndarray:
+    """The keys of a signature: for each of its chunks, each choice of ERRORS symbols left out."""
+    chunks = signed.astype(np.uint64).reshape(CHUNKS, WIDTH)
     out = []
     for variant, out_of in enumerate(combinations(range(WIDTH), ERRORS)):
         h = finish(np.arange(CHUNKS, dtype=np.uint64) * _MIX[1] + np.uint64(variant + 1))
@@ -124,7 +124,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             hi.append(finish(s ^ _MIX[1]).sum(dtype=np.uint64) if len(s) else np.uint64(0))
             lo.append(finish(s ^ _MIX[2]).sum(dtype=np.uint64) if len(s) else np.uint64(0))
             if len(s):
-                key.append(keys(s))
+                key.append(keys(signature(s)))
             ends.append(ends[-1] + (len(key[-1]) if len(s) else 0))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(np.concatenate(key) if key else np.zeros(0, np.uint64)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _long(np.array(hi, np.uint64)), _long(np.array(lo, np.uint64)), lists], names=["doc_id", "n", "hi", "lo", "keys"])
