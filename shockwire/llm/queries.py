@@ -14,7 +14,7 @@ from shockwire.llm.common import table
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds audio: a tone for each word of the whole text of documents stands in for a recording."""
     recordings = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("audio"))
-    return chroma.matches(chroma.fingerprints(recordings, chroma.tones)).withColumnRenamed("id", "doc_id")
+    return chroma.matches(chroma.fingerprints(recordings, chroma.tones)).drop("codes").withColumnRenamed("id", "doc_id")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
