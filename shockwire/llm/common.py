@@ -51,7 +51,7 @@ def fresh(df: DataFrame, name: str) -> str:
 def packed(df: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep`, and all others in one struct `_row`, so that no name can clash with an operator's own."""
     others = [c for c in df.columns if c not in keep]
-    return df.select(*keep, (F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)).alias("_row"))
+    return df.select(*keep, (F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")).alias("_row"))
 
 
 def unpacked(df: DataFrame, names: list[str], *keep: str) -> DataFrame:

@@ -5,12 +5,13 @@ are written so that a text is gone over once: a run is entered at its start only
 finds the same matches. A card's pattern takes exactly the maximal runs of 16 to 19 digits.
 
 Information-theoretic sanitisation. The base spans' values are the protected entities. A context is the CONTEXT words on
-either side of an entity within its line; equal and nearly equal contexts of one entity count once (by MinHash marks), so that
-copies of a document are no evidence.
-With N windows in the corpus, a term t that stands in c contexts of an entity e with d contexts, and n times in the corpus,
-has PMI(t; e) = log2(c N / (n d)) and the entity IC(e) = log2(N / d). A term with c >= MIN_CONTEXTS and PMI >= DISCLOSURE *
-IC reveals e: its occurrences in the documents that hold e are spans of kind `term`, which sanitise() generalises (a
-number or a word), as base spans are replaced by their kind.
+either side of an entity within its line; c and d count documents by the smallest hashes of their SHINGLE-word shingles (the
+median of the distinct values of MARKS such marks), so that copies and near copies of a document are hardly evidence, while
+different records of one template are. With N windows in the corpus, a term t that stands in contexts of an entity e in c documents, of d that
+hold e, and n times in the corpus, has PMI(t; e) = log2(c N / (n d)) and the entity IC(e) = log2(N / d). A term with c >=
+MIN_CONTEXTS and PMI >= DISCLOSURE * IC reveals e: its occurrences in the documents that hold e are spans of kind `term`,
+which sanitise() generalises (a number or a word), as base spans are replaced by their kind. n and N count every copy, so a
+term of much copied documents reveals less than it would.
 
 Counts cover all documents: the pairs of terms and entities come from the contexts alone, and only the terms among them
 that have enough contexts are counted over the corpus, after a partial count in each task.
@@ -21,6 +22,8 @@ doc_id gets base spans alone; an empty table gives no rows; further columns of d
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 #: Words on either side of an entity.
 CONTEXT = 10
+#: Words of the shingles that tell copies of a document from others.
+SHINGLE, MARKS = 5, 5
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.7
 
@@ -71,15 +76,11 @@ RULES = {
 def _placed(text: Column, hits: Column, pattern: Column | str, kind: int) -> Column:
     """Spans of the matches `hits` of a pattern, from the lengths of what lies between them."""
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("g"), F.char_length(h).alias("n"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + x["n"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("out"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("g"), F.char_length(h).alias("n")))
+    # the state of a fold is copied at each step, so it holds numbers alone
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(steps, begin, lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["g"])).alias("out")), lambda acc: acc["out"])
+    return F.zip_with(starts, hits, lambda s, h: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + F.char_length(h)).alias("end"), h.alias("value")))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -107,22 +108,48 @@ def _mark(k: int):
     return lambda w: F.xxhash64(F.lit(k), w)
 
 
-def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, entity) of the documents' entities, and (entity, term) of the terms that reveal them. docs: doc_id, text."""
-    held = base_spans(docs.select("doc_id", text_of("text").alias("text"))).where(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("s"))
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " ")), " ")
-    left = words(F.substring_index(F.expr("left(text, s.start)"), "\n", -1))
-    right = words(F.substring_index(F.expr("substring(text, s.end + 1)"), "\n", 1))
-    near = F.concat(F.when(F.size(left) > context, F.slice(left, -context, context)).otherwise(left), F.slice(right, 1, context))
-    entity = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("s.kind") + 1), F.lower("s.value"))
-    seen = cut(held.select("doc_id", entity.alias("entity"), F.array_distinct(F.transform(near, _core)).alias("near")))
-    contexts = seen.select("entity", "near").distinct()
-    # near copies of a context mostly agree in their smallest word hash: of three such marks the fewest distinct count
-    marks = [F.array_min(F.transform("near", _mark(k))).alias(f"m{k}") for k in range(3)]
-    marked = contexts.select("entity", "near", *marks)
-    unlike = F.least(*[F.count_distinct(f"m{k}") for k in range(3)])
-    known = marked.groupBy("entity").agg(unlike.alias("d")).where(F.col("d") >= min_contexts)
-    terms = marked.select("entity", F.explode("near").alias("term"), "m0", "m1", "m2").where("term != ''")
+def _marks(found: DataFrame) -> DataFrame:
+    """found (_text, ...) with m0, m1, ...: MARKS MinHash values of a text's shingles (of all words, where they are fewer)."""
+    staged = found.withColumn("_w", F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, SHINGLE), " ")))
+    staged = staged.withColumn("_s", shingles)
+    return staged.withColumns({f"m{k}": F.array_min(F.transform("_s", _mark(k))) for k in range(MARKS)}).drop("_w", "_s")
+
+
+def contexts(found: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """doc_id, entity, near (the cores of the words about it) and m0, m1, ... (marks of the document) of found (doc_id, text,
+    base). A kind's entities cut its text into pieces; words and line ends between them form one array, in which each entity
+    is an element and a context is a slice, so that work is linear in the text, however many entities it holds."""
+    piece = lambda c: F.regexp_extract_all(c, F.lit(WORD + r"|\n"), F.lit(0))
+    marks = [f"m{k}" for k in range(MARKS)]
+    marked = cut(_marks(found.withColumn("_text", text_of("text"))))
+    parts = []
+    for n, kind in enumerate(PATTERNS):
+        rule = RULES[kind]
+        hits, gaps = F.regexp_extract_all("_text", F.lit(PATTERNS[kind]), F.lit(0)), F.split("_text", PATTERNS[kind], -1)
+        entity = lambda h: F.array(F.concat(F.lit(f"\x01{kind}:"), F.lower(h)))  # noqa: B023, E731
+        each = F.zip_with(gaps, hits, lambda g, h: F.concat(piece(g), F.when(h.isNull(), F.array().cast("array<string>")).when(rule(h), entity(h)).otherwise(piece(h))))  # noqa: B023
+        parts.append(marked.where(F.exists("base", lambda x: x["kind"] == n)).select("doc_id", *marks, F.flatten(each).alias("t")))
+    places = F.filter(F.transform("t", lambda w, i: F.when(F.startswith(w, F.lit("\x01")), i + 1)), lambda i: i.isNotNull())
+    # written, so that Spark can't move the making of `t` into the loops over it
+    rows = cut(reduce(DataFrame.unionByName, parts).withColumn("_at", places))
+    start = lambda i: F.greatest(i - context, F.lit(1))
+    sides = F.transform("_at", lambda i: F.struct(F.element_at("t", i).alias("e"), F.reverse(F.slice("t", start(i), i - start(i))).alias("left"), F.slice("t", i + 1, context).alias("right")))
+    core = lambda w: _core(F.regexp_replace(w, "^\x01[a-z]+:", ""))
+    until = lambda words: F.when(F.array_contains(words, "\n"), F.slice(words, F.lit(1), F.array_position(words, "\n").cast("int") - 1)).otherwise(words)
+    each = F.transform(sides, lambda x: F.struct(F.substring(x["e"], F.lit(2), F.lit(1 << 30)).alias("entity"), F.array_distinct(F.transform(F.concat(F.reverse(until(x["left"])), until(x["right"])), core)).alias("near")))
+    # exploded last, so that no row but a text's own holds its words
+    return rows.select("doc_id", *marks, each.alias("x")).select("doc_id", *marks, F.explode("x").alias("x")).select("doc_id", "x.entity", "x.near", *marks)
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, context: int = CONTEXT, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, entity) of the documents' entities, and (entity, term) of the terms that reveal them. docs: doc_id, text; found:
+    those with entities, and their base spans."""
+    seen = cut(contexts(found, context))
+    marks = [f"m{k}" for k in range(MARKS)]
+    unlike = F.element_at(F.array_sort(F.array(*map(F.count_distinct, marks))), MARKS // 2 + 1)
+    known = seen.groupBy("entity").agg(unlike.alias("d")).where(F.col("d") >= min_contexts)
+    terms = seen.select("entity", F.explode("near").alias("term"), *marks).where("term != ''")
     pairs = terms.groupBy("entity", "term").agg(unlike.alias("c")).where(F.col("c") >= min_contexts)
     pairs = cut(pairs.join(known, "entity"))
     all_words = docs.select(F.explode(F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
@@ -137,16 +164,17 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, min_contexts: int
 def all_spans(docs: DataFrame, **parameters) -> DataFrame:
     """docs (doc_id, text, ...) with `base` and `spans` (base spans, then those of disclosing terms by start)."""
     found = base_spans(docs)
-    entities, revealing = disclosing_terms(docs.select("doc_id", "text"), **parameters)
+    # only documents with entities can have terms: these are kept, the others pass without an exchange
+    some = cut(found.where(F.size("base") > 0))
+    entities, revealing = disclosing_terms(docs.select("doc_id", "text"), some.select("doc_id", "text", "base"), **parameters)
     terms = entities.where("doc_id is not null").join(revealing, "entity").groupBy("doc_id").agg(F.collect_set("term").alias("_terms")).withColumnRenamed("doc_id", "_id")
-    # only documents with entities can have terms; the others pass without an exchange
-    some = found.where(F.size("base") > 0).join(terms, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    some = some.join(terms, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     quoted = F.array_join(F.transform(F.sort_array("_terms"), lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))), "|")
     some = some.withColumn("_text", text_of("text")).withColumn("_like", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])")))
     some = some.withColumn("_hits", F.when(F.col("_like").isNotNull(), F.regexp_extract_all("_text", F.col("_like"), F.lit(0))))
     placed = F.when(F.size("_hits") > 0, _placed(F.col("_text"), F.col("_hits"), F.col("_like"), 4)).otherwise(F.array().cast(_SPANS))
     free = F.filter(placed, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    some = some.withColumn("spans", F.concat("base", free)).drop("_text", "_like", "_hits", "_terms")
+    some = some.withColumn("spans", F.when(F.size("_hits") > 0, F.concat("base", free)).otherwise(F.col("base"))).drop("_text", "_like", "_hits", "_terms")
     return some.unionByName(found.where(F.size("base") == 0).withColumn("spans", F.col("base")))
 
 
@@ -169,12 +197,15 @@ def sanitise(docs: DataFrame, **parameters) -> DataFrame:
     found = all_spans(packed(docs, "doc_id", "text"), **parameters)
     labels = F.array(*map(F.lit, LABELS))
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        label = F.when(s["kind"] < 4, F.get(labels, s["kind"])).when(s["value"].rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
-        done = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), label).alias("out"))
-        return F.when(s["start"] >= acc["at"], done).otherwise(acc)
-
-    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length(F.col("text")))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    some = F.size("spans") > 0
+    # the places of the spans replaced, then pieces of the text's characters between them, so that each is copied once
+    found = found.withColumn("_o", F.when(some, ordered)).withColumn("_chars", F.when(some, F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))))
+    end = lambda i: -F.element_at("_o", i)["back"]
+    step = lambda acc, i: F.when(F.element_at("_o", i)["start"] >= acc["at"], F.struct(end(i).alias("at"), F.concat(acc["out"], F.array(i)).alias("out"))).otherwise(acc)
+    found = found.withColumn("_kept", F.when(some, F.aggregate(F.sequence(F.lit(1), F.size("_o")), begin, step, lambda acc: acc["out"])))
+    label = lambda s: F.when(s["kind"] < 4, F.get(labels, s["kind"])).when(s["value"].rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
+    since = lambda j: F.when(j == 0, F.lit(0)).otherwise(end(F.element_at("_kept", F.greatest(j, F.lit(1)))))
+    pieces = F.flatten(F.transform("_kept", lambda i, j: F.concat(F.slice("_chars", since(j) + 1, F.element_at("_o", i)["start"] - since(j)), F.array(label(F.element_at("_o", i))))))
+    clean = F.array_join(F.concat(pieces, F.slice("_chars", since(F.size("_kept")) + 1, F.size("_chars"))), "")
     return unpacked(found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))), docs.columns, "doc_id", "text")

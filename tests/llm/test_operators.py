@@ -100,13 +100,21 @@ def test_neardup_odd(odd, none):
 
 
 def test_pigeonhole_keys():
-    """Signatures that differ in fewer than CHUNKS * (ERRORS + 1) symbols share a key."""
+    """Signatures that differ in fewer than CHUNKS * (ERRORS + 1) symbols share a key, wherever they differ; one more
+    difference, two in each chunk, leaves none."""
     rnd = np.random.default_rng(1)
-    s = rnd.integers(0, 2**63, 400, dtype=np.uint64)
-    for share in (0.9, 0.85, 0.8):
-        t = s.copy()
-        t[: int(400 * (1 - share) / (1 + share))] = rnd.integers(0, 2**63, int(400 * (1 - share) / (1 + share)), dtype=np.uint64)
-        assert set(neardup.keys(np.unique(s))) & set(neardup.keys(np.unique(t)))
+    most = neardup.CHUNKS * (neardup.ERRORS + 1) - 1
+    for n in [most] * 300 + [5, 15, 25]:
+        a = rnd.integers(0, 2**32, neardup.SYMBOLS, dtype=np.uint32)
+        b = a.copy()
+        b[rnd.choice(neardup.SYMBOLS, n, replace=False)] ^= np.uint32(1)
+        assert set(neardup.keys(a)) & set(neardup.keys(b))
+    worst = np.arange(neardup.SYMBOLS) % neardup.WIDTH <= neardup.ERRORS
+    for free in range(neardup.CHUNKS):  # all chunks but one have two differences, that one has one
+        b = a ^ worst.astype(np.uint32)
+        b[free * neardup.WIDTH] = a[free * neardup.WIDTH]
+        assert set(neardup.keys(a)) & set(neardup.keys(b))
+    assert not set(neardup.keys(a)) & set(neardup.keys(a ^ worst.astype(np.uint32)))
 
 
 # 3
@@ -301,11 +309,66 @@ def test_pii_disclosing_terms(spark):
     assert got[3].count("term") == 1 and got[8] == "" and got[20] == ""
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[7] == "[WORD] wrote [EMAIL] hello. [WORD]! [CARD]" and clean[8] == "Zoltan alone"
+    odd = [(1, "😀 é\n a@b.cd 😀漢 4532015112830366\n😀"), (2, "a@b.cd"), (3, None), (4, "x")]
+    assert {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(odd, "doc_id long, text string")).collect()} == {1: "😀 é\n [EMAIL] 😀漢 [CARD]\n😀", 2: "[EMAIL]", 3: None, 4: "x"}
     near = [(k, f"Zoltan Kovacs the second of his name is at zk@mail.example now and then, edit{k}") for k in range(4)]
     copies = spark.createDataFrame([(k + 500, "Zoltan Kovacs is at zk@mail.example now") for k in range(9)] + near + rows[6:50], "doc_id long, text string")
     assert not [r for r in pii.report(copies).collect() if "term" in r.spans]
 
 
+def test_pii_templates_and_copies(spark):
+    """Records of one template are evidence each; copies and near copies of a document are one."""
+    rnd = random.Random(2)
+    some = lambda n: " ".join(f"word{rnd.randrange(300)}" for _ in range(n))
+    records = [(k, f"Contact note {k} mister Zoltan uses zk@mail.example today for case {k}") for k in range(6)]
+    rest = [(100 + k, some(30)) for k in range(400)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(records + rest, "doc_id long, text string")).collect()}
+    assert all("term:" in got[k] for k in range(6)) and not any("term" in got[k] for k, _ in rest)
+    base = f"{some(60)} mister Zoltan uses zk@mail.example today {some(60)}"
+    near = [(k, base + f" edit{k}") for k in range(5)] + [(10 + k, base) for k in range(9)]
+    assert not [r for r in pii.report(spark.createDataFrame(near + rest, "doc_id long, text string")).collect() if "term" in r.spans]
+
+
+def test_contexts_by_brute_force(spark):
+    rnd = random.Random(5)
+    bits = ["alpha", "beta,", "(gamma)", "\n", " \n", "zk@mail.example", "<b@c.org>,", "1.2.3.4", "999.1.1.1", "+1 2345 67890", "delta"]
+    rows = [(k, " ".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60)))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.entity, tuple(r.near)) for r in pii.contexts(pii.base_spans(docs), 3).collect())
+    want = Counter()
+    core = lambda w: re.sub(r"^[^\w]+|[^\w]+$", "", w).lower()
+    for i, text in rows:
+        for kind, pattern in PATTERNS.items():
+            hits = [m for m in re.finditer(pattern, text)]
+            pieces, at = [], 0
+            for m in hits:
+                pieces += re.findall(r"[^\x20\x09-\x0D]+|\n", text[at : m.start()]) + ([m] if passes(kind, m.group()) else re.findall(r"[^\x20\x09-\x0D]+|\n", m.group()))
+                at = m.end()
+            pieces += re.findall(r"[^\x20\x09-\x0D]+|\n", text[at:])
+            for k, m in enumerate(pieces):
+                if not isinstance(m, str):
+                    left, right = pieces[max(0, k - 3) : k], pieces[k + 1 : k + 4]
+                    if "\n" in left:
+                        left = left[len(left) - left[::-1].index("\n") :]
+                    right = right[: right.index("\n")] if "\n" in right else right
+                    words = [core(w if isinstance(w, str) else w.group()) for w in left + right]
+                    want[i, f"{kind}:{m.group().lower()}", tuple(dict.fromkeys(words))] += 1
+    assert got == want
+
+
+def test_many_entities_in_one_text(spark):
+    """Linear, but for copies of references: four times the entities take less than eight times as long."""
+    took = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"name{k}@mail{k % 7}.example" for k in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.report(docs).first().n_email == n
+        assert pii.sanitise(docs).first().text == " ".join(["[EMAIL]"] * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] and took[1] < 120, took
+
+
 # 7
 
 
@@ -323,6 +386,19 @@ def test_bpe_round_trip(spark, odd, none):
     assert bpe.encode(none).count() == 0
 
 
+def test_another_order_raises():
+    """Documents whose words are numbered otherwise than those sent out, with words of one length, are found out."""
+    batch = lambda texts: bpe.pa.RecordBatch.from_arrays([bpe.pa.array(range(len(texts))), bpe.pa.array(texts), bpe.pa.array([0] * len(texts))], names=["doc_id", "text", "split"])
+    words = [b for b in bpe._encode_words(P.path(bpe.RANKS))(bpe._split(1, 100)(iter([batch(["one two", "six ten"])])))]
+    for texts, fails in ((["one two", "six ten"], False), (["six ten", "one two"], True)):
+        rows = words + list(bpe._split(None, 100)(iter([batch(texts)])))
+        if fails:
+            with pytest.raises(ValueError, match="twice alike"):
+                list(bpe._reassemble(P.path(bpe.RANKS), True)(iter(rows)))
+        else:
+            assert [bytes(x) for b in bpe._reassemble(P.path(bpe.RANKS), True)(iter(rows)) for x in b.column(2).to_pylist()] == [t.encode() for t in texts]
+
+
 def test_packed_numbers():
     x = np.array([0, 5, 127, 128, 16383, 16384, 1 << 20])
     assert list(bpe.unpack(bpe.pack(x))) == list(x) and list(bpe.unpack(b"")) == []
