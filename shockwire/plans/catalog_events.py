@@ -150,7 +150,29 @@ def _(spark, d):
     return rounded(stats.presence_tests(stats.contingency(dense(spark, d))).select("property_id", "window_days", "effect_size", "odds_ratio"))
 
 
-@query("X1_X2_presence_tests")
+def erfc(x: str) -> str:
+    """The complementary error function of x >= 0 in SQL, by a series of positive terms."""
+    return f"CASE WHEN {x} > 6 THEN 0 WHEN {x} > 0 THEN 1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 200), lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln({x}) - lgamma(2 * k + 2) + lgamma(k + 1)))) ELSE 1 END"
+
+
+PRESENCE = f"""{CONT}, p0 AS (SELECT *, be_present AS a, be_total - be_present AS b, ctrl_present AS c, ctrl_total - ctrl_present AS d, be_present::DOUBLE / be_total AS be_rate, ctrl_present::DOUBLE / nullif(ctrl_total, 0) AS ctrl_rate FROM cont),
+p1 AS (SELECT *, (a + b + c + d)::DOUBLE AS n, ((a + b) * (c + d) * (a + c) * (b + d))::DOUBLE AS margins, least((a + b) * (a + c), (a + b) * (b + d), (c + d) * (a + c), (c + d) * (b + d)) / (a + b + c + d)::DOUBLE AS expected, abs(a * d - b * c)::DOUBLE AS apart FROM p0),
+p2 AS (SELECT *, margins > 0 AND least(a, b, c, d) >= 5 AND expected >= 5 AS usable FROM p1),
+p3 AS (SELECT *, CASE WHEN usable THEN n * pow(apart - least(apart, n / 2), 2) / margins END AS statistic FROM p2),
+presence AS (SELECT property_id, window_days, be_present, be_total, be_rate, be_freq_mean, ctrl_present, ctrl_total, ctrl_rate, ctrl_freq_mean, CASE WHEN usable THEN 'chi2' ELSE 'fisher' END AS test_type, statistic,
+ CASE WHEN b * c <> 0 THEN a * d / (b * c)::DOUBLE ELSE 'Infinity'::DOUBLE END AS odds_ratio, 2 * (asin(sqrt(be_rate)) - asin(sqrt(ctrl_rate))) AS effect_size,
+ CASE WHEN usable AND be_rate <= ctrl_rate THEN 1 WHEN usable THEN {erfc("sqrt(statistic / 2)")}
+  ELSE list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda k: exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) + lgamma(c + d + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) - lgamma(n + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)))) END AS p_value FROM p3)"""
+EIGHT = "be_rate be_freq_mean ctrl_rate ctrl_freq_mean statistic odds_ratio effect_size p_value".split()
+
+
+def eight(*also: str) -> str:
+    """Columns of the tests, doubles to R digits."""
+    kept = "be_present, be_total, ctrl_present, ctrl_total, test_type"
+    return f"property_id, {kept}, " + ", ".join(f"round({c}, {R}) AS {c}" for c in [*EIGHT, *also])
+
+
+@query("X1_X2_presence_tests", f"WITH {PRESENCE} SELECT window_days, {eight()} FROM presence")
 def _(spark, d):
     return rounded(stats.presence_tests(stats.contingency(dense(spark, d))))
 
@@ -181,12 +203,21 @@ def tests(spark: SparkSession, d: str) -> DataFrame:
     return stats.significant(stats.bh_adjust(both, "p_value", ["analysis_type"], "property_id", "window_days"))
 
 
-@query("X6_X7_window_tests")
+TESTS = f"""{PRESENCE}, {MWU.split(DENSE + ", ", 1)[1]},
+fq AS (SELECT property_id, window_days, CASE WHEN sigma > 0 THEN (u - n1 * n2 / 2 - 0.5) / sigma END AS z FROM mu),
+frequency AS (SELECT property_id, window_days, CASE WHEN z IS NULL THEN 1 WHEN z >= 0 THEN 0.5 * ({erfc("(z / sqrt(2))")}) ELSE 1 - 0.5 * ({erfc("(-z / sqrt(2))")}) END AS p_value FROM fq),
+both_ AS (SELECT *, 'presence' AS analysis_type FROM presence UNION ALL SELECT p0.property_id, p0.window_days, be_present, be_total, be_rate, be_freq_mean, ctrl_present, ctrl_total, ctrl_rate, ctrl_freq_mean, NULL, NULL, NULL, NULL, p_value, 'frequency' FROM p0 JOIN frequency USING (property_id, window_days)),
+bh AS (SELECT *, p_value * count(*) OVER (PARTITION BY analysis_type) / row_number() OVER (PARTITION BY analysis_type ORDER BY p_value, property_id, window_days) AS raw_ FROM both_),
+ad AS (SELECT *, least(1.0::DOUBLE, min(raw_) OVER (PARTITION BY analysis_type ORDER BY p_value DESC, property_id DESC, window_days DESC ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM bh),
+tests AS (SELECT *, p_adjusted < 0.05 AND CASE WHEN analysis_type = 'presence' THEN be_rate > ctrl_rate AND abs(effect_size) >= 0.2 ELSE be_freq_mean > ctrl_freq_mean END AS significant FROM ad)"""
+
+
+@query("X6_X7_window_tests", f"WITH {TESTS} SELECT window_days, {eight('p_adjusted')}, analysis_type, significant FROM tests")
 def _(spark, d):
     return rounded(tests(spark, d))
 
 
-@query("X8_W16_best_windows")
+@query("X8_W16_best_windows", f"WITH {TESTS}, full_ AS (SELECT bool_and(be_rate = 1 AND ctrl_rate = 1) AS f FROM tests WHERE analysis_type = 'presence'), k AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY p_adjusted, p_value, window_days) AS n FROM tests, full_ WHERE analysis_type = CASE WHEN f THEN 'frequency' ELSE 'presence' END) SELECT window_days AS optimal_window, {eight('p_adjusted')}, analysis_type, significant FROM k WHERE n = 1")
 def _(spark, d):
     return rounded(stats.best_windows(stats.saturated(tests(spark, d))))
 
