@@ -1,12 +1,14 @@
 """The pipeline held against its parts, and stages on odd input."""
 
 import hashlib
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shockwire.llm import bpe
+from shockwire.llm import bpe, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,6 +77,25 @@ def test_personal_data_is_gone(stages):
     assert after.where(F.col("n_chars") != F.char_length("text")).count() == 0
 
 
+def test_mixture_takes_whole_copies(stages):
+    """Each document as often as its taken words make it whole, counted by hand; sources come near their targets."""
+    before, after = stages[3]
+    taken = {r.doc_id: r for r in mixing.mix(before).collect()}
+    copies = Counter(ids(after))
+    assert copies == Counter({i: math.floor(r.taken / max(r.size, 1) + 0.5) for i, r in taken.items() if math.floor(r.taken / max(r.size, 1) + 0.5)})
+    words, target, largest = Counter(), {}, Counter()
+    for i, r in taken.items():
+        words[r.source] += copies[i] * r.size
+        target[r.source], largest[r.source] = r.target, max(largest[r.source], r.size)
+    shards = Counter(r.source for r in taken.values())
+    assert all(abs(words[s] - t) <= largest[s] * math.ceil(shards[s] ** 0.5) + 32 for s, t in target.items())  # two halves of a document a shard at most
+
+
+def test_run_is_its_stages(spark, stages):
+    rows = lambda df: Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in df.collect())
+    assert rows(corpus_pipeline.run(spark, SF)) == rows(stages[-1][1])
+
+
 def test_tokens_come_back(stages):
     before, after = stages[4]
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
