@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockwire.llm import bpe, chroma, fingerprints, html_text, mixing, neardup, pii, prefix_counts, quality, warc
+from shockwire.llm import bpe, chroma, filter_audit, fingerprints, html_text, line_dedup, mixing, neardup, pii, prefix_counts, quality, ranked_search, warc
 from shockwire.llm.common import table
 
 
@@ -64,9 +64,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chroma": op1_chroma, "op2_neardup": op2_neardup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_fingerprints": op8_fingerprints, "op9_html_text": op9_html_text, "op10_warc": op10_warc}
+    return {"op1_chroma": op1_chroma, "op2_neardup": op2_neardup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_pii": op6_pii, "op7_bpe": op7_bpe, "op8_fingerprints": op8_fingerprints, "op9_html_text": op9_html_text, "op10_warc": op10_warc, "op11_filter_audit": op11_filter_audit, "op12_ranked_search": op12_ranked_search, "op13_line_dedup": op13_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_neardup": neardup.ORACLE, "op5_mixing": mixing.oracle_sql(), "op10_warc": warc.ORACLE}
+    return {"op2_neardup": neardup.ORACLE, "op5_mixing": mixing.oracle_sql(), "op10_warc": warc.ORACLE, "op11_filter_audit": filter_audit.oracle_sql(), "op12_ranked_search": ranked_search.oracle_sql(), "op13_line_dedup": line_dedup.oracle_sql()}
