@@ -40,7 +40,7 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = llm_queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -51,7 +51,7 @@ def test_sql(spark, name):
 
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert {"pipeline", "op2_neardup", "op3_token_counts", "op4_quality", "op5_mixing", "op6_pii", "op7_bpe", "op8_fingerprints", "op9_html_text", "op10_warc"} <= names
+    assert {"pipeline", "op2_neardup", "op3_token_counts", "op4_quality", "op5_mixing", "op6_pii", "op7_bpe", "op8_fingerprints", "op9_html_text", "op10_warc", "op11_filter_audit", "op12_ranked_search", "op13_line_dedup"} <= names
 
 
 # 2
