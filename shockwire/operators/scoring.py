@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shockwire.config import DEFAULT
-from shockwire.operators.windows import property_windows, window_articles
+from shockwire.operators.windows import property_windows, range_sums
 
 
 def alert_level(n: Column, levels: tuple[int, int, int] = DEFAULT.alert_levels) -> Column:
@@ -71,14 +71,21 @@ def offset_scores(daily: DataFrame, events: DataFrame, params: DataFrame, longes
     return grid.join(sums, "ref_id", "left").select("event_id", "days_before", F.round(F.coalesce("raw_score", F.lit(0.0)), 4).alias("raw_score"))
 
 
-def daily_batch(daily: DataFrame, articles_per_day: DataFrame, days: DataFrame, params: DataFrame, longest: int, empirical_max: float, rule: str = "below_0_8") -> DataFrame:
-    """raw_score and risk_score (0 to 100 against the largest raw score of an event) of every trading day of days (date),
-    counts corrected for missing days. Every day is a reference date: one equi-join of days with their windows' counts."""
-    refs = days.select(F.col("date").cast("string").alias("ref_id"), F.col("date").alias("ref_date"))
-    sizes = [r[0] for r in params.select("optimal_window").distinct().collect()]  # one row a window in use
-    freq = property_windows(daily, refs, params, longest).join(params.select("property_id", F.col("optimal_window").alias("window_days")), "property_id")
-    held = window_articles(articles_per_day, refs, tuple(sizes)) if sizes else freq.select("ref_id", "window_days", F.lit(0).alias("n_articles"), F.lit(0).alias("actual_days")).limit(0)
-    sums = contributions(correct_coverage(freq, held, rule), params).groupBy("ref_id").agg(F.sum("contribution").alias("raw_score"))
-    raw = refs.join(sums, "ref_id", "left").withColumn("raw_score", F.coalesce("raw_score", F.lit(0.0)))
-    risk = F.round(F.least(F.lit(100.0), F.col("raw_score") * 100 / empirical_max), 2) if empirical_max > 0 else F.lit(0.0)
-    return raw.select(F.col("ref_date").alias("date"), F.round("raw_score", 4).alias("raw_score"), risk.alias("risk_score"))
+def empirical_max(references: DataFrame) -> DataFrame:
+    """One row, top: the largest raw score (4 digits) of an event among scored references (label, raw_score); null without events."""
+    return references.where("label = 1").agg(F.max(F.round("raw_score", 4)).alias("top"))
+
+
+def daily_batch(daily: DataFrame, articles_per_day: DataFrame, days: DataFrame, params: DataFrame, top: DataFrame, rule: str = "below_0_8") -> DataFrame:
+    """raw_score and risk_score (0 to 100 against top, see `empirical_max`; 0 without it) of every trading day of days (date),
+    counts corrected for missing days. Each property's sums over its own window come from running sums (`windows.range_sums`)."""
+    refs = days.select(F.col("date").alias("ref_date")).where("ref_date is not null").distinct()
+    used = params.select("property_id", F.col("optimal_window").cast("int").alias("window_days"))
+    asked = refs.join(used)  # the grid of the result's own terms: days x properties of the model
+    freq = range_sums(daily.join(used.select("property_id"), "property_id", "left_semi"), asked, ["property_id"], ["cnt"]).withColumnRenamed("cnt", "freq")
+    held = range_sums(articles_per_day.select("date", F.lit(1).alias("actual_days")), refs.join(used.select("window_days").distinct()), [], ["actual_days"])
+    freq = freq.where("freq > 0").withColumn("ref_id", F.col("ref_date")).drop("ref_date")
+    sums = contributions(correct_coverage(freq, held.withColumnRenamed("ref_date", "ref_id"), rule), params).groupBy("ref_id").agg(F.sum("contribution").alias("raw_score"))
+    raw = refs.join(sums, F.col("ref_id") == F.col("ref_date"), "left").withColumn("raw_score", F.coalesce("raw_score", F.lit(0.0)))
+    risk = F.when(F.col("top") > 0, F.round(F.least(F.lit(100.0), F.col("raw_score") * 100 / F.when(F.col("top") > 0, F.col("top"))), 2)).otherwise(0.0)
+    return raw.join(F.broadcast(top)).select(F.col("ref_date").alias("date"), F.round("raw_score", 4).alias("raw_score"), risk.alias("risk_score"))  # top is one row

@@ -72,6 +72,21 @@ def trailing(daily: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     return dense.withColumn("_day", index).select("date", "property_id", *[F.coalesce(F.sum("cnt").over(w(n)), F.lit(0)).alias(f"w{n}") for n in windows])
 
 
+def range_sums(daily: DataFrame, asked: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """J4 where many days are asked for: keys, ref_date, window_days and the sums of daily's values over [ref_date - window_days,
+    ref_date - 1] for each distinct row of asked (keys, ref_date, window_days).
+
+    A running sum over a key's days is read at the two ends of each window: two rows a window, however long it is, and no list
+    of days. daily: keys, date, values."""
+    names = ["ref_date", "window_days"]
+    end = lambda day, sign: asked.select(*keys, day.alias("date"), F.lit(sign).alias("sign"), *names, *[F.lit(None).cast(dict(daily.dtypes)[v]).alias(v) for v in values])
+    counts = daily.select(*keys, "date", F.lit(0).alias("sign"), F.lit(None).cast("date").alias("ref_date"), F.lit(None).cast("int").alias("window_days"), *values)
+    rows = counts.unionByName(end(F.date_sub("ref_date", 1), 1)).unionByName(end(F.date_sub("ref_date", F.col("window_days") + 1), -1))
+    to_here = Window.partitionBy(*keys or [F.lit(0)]).orderBy("date", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)  # without keys: as many rows as days
+    running = rows.select(*keys, *names, "sign", *[F.coalesce(F.sum(v).over(to_here), F.lit(0)).alias(v) for v in values]).where("sign != 0")
+    return running.groupBy(*keys, *names).agg(*[F.sum(F.col("sign") * F.col(v)).alias(v) for v in values])
+
+
 def combined_daily(main: DataFrame, daily: DataFrame) -> DataFrame:
     """Main rows, and daily rows of dates that main does not have."""
     return main.unionByName(daily.join(main.select("date").distinct(), "date", "left_anti"), allowMissingColumns=True)

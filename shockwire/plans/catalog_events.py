@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shockwire.operators import events, scoring, stats, windows
 from shockwire.plans import standins as s
 from shockwire.registry import query
+from shockwire.sources import score_table
+from shockwire.sources.shared import cut, new_path
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
@@ -244,15 +246,35 @@ def params(spark: SparkSession, d: str) -> DataFrame:
     return table.select("property_id", F.col("window_days").alias("optimal_window"), "ctrl_freq_mean", (1.0 / (1 + F.ascii(F.substring("property_id", 2, 1)) % 5)).alias("weight"))
 
 
-B11 = f"""{PARAMS}, pf AS (SELECT p.date AS ref_date, property_id, optimal_window AS w, ctrl_freq_mean, weight, sum(cnt) AS freq FROM prices p, daily JOIN params USING (property_id) WHERE daily.date BETWEEN p.date - optimal_window AND p.date - 1 GROUP BY ALL),
+B11 = f"""{PARAMS}, pb AS (SELECT p.date AS ref_date, property_id, optimal_window AS w, ctrl_freq_mean, weight, sum(cnt) AS freq FROM prices p, daily JOIN params USING (property_id) WHERE daily.date BETWEEN p.date - optimal_window AND p.date - 1 GROUP BY ALL),
 held AS (SELECT p.date AS ref_date, w, count(*) AS actual FROM prices p, per_day, (SELECT DISTINCT optimal_window AS w FROM params) WHERE per_day.date BETWEEN p.date - w AND p.date - 1 GROUP BY ALL),
-corrected AS (SELECT *, CASE WHEN actual < w AND actual / w::DOUBLE < 0.8 THEN trunc(freq * w::DOUBLE / actual) ELSE freq END AS f FROM pf JOIN held USING (ref_date, w)),
+corrected AS (SELECT *, CASE WHEN actual < w AND actual / w::DOUBLE < 0.8 THEN trunc(freq * w::DOUBLE / actual) ELSE freq END AS f FROM pb JOIN held USING (ref_date, w)),
 rawd AS (SELECT ref_date, sum(weight * greatest(f / ctrl_freq_mean - 1, 0)) AS raw FROM corrected GROUP BY 1)"""
 
 
-@query("B11_daily_scores", f"WITH {B11} SELECT date, round(coalesce(raw, 0), 4) AS raw_score, round(least(100, coalesce(raw, 0) * 100 / 8.0::DOUBLE), 2) AS risk_score FROM prices LEFT JOIN rawd ON ref_date = date")
+B11 = f"""{SCORE}, {B11.split(PARAMS + ", ", 1)[1]}, most AS (SELECT max(raw_score) FILTER (label = 1) AS m FROM risk)
+SELECT date, round(coalesce(raw, 0), 4) AS raw_score, coalesce(round(least(100, coalesce(raw, 0) * 100 / CASE WHEN m > 0 THEN m END), 2), 0) AS risk_score FROM prices LEFT JOIN rawd ON ref_date = date, most"""
+
+
+def b11_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    counts, model = cut(daily(spark, d)), cut(params(spark, d))  # each is used several times
+    top = cut(scoring.empirical_max(scoring.score_references(counts, refs(spark, d), model, max(s.WINDOWS))))
+    return counts, windows.daily_articles(s.tagged(spark, d)), s.prices(spark, d).select("date"), model, top
+
+
+@query("B11_daily_scores", f"WITH {B11}")
+def _(spark, d):
+    return scoring.daily_batch(*b11_inputs(spark, d))
+
+
+@query("B11_score_table", f"WITH {B11}")
 def _(spark, d):
-    return scoring.daily_batch(daily(spark, d), windows.daily_articles(s.tagged(spark, d)), s.prices(spark, d), params(spark, d), max(s.WINDOWS), 8.0)
+    """The score table after three runs: days to 1995, all days, and again, which finds nothing to do."""
+    counts, articles, days, model, top = b11_inputs(spark, d)
+    path = new_path(spark, "scores")
+    for some in (days.where("date < '1996-01-01'"), days, days):
+        score_table.backfill(path, counts, articles, some, model, top)
+    return score_table.read(spark, path).select("date", "raw_score", "risk_score")
 
 
 @query("scored_dates", f"WITH {SCORE} SELECT ref_id, label, ref_date, raw_score, risk_score FROM risk")

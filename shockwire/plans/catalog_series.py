@@ -10,7 +10,7 @@ from shockwire.plans import catalog_events as base
 from shockwire.plans import standins as s
 from shockwire.plans.catalog_events import rounded
 from shockwire.registry import query
-from shockwire.sources import files, sinks
+from shockwire.sources import files, footers, sinks
 
 MON = f"{s.SCORES}, mon AS (SELECT strftime(date, '%Y-%m') AS year_month, avg(risk_score) AS risk_mean, max(risk_score) AS risk_max, coalesce(stddev_samp(risk_score), 0) AS risk_std, count(*) AS n_days, sum(CASE WHEN risk_score >= 60 THEN 1 ELSE 0 END)::BIGINT AS warning_days FROM scores GROUP BY 1), {s.MONTHLY}, merged AS (SELECT mon.*, value AS returned FROM mon LEFT JOIN series USING (year_month))"
 
@@ -373,6 +373,16 @@ def _(spark, d):
     return files.date_range(s.tagged(spark, d))
 
 
+@query("S8_S9_footer_range", "SELECT min(l_shipdate::DATE) AS first_date, max(l_shipdate::DATE) AS last_date FROM lineitem")
+def _(spark, d):
+    return footers.date_range(spark, f"{d}/lineitem.parquet", "l_shipdate")
+
+
+@query("S10_tail_dates")
+def _(spark, d):
+    return footers.tail_dates(spark, f"{d}/lineitem.parquet", "l_shipdate")
+
+
 @query("S20_months", "SELECT strftime(m, '%Y-%m') AS year_month, greatest(m::DATE, DATE '2024-01-15') AS first_day, least(last_day(m), DATE '2024-07-10') AS last_day FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-07-11', INTERVAL 1 MONTH)) AS m)")
 def _(spark, d):
     return files.months(spark, "2024-01-15", "2024-07-10")
