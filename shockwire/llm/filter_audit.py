@@ -8,7 +8,8 @@
 4. shapley is a filter's removals over all orders and steps, a sum over the few rows of (3).
 
 Equal texts meet by SHA-256: the smallest doc_id of each text that several hold is found by partial aggregation, and joined
-back to rows without texts; a text that a third of all rows hold leaves one row a task, and the join's own side of it can be split.
+back to rows without texts. Texts of more than one row in HOT_TEXTS, of which there are HOT_TEXTS at most, are broadcast, so that
+their rows need no exchange; what is shuffled holds no larger group.
 
 Defined results: a null text is empty; a null source is the part ''; rows that repeat a doc_id count each by itself, and are
 no copies of each other; a null doc_id is neither smaller nor greater than any other and has no labels; labels that repeat or
@@ -29,6 +30,8 @@ FILTERS = "ABCDE"
 MIN_WORDS = 200
 #: Distinct words, in per cent of the words, and capitals, in per cent of the code points.
 MIN_DISTINCT, MAX_CAPITALS = 50, 2
+#: A text that more than one in so many rows hold is joined by broadcast.
+HOT_TEXTS = 1000
 SYMBOLS = r"[#$%&*|]"
 
 
@@ -41,9 +44,13 @@ def failures(docs: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_of("text").alias("t"))
         .select("doc_id", "part", F.unhex(F.sha2("t", 256)).alias("digest"), bits(alone).alias("own"))
     )
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
+    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n")).where("first_id < last_id")
+    many = F.col("n") * HOT_TEXTS >= rows.count()
+    hot, others = (copies.where(c).select("digest", "first_id") for c in (many, ~many))
+    marked = rows.join(F.broadcast(hot), "digest", "left")
+    rest = marked.where("first_id is null").drop("first_id").join(others, "digest", "left")
     copied = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
-    return rows.join(first, "digest", "left").select("doc_id", "part", (F.col("own") + F.when(copied, 1 << len(alone)).otherwise(0)).alias("fails"))
+    return marked.where("first_id is not null").unionByName(rest).select("doc_id", "part", (F.col("own") + F.when(copied, 1 << len(alone)).otherwise(0)).alias("fails"))
 
 
 def bits(conditions: list[Column]) -> Column:
