@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shockwire.config import DEFAULT
+from shockwire.operators.scan import Running, scan
 
 Fold = Callable[[np.ndarray], tuple[list[float], list[float]]]
 
@@ -190,11 +191,12 @@ def dca(days: DataFrame, plans: dict[str, Tranches] = TRANCHES, seed: float = 1_
     return named.groupBy("strategy").applyInPandas(run, "strategy string, date date, signal string, position double, leverage double, cash double, invested double, asset double")
 
 
-def drawdowns(assets: DataFrame) -> DataFrame:
-    """Adds the running maximum and the fall below it."""
-    w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.max("asset").over(w)
-    return assets.withColumn("peak", top).withColumn("drawdown", F.when(top > 0, F.col("asset") / F.when(top > 0, top) - 1).otherwise(0.0))
+def drawdowns(assets: DataFrame, ranges: int | None = 1) -> DataFrame:
+    """Adds the running maximum and the fall below it. A strategy's days are one window unless `ranges` cuts a long series
+    into several (None: by its rows)."""
+    top = F.col("peak")
+    rows = scan(assets.drop("peak", "drawdown"), "date", {"peak": Running("max", "asset")}, ("strategy",), ranges)
+    return rows.withColumn("drawdown", F.when(top > 0, F.col("asset") / F.when(top > 0, top) - 1).otherwise(0.0))
 
 
 def turns(placed: DataFrame) -> DataFrame:

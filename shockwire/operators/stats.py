@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from shockwire.config import DEFAULT
 from shockwire.functions.special import chi2_tail, fisher_greater, normal_tail
+from shockwire.operators.scan import Running, scan
 
 
 def dense_frequencies(freq: DataFrame, refs: DataFrame, windows: tuple[int, ...]) -> DataFrame:
@@ -158,22 +159,27 @@ def association_rules(baskets: DataFrame, controls: DataFrame, support: float =
     return rules.join(among, "items", "left").select("antecedents", "consequents", "support", "confidence", "lift", (F.coalesce("count", F.lit(0)) / F.lit(total)).alias("ctrl_support"))
 
 
-def roc(scored: DataFrame) -> DataFrame:
-    """By distinct score from above: threshold, tp, fp, precision, recall, fpr."""
+def _by_score(scored: DataFrame, ranges: int | None) -> DataFrame:
+    """score, p and n (positives and all rows at the score), p_to and n_to (of those at or above it)."""
     by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    w, every = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")), Window.partitionBy(F.lit(0))
-    tp, seen = F.sum("p").over(w), F.sum("n").over(w)
-    pos, neg = F.sum("p").over(every), F.sum(F.col("n") - F.col("p")).over(every)
-    return by.select(F.col("score").alias("threshold"), tp.alias("tp"), (seen - tp).alias("fp"), (tp / seen).alias("precision"), F.try_divide(tp, pos).alias("recall"), F.try_divide(seen - tp, neg).alias("fpr"))
-
-
-def auc(scored: DataFrame) -> DataFrame:
-    """The area under the curve; 0 where a class is absent. Rows are counted by distinct score first: a positive beats
-    the negatives below it and ties with those at its score."""
-    by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("score")) - F.col("n")
-    won = by.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
-    pairs = F.sum("p").cast("double") * F.sum("n")
+    return scan(by, "score", {"p_to": Running("sum", "p", after=True), "n_to": Running("sum", "n", after=True)}, ranges=ranges)
+
+
+def roc(scored: DataFrame, ranges: int | None = None) -> DataFrame:
+    """By distinct score from above: threshold, tp, fp, precision, recall, fpr. Distinct scores may be as many as rows:
+    their running counts are a prefix scan over `ranges` ranges."""
+    rows = _by_score(scored, ranges)
+    whole = scored.agg(F.sum("label").alias("pos"), (F.count(F.lit(1)) - F.sum("label")).alias("neg"))  # one row
+    tp, seen = F.col("p_to"), F.col("n_to")
+    return rows.join(F.broadcast(whole)).select(F.col("score").alias("threshold"), tp.alias("tp"), (seen - tp).alias("fp"), (tp / seen).alias("precision"), F.try_divide(tp, F.col("pos")).alias("recall"), F.try_divide(seen - tp, F.col("neg")).alias("fpr"))
+
+
+def auc(scored: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The area under the curve; 0 where a class is absent. Rows are counted by distinct score first: a negative loses
+    to the positives above it and ties with those at its score."""
+    rows = _by_score(scored, ranges).withColumn("negatives", F.col("n") - F.col("p"))
+    won = rows.withColumn("won", F.col("negatives") * (F.col("p_to") - F.col("p") / 2.0))
+    pairs = F.sum("p").cast("double") * F.sum("negatives")
     return won.agg(F.when(pairs > 0, F.sum("won") / F.when(pairs > 0, pairs)).otherwise(0.0).alias("auc"))
 
 

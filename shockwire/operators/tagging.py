@@ -23,55 +23,123 @@ def property_vectors(embedded: DataFrame) -> DataFrame:
     return mean.select("property_id", F.when(norm(F.col("v")) > 0, F.transform("v", lambda x: x / norm(F.col("v")))).otherwise(F.col("v")).alias("vector"))
 
 
-def similarities(articles: DataFrame, properties: DataFrame, key: str = "article_id") -> DataFrame:
-    """(key, property_id, similarity) of every article with every property: a matrix product for each Arrow batch
-    against the broadcast property matrix. articles: key, embedding; properties: property_id, vector."""
+def property_matrix(properties: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The ids of properties (property_id, vector), ascending, and their vectors as rows."""
     rows = properties.select("property_id", "vector").orderBy("property_id").limit(MAX_PROPERTIES + 1).collect()
     if len(rows) > MAX_PROPERTIES:
         raise ValueError(f"more than {MAX_PROPERTIES} properties")
-    names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+
+
+def products(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of batches whose second column holds embeddings, and their cosines with the matrix's rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            yield part, (v / np.where(length > 0, length, 1)) @ matrix.T
+
+
+def _embedded(articles: DataFrame, key: str, *also: str) -> DataFrame:
+    return articles.select(key, F.col("embedding").cast("array<double>").alias("embedding"), *also).where("embedding is not null")
+
+
+def similarities(articles: DataFrame, properties: DataFrame, key: str = "article_id") -> DataFrame:
+    """(key, property_id, similarity) of every article with every property: a matrix product for each Arrow batch
+    against the broadcast property matrix. articles: key, embedding; properties: property_id, vector. Where only some of these
+    rows matter, `tag_articles`, `map_tags` and `calibrate` do not make the others."""
+    names, matrix = property_matrix(properties)
     kind = dict(articles.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                v = np.array(part.column(1).to_pylist(), dtype=float).reshape(part.num_rows, -1)
-                length = np.linalg.norm(v, axis=1, keepdims=True)
-                sims = (v / np.where(length > 0, length, 1)) @ matrix.T
-                keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(names * part.num_rows), pa.array(sims.ravel())], names=[key, "property_id", "similarity"])
+        for part, sims in products(batches, matrix):
+            keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(names * part.num_rows), pa.array(sims.ravel())], names=[key, "property_id", "similarity"])
 
     if not names:
         return articles.select(key, F.lit("").alias("property_id"), F.lit(0.0).alias("similarity")).limit(0)
-    return articles.select(key, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").mapInArrow(run, f"{key} {kind}, property_id string, similarity double")
+    return _embedded(articles, key).mapInArrow(run, f"{key} {kind}, property_id string, similarity double")
 
 
-def tag_articles(similar: DataFrame, thresholds: DataFrame, key: str = "article_id") -> DataFrame:
-    """M4: key and the sorted properties whose similarity reaches their threshold (property_id, threshold); empty if none."""
-    hit = F.when(F.col("similarity") >= F.col("threshold"), F.col("property_id"))
-    return similar.join(thresholds, "property_id").groupBy(key).agg(F.sort_array(F.collect_list(hit)).alias("properties"))
+def tag_articles(articles: DataFrame, properties: DataFrame, thresholds: DataFrame, key: str = "article_id") -> DataFrame:
+    """M4: key and the sorted properties whose similarity reaches their threshold (property_id, threshold), a row an embedded
+    article; empty if none. The threshold is applied inside the product's batch: what leaves it are the hits."""
+    names, matrix = property_matrix(properties.join(thresholds.select("property_id"), "property_id", "left_semi"))
+    known = {r["property_id"]: r["threshold"] for r in thresholds.where(F.col("property_id").isin(names)).collect()}  # MAX_PROPERTIES at most
+    least, ids = np.array([known[n] for n in names]), pa.array(names, pa.string())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sims in products(batches, matrix):
+            row, hit = np.nonzero(sims >= least)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+            tags = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(hit)))
+            yield pa.RecordBatch.from_arrays([part.column(0), tags], names=[key, "properties"])
 
-def map_tags(similar: DataFrame, key: str = "tag", least: float = DEFAULT.tag_similarity) -> DataFrame:
-    """M3: each free tag's most similar property, where it reaches `least` (the smaller id of equals)."""
-    best = similar.groupBy(key).agg(F.max(F.struct("similarity", F.col("property_id"))).alias("b"), F.max("similarity").alias("m"))
-    first = similar.join(best.select(key, "m"), key).where(F.col("similarity") == F.col("m")).groupBy(key).agg(F.min("property_id").alias("property_id"), F.first("m").alias("similarity"))
-    return first.where(F.col("similarity") >= least)
+    kind = dict(articles.dtypes)[key]
+    if not names:
+        return _embedded(articles, key).select(key, F.array().cast("array<string>").alias("properties"))
+    return _embedded(articles, key).mapInArrow(run, f"{key} {kind}, properties array<string>")
+
+
+def map_tags(tags: DataFrame, properties: DataFrame, key: str = "tag", least: float = DEFAULT.tag_similarity) -> DataFrame:
+    """M3: each free tag's most similar property, where it reaches `least` (the smaller id of equals). The largest is taken
+    inside the batch; a tag that stands in several rows keeps the best of them."""
+    names, matrix = property_matrix(properties)
+    kind, ids = dict(tags.dtypes)[key], pa.array(names, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sims in products(batches, matrix):
+            best = sims.argmax(axis=1)  # names ascend: the first of equals
+            most = sims[np.arange(len(best)), best]
+            hit = np.flatnonzero(most >= least)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit)), ids.take(pa.array(best[hit])), pa.array(most[hit])], names=[key, "property_id", "similarity"])
+
+    if not names:
+        return tags.select(key, F.lit("").alias("property_id"), F.lit(0.0).alias("similarity")).limit(0)
+    found = _embedded(tags, key).mapInArrow(run, f"{key} {kind}, property_id string, similarity double")
+    return found.groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "property_id")).alias("b")).select(key, "b.property_id", (-F.col("b.s")).alias("similarity"))
+
+
+def similarity_histogram(articles: DataFrame, properties: DataFrame, truth: DataFrame, grid: list[float], key: str = "article_id") -> DataFrame:
+    """property_id, bucket (how many grid values, ascending, a similarity reaches), n and positives: how many similarities
+    of articles are there, and how many of those pairs stand in truth (key, property_id). A task emits one histogram a property."""
+    names, matrix = property_matrix(properties)
+    number, width = {n: i for i, n in enumerate(names)}, len(grid) + 1
+    of = truth.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("property_id").alias("_truth"))  # properties at most
+    rows = _embedded(articles, key).join(of, key, "left").select(key, "embedding", "_truth")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, right = np.zeros(len(names) * width, np.int64), np.zeros(len(names) * width, np.int64)
+        for part, sims in products(batches, matrix):
+            cell = np.searchsorted(grid, sims, side="right") + np.arange(len(names)) * width
+            every += np.bincount(cell.ravel(), minlength=len(every))
+            true = [(i, number[p]) for i, known in enumerate(part.column(2).to_pylist()) for p in known or () if p in number]
+            if true:
+                right += np.bincount(cell[tuple(np.array(true).T)], minlength=len(right))
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array([names[k // width] for k in some], pa.string()), pa.array(some % width, pa.int32()), pa.array(every[some]), pa.array(right[some])], names=["property_id", "bucket", "n", "positives"])
+
+    schema = "property_id string, bucket int, n long, positives long"
+    if not names:
+        return articles.sparkSession.createDataFrame([], schema)
+    return rows.mapInArrow(run, schema).groupBy("property_id", "bucket").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
 
 
-def calibrate(similar: DataFrame, truth: DataFrame, key: str, start: float = 0.3, end: float = 0.8, step: float = 0.05) -> DataFrame:
-    """property_id (null: all together), threshold, f1: the grid's first threshold with the best F1. Thresholds
-    without any hit stand at 0.5 globally and at the global one by property. truth: key, property_id."""
+def calibrate(articles: DataFrame, properties: DataFrame, truth: DataFrame, key: str, start: float = 0.3, end: float = 0.8, step: float = 0.05) -> DataFrame:
+    """property_id (null: all together), threshold, f1: the grid's first threshold with the best F1, from one histogram
+    of similarities a property. Thresholds without any hit stand at 0.5 globally and at the global one by property.
+    truth: key, property_id."""
     grid = [round(start + i * step, 10) for i in range(round((end - start) / step) + 1)]
-    known = truth.select(key, "property_id", F.lit(1).alias("y")).distinct()
-    pairs = similar.join(known, [key, "property_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    counted = pairs.withColumn("t", F.explode(F.array(*map(F.lit, grid)))).withColumn("hit", (F.col("similarity") >= F.col("t")).cast("int"))
-    sums = counted.groupBy("property_id", "t").agg(F.sum(F.col("hit") * F.col("y")).alias("tp"), F.sum("hit").alias("hits"), F.sum("y").alias("positives"))
-    every = sums.groupBy("t").agg(*[F.sum(c).alias(c) for c in ("tp", "hits", "positives")]).withColumn("property_id", F.lit(None).cast("string"))
-    both = sums.unionByName(every).withColumn("f1", F.when(F.col("hits") + F.col("positives") > 0, 2 * F.col("tp") / F.when(F.col("hits") + F.col("positives") > 0, F.col("hits") + F.col("positives"))).otherwise(0.0))
-    best = both.withColumn("_n", F.row_number().over(Window.partitionBy("property_id").orderBy(F.desc("f1"), "t"))).where("_n = 1")
-    whole = F.max(F.when(F.col("property_id").isNull(), F.when(F.col("f1") > 0, F.col("t")).otherwise(0.5))).over(Window.partitionBy(F.lit(0)))
+    counts = similarity_histogram(articles, properties, truth, grid, key)
+    both = counts.unionByName(counts.withColumn("property_id", F.lit(None).cast("string"))).groupBy("property_id", "bucket").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+    # a threshold's hits are the buckets above it
+    reach = lambda c, i: F.sum(F.when(F.col("bucket") > i, F.col(c)).otherwise(0))
+    each = F.array(*[F.struct(F.lit(t).alias("t"), reach("positives", i).alias("tp"), reach("n", i).alias("hits"), F.sum("positives").alias("positives")) for i, t in enumerate(grid)])
+    sums = both.groupBy("property_id").agg(each.alias("x")).select("property_id", F.explode("x").alias("x")).select("property_id", "x.*")
+    scored = sums.withColumn("f1", F.when(F.col("hits") + F.col("positives") > 0, 2 * F.col("tp") / F.when(F.col("hits") + F.col("positives") > 0, F.col("hits") + F.col("positives"))).otherwise(0.0))
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("property_id").orderBy(F.desc("f1"), "t"))).where("_n = 1")
+    whole = F.max(F.when(F.col("property_id").isNull(), F.when(F.col("f1") > 0, F.col("t")).otherwise(0.5))).over(Window.partitionBy(F.lit(0)))  # a row a property
     return best.select("property_id", F.when(F.col("f1") > 0, F.col("t")).otherwise(whole).alias("threshold"), "f1")
 
 

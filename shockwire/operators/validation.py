@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shockwire.config import DEFAULT
+from shockwire.operators.scan import Running, scan
 
 
 def time_split(scored: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
@@ -35,13 +36,13 @@ def ensembles(scored: DataFrame, one: Column, two: Column) -> DataFrame:
     return confusion(scored.select("label", F.explode(rules).alias("r")).select("label", "r.*"), "rule")
 
 
-def lead_times(warnings: DataFrame, events: DataFrame) -> DataFrame:
+def lead_times(warnings: DataFrame, events: DataFrame, ranges: int | None = None) -> DataFrame:
     """For each warning date the next event on or after it, and the days to it (null without one). Both sides are
-    laid in one order by date and the next event is taken from it, so no pair of the two is made."""
-    both = warnings.select("date", F.lit(0).alias("is_event")).unionByName(events.select("date", F.lit(1).alias("is_event")))
-    w = Window.partitionBy(F.lit(0)).orderBy("date", "is_event").rowsBetween(0, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("is_event") == 1, F.col("date")), ignorenulls=True).over(w)
-    return both.withColumn("next_event", following).where("is_event = 0").select("date", "next_event", F.datediff("next_event", "date").alias("lead_days"))
+    laid in one order by date and the next event is a scan from its end, so no pair of the two is made."""
+    none = F.lit(None).cast("date")
+    both = warnings.select("date", none.alias("event"), F.lit(True).alias("asked")).unionByName(events.select("date", F.col("date").alias("event"), F.lit(False).alias("asked")))
+    found = scan(both, "date", {"next_event": Running("min", "event", after=True)}, ranges=ranges).where("asked")
+    return found.select("date", F.when(F.col("date").isNotNull(), F.col("next_event")).alias("next_event")).withColumn("lead_days", F.datediff("next_event", "date"))
 
 
 def lead_summary(leads: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def similar(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return tagging.similarities(v.select("vec_id", "embedding"), tagging.property_vectors(v), "vec_id")
+    return tagging.similarities(v, tagging.property_vectors(v), "vec_id")
 
 
 DIM = f"""{s.VECTORS}, dims AS (SELECT property_id, i, avg(embedding[i]) AS x FROM vectors, range(1, 65) AS r(i) GROUP BY 1, 2),
@@ -39,13 +39,15 @@ def _(spark, d):
 
 @query("M3_map_tags", f"WITH {DIM}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, property_id) AS n FROM sim) SELECT vec_id, property_id, round(similarity, 8) AS similarity FROM r WHERE n = 1 AND similarity >= 0.2")
 def _(spark, d):
-    return rounded(tagging.map_tags(similar(spark, d), "vec_id", 0.2))
+    v = vectors(spark, d)
+    return rounded(tagging.map_tags(v, tagging.property_vectors(v), "vec_id", 0.2))
 
 
 @query("M4_tag_articles", f"WITH {DIM} SELECT vec_id, coalesce(string_agg(CASE WHEN similarity >= 0.15 THEN property_id END, ',' ORDER BY property_id), '') AS properties FROM sim GROUP BY 1")
 def _(spark, d):
-    limits = tagging.property_vectors(vectors(spark, d)).select("property_id", F.lit(0.15).alias("threshold"))
-    return tagging.tag_articles(similar(spark, d), limits, "vec_id").select("vec_id", F.array_join("properties", ",").alias("properties"))
+    v = vectors(spark, d)
+    properties = tagging.property_vectors(v)
+    return tagging.tag_articles(v, properties, properties.select("property_id", F.lit(0.15).alias("threshold")), "vec_id").select("vec_id", F.array_join("properties", ",").alias("properties"))
 
 
 GRID = ", ".join(f"({round(0.1 + i * 0.05, 10)}::DOUBLE)" for i in range(9))
@@ -57,8 +59,8 @@ b AS (SELECT *, CASE WHEN h + p > 0 THEN 2 * tp / (h + p)::DOUBLE ELSE 0 END AS
 
 @query("X16_X17_calibrate", f"WITH {CAL} SELECT property_id, CASE WHEN f1 > 0 THEN t ELSE 0.5 END AS threshold, round(f1, 8) AS f1 FROM r WHERE n = 1")
 def _(spark, d):
-    truth = vectors(spark, d).select("vec_id", "property_id")
-    return rounded(tagging.calibrate(similar(spark, d), truth, "vec_id", 0.1, 0.5, 0.05))
+    v = vectors(spark, d)
+    return rounded(tagging.calibrate(v, tagging.property_vectors(v), v.select("vec_id", "property_id"), "vec_id", 0.1, 0.5, 0.05))
 
 
 @query("M2_encode")
