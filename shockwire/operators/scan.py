@@ -62,12 +62,11 @@ def scan(df: DataFrame, order: str, running: dict[str, Running], keys: tuple[str
     cuts = bounds(df, order, ranges)
     marked = df.withColumn("_range", range_of(df, order, cuts))
     totals = marked.groupBy(*keys, "_range").agg(*[r.of(F.col(r.column)).alias(f"_t_{n}") for n, r in running.items()])
-    along = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_range")  # a row a range
-    outside = lambda r: along.rowsBetween(1, Window.unboundedFollowing) if r.after else along.rowsBetween(Window.unboundedPreceding, -1)
-    others = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[r.of(F.col(f"_t_{n}")).over(outside(r)).alias(f"_o_{n}") for n, r in running.items()])
+    # frames that end at the last row are made by the reversed order: Spark builds them in quadratic time
+    along = lambda r: Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.desc("_range") if r.after else "_range").rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  a row a range
+    others = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[r.of(F.col(f"_t_{n}")).over(along(r)).alias(f"_o_{n}") for n, r in running.items()])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_r"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(order)
-    within = lambda r: inside.rangeBetween(Window.currentRow, Window.unboundedFollowing) if r.after else inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    within = lambda r: Window.partitionBy(*keys, "_range").orderBy(F.desc(order) if r.after else order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     local = marked.select("*", *[r.of(F.col(r.column)).over(within(r)).alias(f"_l_{n}") for n, r in running.items()])
     joined = local.join(F.broadcast(others) if not keys else others, same)  # without keys MAX_RANGES + 1 rows
     return joined.select(*df.columns, *[r.both(F.col(f"_l_{n}"), F.col(f"_o_{n}")).alias(n) for n, r in running.items()])

@@ -28,7 +28,7 @@ def property_matrix(properties: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = properties.select("property_id", "vector").orderBy("property_id").limit(MAX_PROPERTIES + 1).collect()
     if len(rows) > MAX_PROPERTIES:
         raise ValueError(f"more than {MAX_PROPERTIES} properties")
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1 if rows else 0)
 
 
 def products(batches: Iterator[pa.RecordBatch], matrix: np.ndarray, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
