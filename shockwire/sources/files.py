@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-from collections.abc import Iterator
-from functools import reduce
-from xml.etree import ElementTree
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Tried in order on a file's bytes.
-ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr")
+from shockwire.sources.tables import read_tables
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,79 +25,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED")
 
 
-def decode(data: bytes) -> str | None:
-    for encoding in ENCODINGS:
-        try:
-            return data.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return None
-
-
 def read_csv_any(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Every CSV under path, in whichever encoding it has, one file at a time a task; missing columns are null and
-    files that no encoding fits give no rows. The file's name is in `file`."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                text = decode(bytes(data))
-                if text is not None and text.strip():
-                    yield _plain(pd.read_csv(io.StringIO(text), dtype=str).reindex(columns=columns).assign(file=name.rsplit("/", 1)[-1]))
-
-    return _binary(spark, path, "*.csv").mapInPandas(run, ", ".join(f"`{c}` string" for c in [*columns, "file"]))
+    """The columns of every CSV under path, in whichever encoding it has; see `tables`."""
+    return read_tables(spark, path, columns, "*.csv")
 
 
 def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """S3: the first sheet of every workbook under path, columns by header; missing ones are null, unreadable files give no
-    rows. The file's name is in `file`."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows = list(sheet_rows(bytes(data)))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
-                if rows:
-                    width = len(rows[0])
-                    body = [(r + [None] * width)[:width] for r in rows[1:]]
-                    yield _plain(pd.DataFrame(body, columns=rows[0], dtype=object).reindex(columns=columns).assign(file=name.rsplit("/", 1)[-1]))
-
-    return _binary(spark, path, "*.xlsx").mapInPandas(run, ", ".join(f"`{c}` string" for c in [*columns, "file"]))
-
-
-def _plain(frame: pd.DataFrame) -> pd.DataFrame:
-    """Columns as Python objects, missing values as None."""
-    frame = frame.astype(object)
-    return frame.where(frame.notna(), None)
-
-
-def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-
-def sheet_rows(data: bytes) -> Iterator[list[str | None]]:
-    """The rows of a workbook's first sheet as text."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{ns}row"):
-            cells: list[str | None] = []
-            for cell in row.iter(f"{ns}c"):
-                at = reduce(lambda n, c: n * 26 + ord(c) - 64, re.match(r"[A-Z]*", cell.get("r", ""))[0], 0) or len(cells) + 1
-                cells += [None] * (at - 1 - len(cells))
-                value = cell.find(f"{ns}v")
-                if cell.get("t") == "s" and value is not None:
-                    cells.append(shared[int(value.text)])
-                elif cell.get("t") == "inlineStr":
-                    cells.append("".join(t.text or "" for t in cell.iter(f"{ns}t")))
-                else:
-                    cells.append(None if value is None else value.text)
-            yield cells
+    """S3: the columns of the first sheet of every workbook under path; see `tables`."""
+    return read_tables(spark, path, columns, "*.xlsx")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -142,10 +71,26 @@ def manual_indicator(spark: SparkSession, path: str) -> DataFrame:
     return df.select("year_month", F.col("value").cast("double").alias("value"))
 
 
-def read_through(spark: SparkSession, cache: str, fetch, refresh: bool = False) -> DataFrame:
-    """The Parquet table at `cache`; where it is missing, or on refresh, what fetch() gives is written there first."""
+class MissingKey(ValueError):
+    """A service's key is not configured."""
+
+
+def read_through(spark: SparkSession, cache: str, fetch: Callable[[], DataFrame], refresh: bool = False, schema: StructType | str | None = None) -> DataFrame:
+    """The Parquet table at `cache`; where it is missing, or on refresh, what fetch() gives is written there first, unless that
+    is empty. Where fetch() raises MissingKey, an older table stands in; without one there are no rows of `schema`, or the
+    error where none is given."""
     if refresh or not exists(spark, cache):
-        fetch().write.mode("overwrite").parquet(cache)
+        try:
+            found = fetch()
+        except MissingKey:
+            if exists(spark, cache):
+                return spark.read.parquet(cache)
+            if schema is None:
+                raise
+            return spark.createDataFrame([], schema)
+        if found.isEmpty():
+            return found
+        found.write.mode("overwrite").parquet(cache)
     return spark.read.parquet(cache)
 
 
