@@ -140,6 +140,15 @@ def best_windows(tests: DataFrame) -> DataFrame:
     return tests.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumnRenamed("window_days", "optimal_window")
 
 
+def basket_counts(baskets: DataFrame, sets: DataFrame) -> DataFrame:
+    """items, n: how many of baskets (items) hold all items of each of sets (items), where any does. Each item's baskets are bitmaps
+    of 32,768 rows; a set's count is that of the bits which its items' bitmaps share, so no basket meets a set."""
+    rows = baskets.select("items", (F.monotonically_increasing_id() + 1).alias("row")).select("row", F.explode(F.array_distinct("items")).alias("item"))
+    bitmaps = rows.groupBy("item", F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits"))
+    shared = sets.select("items", F.explode("items").alias("item")).join(bitmaps, "item").groupBy("items", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("held"))
+    return shared.where(F.col("held") == F.size("items")).groupBy("items").agg(F.sum(F.bitmap_count("bits")).alias("n")).where("n > 0")
+
+
 def association_rules(baskets: DataFrame, controls: DataFrame, support: float = DEFAULT.min_support, confidence: float = DEFAULT.min_confidence, lift: float = DEFAULT.min_lift) -> DataFrame:
     """Rules of any consequent size from frequent itemsets of baskets (items array), with the itemset's support among
     control baskets. Itemsets are sorted arrays; all their splits are made in place."""
@@ -154,9 +163,9 @@ def association_rules(baskets: DataFrame, controls: DataFrame, support: float =
     rules = rules.join(known("antecedents"), "antecedents").join(known("consequents"), "consequents")
     rules = rules.withColumn("confidence", F.col("support") / F.col("antecedents_support")).withColumn("lift", F.col("confidence") / F.col("consequents_support"))
     rules = rules.where((F.col("confidence") >= confidence) & (F.col("lift") >= lift))
-    among = controls.select(F.col("items").alias("basket")).join(rules.select("items").distinct(), F.size(F.array_except("items", "basket")) == 0).groupBy("items").count()
+    among = basket_counts(controls, rules.select("items").distinct())
     total = controls.count() or 1
-    return rules.join(among, "items", "left").select("antecedents", "consequents", "support", "confidence", "lift", (F.coalesce("count", F.lit(0)) / F.lit(total)).alias("ctrl_support"))
+    return rules.join(among, "items", "left").select("antecedents", "consequents", "support", "confidence", "lift", (F.coalesce("n", F.lit(0)) / F.lit(total)).alias("ctrl_support"))
 
 
 def _by_score(scored: DataFrame, ranges: int | None) -> DataFrame:
