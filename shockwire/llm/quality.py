@@ -5,8 +5,8 @@ words and word pairs as they stand, and one to three neighbouring word shapes (l
 other characters kept; a word equal to the one before is marked). A score is the logistic function of the sparse dot
 product of shares and weights plus a bias.
 
-Training reads a bounded, seeded sample: the labelled rows in order of a hash of doc_id, MAX_ROWS at most and as long as
-their whole texts together stay within MAX_CHARS. One task reads them in that order, keeps their features (about 60 bytes
+Training reads a bounded, seeded sample: the labelled rows in order of a hash of doc_id, MAX_ROWS at most, without
+those whose whole text does not fit into what is left of MAX_CHARS. One task reads them in that order, keeps their features (about 60 bytes
 a word, so some 400 MB at most) and goes over them EPOCHS times with FTRL-proximal updates (per-coordinate rates, L1 and L2).
 The sample does not grow with the corpus; the weights are 2**BITS floats, which bounds what is broadcast. Scoring is one
 narrow pass over whole texts.
@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             chars = 0
             for batch in batches:
                 for text, y in zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True):
-                    chars += len(text)
-                    if chars <= max_chars:
+                    if chars + len(text) <= max_chars:  # a text too long for what is left is passed over, those after it are not
+                        chars += len(text)
                         yield text, y
 
         w, bias = train(within())

@@ -201,6 +201,16 @@ def test_shapes_of_whole_words():
     assert quality.shape("a" * 70 + "%%%%" + "b" * 70) == "a%%%%a" and quality.shape("x" * 70 + "123456789" + "Y" * 70) == "a0A"
 
 
+def test_a_long_text_leaves_the_others_in(spark):
+    """A labelled text beyond the bound, wherever the hash places it, changes nothing but its own absence."""
+    rows = [(i, ("good words " if i % 2 else "bad ones 12 ") * 20) for i in range(0, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    docs = lambda extra: spark.createDataFrame(rows + extra, "doc_id long, text string")
+    want = quality.fit(docs([]), labels, max_chars=50_000)
+    got = quality.fit(docs([(i, "long text " * 6_000) for i in range(60, 90)]), labels, max_chars=50_000)
+    assert want[0].any() and np.array_equal(want[0], got[0]) and want[1] == got[1]
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (3, 0), (6, 1), (9, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
