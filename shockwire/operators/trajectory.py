@@ -182,12 +182,13 @@ def best_normalisation(scores: DataFrame, sizes: range = range(5, 21)) -> DataFr
 
 
 def separation(event_matches: DataFrame, control_matches: DataFrame) -> DataFrame:
-    """Best similarities of events and of controls, and how many events beat the controls' 95th percentile."""
+    """By kind (event, control) the best similarities' number, mean, deviation (of all), largest and 95th percentile, and
+    how many reach the controls' 95th percentile."""
     limits = confidence_limits(control_matches)
     best = lambda df, kind: df.where("rank = 1").select(F.lit(kind).alias("kind"), "similarity")
     both = best(event_matches, "event").unionByName(best(control_matches, "control")).crossJoin(limits)  # limits: one row
     above = F.avg(F.when(F.col("similarity") >= F.col("threshold"), 1.0).otherwise(0.0))
-    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean_similarity"), above.alias("share_above"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean_similarity"), F.stddev_pop("similarity").alias("std_similarity"), F.max("similarity").alias("max_similarity"), F.percentile("similarity", F.lit(0.95)).alias("p95_similarity"), above.alias("share_above"))
 
 
 def time_split(labelled_dates: DataFrame, cutoff: str, min_cluster_size: int, alpha: float = 0.7) -> tuple[DataFrame, DataFrame]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shockwire.config import DEFAULT
 from shockwire.operators.scan import Running, scan
+from shockwire.operators.stats import auc, best_f1, roc
 
 
 def time_split(scored: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
@@ -74,3 +77,35 @@ def percentile_rank(scored: DataFrame, score: float) -> DataFrame:
     under = F.when(F.col("score") <= score, 100.0).otherwise(0.0)
     side = lambda k: F.avg(F.when(F.col("label") == k, under))
     return scored.agg(F.round(F.avg(under), 2).alias("overall"), F.round(side(1), 2).alias("event"), F.round(side(0), 2).alias("control"))
+
+
+def validation_report(scored: DataFrame, events: DataFrame, cutoff: str) -> DataFrame:
+    """K9: the rows of the validation report: section, model (A: alert level, B: score, and, or), measure, value.
+
+    scored: date, label, level, score of reference dates; events: date. Model A warns from the level, model B from the score that
+    is best by F1 on the dates up to the cutoff; both are then held against the later ones. Lead times are those of the
+    later warnings."""
+    train, test = time_split(scored, cutoff)
+    levels = alert_levels(train)
+    chosen = levels.where("rank = 1").select("k").join(F.broadcast(best_f1(roc(train)).select("threshold")))  # one row
+    part = F.when(F.col("date") <= F.lit(cutoff).cast("date"), "train").otherwise("test")
+    a, b = F.col("level") >= F.col("k"), F.col("score") >= F.col("threshold")
+    rules = F.array(*[F.struct(F.lit(m).alias("model"), c.cast("int").alias("predicted")) for m, c in (("A", a), ("B", b), ("and", a & b), ("or", a | b))])
+    marked = scored.where("date is not null").join(F.broadcast(chosen)).select("date", "label", part.alias("section"), F.explode(rules).alias("r")).select("date", "label", "section", "r.*")
+
+    def long(df: DataFrame, *measures: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        return df.select("section", "model", F.explode(each).alias("x")).select("section", "model", "x.*")
+
+    def leads(model: str) -> DataFrame:
+        warned = marked.where((F.col("model") == model) & (F.col("section") == "test") & (F.col("predicted") == 1)).select("date")
+        return long(lead_summary(lead_times(warned, events)).select("*", F.lit("lead time").alias("section"), F.lit(model).alias("model")), "mean_lead", "median_lead", "min_lead", "max_lead", "n_warnings", "n_with_future")
+
+    sizes = marked.where("model = 'A'").groupBy("section").agg(F.count(F.lit(1)).alias("rows")).withColumn("model", F.lit("all"))
+    areas = [auc(rows).select(F.lit(name).alias("section"), F.lit("B").alias("model"), "auc") for name, rows in (("train", train), ("test", test))]
+    parts = [
+        long(sizes, "rows"), long(levels.select(F.lit("alert level").alias("section"), F.col("k").cast("string").alias("model"), "*"), "precision", "recall", "f1", "fpr"),
+        long(chosen.select(F.lit("chosen").alias("section"), F.lit("A").alias("model"), F.col("k").alias("alert_level")), "alert_level"), long(chosen.select(F.lit("chosen").alias("section"), F.lit("B").alias("model"), "threshold"), "threshold"),
+        long(confusion(marked, "section", "model"), "precision", "recall", "f1", "fpr", "tp", "fp", "fn", "tn"), *[long(x, "auc") for x in areas], leads("A"), leads("B"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shockwire.operators import charts, social, stats, trajectory
+from shockwire.operators import charts, scoring, social, stats, trajectory, validation, windows
 from shockwire.plans import catalog_events as base
 from shockwire.plans import catalog_model as model
 from shockwire.plans import catalog_series as series
 from shockwire.plans import standins as s
 from shockwire.plans.catalog_events import rounded
 from shockwire.registry import query
+from shockwire.sources.shared import cut
 
 
 @query("M24_heatmap", f"WITH {base.MWU}, p AS (SELECT property_id, window_days, round(1 / (1 + exp(1.702::DOUBLE * (u - n1 * n2 / 2 - 0.5) / sigma)), 6) AS p FROM mu), l AS (SELECT property_id, window_days, -log10(greatest(p, 1e-300)) AS s FROM p) SELECT property_id, round(min(s) FILTER (window_days = 7), 6) AS w7, round(min(s) FILTER (window_days = 14), 6) AS w14, round(min(s) FILTER (window_days = 30), 6) AS w30 FROM l GROUP BY 1")
@@ -36,9 +37,9 @@ def _(spark, d):
     return series.six(charts.timeline(s.daily_scores(spark, d), 60))
 
 
-@query("M20_separation", f"WITH {model.MATCH}, b AS (SELECT id, max(similarity) AS s FROM mt GROUP BY 1), k AS (SELECT CASE WHEN id % 2 = 0 THEN 'event' ELSE 'control' END AS kind, s FROM b), t AS (SELECT round(quantile_cont(s, 0.95) + 1e-9::DOUBLE, 4) AS t FROM k WHERE kind = 'control') SELECT kind, count(*) AS n, round(avg(s), 6) AS mean_similarity, round(avg(CASE WHEN s >= t THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_above FROM k, t GROUP BY 1")
+@query("M20_separation", f"WITH {model.MATCH}, b AS (SELECT id, max(similarity) AS s FROM mt GROUP BY 1), k AS (SELECT CASE WHEN id % 2 = 0 THEN 'event' ELSE 'control' END AS kind, s FROM b), t AS (SELECT round(quantile_cont(s, 0.95) + 1e-9::DOUBLE, 4) AS t FROM k WHERE kind = 'control') SELECT kind, count(*) AS n, round(avg(s), 6) AS mean_similarity, round(stddev_pop(s), 6) AS std_similarity, round(max(s), 6) AS max_similarity, round(quantile_cont(s, 0.95), 6) AS p95_similarity, round(avg(CASE WHEN s >= t THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_above FROM k, t GROUP BY 1")
 def _(spark, d):
-    found = trajectory.match(model.paths(spark, d), trajectory.type_table(model.labelled(spark, d))).withColumn("similarity", F.round("similarity", 8))
+    found = model.matched(spark, d).withColumn("similarity", F.round("similarity", 8))
     return series.six(trajectory.separation(found.where("id % 2 = 0"), found.where("id % 2 = 1")))
 
 
@@ -51,3 +52,29 @@ def _(spark, d):
 @query("M22_best_normalisation")
 def _(spark, d):
     return rounded(trajectory.best_normalisation(model.offsets(spark, d), range(4, 7)))
+
+
+STATUS = f"""{base.SCORE}, dt AS (SELECT r.ref_date AS date, p.property_id, round(freq / ctrl_freq_mean, 6) AS ratio, round(weight * greatest(freq / ctrl_freq_mean - 1, 0), 6) AS contribution FROM pf p JOIN refs r USING (ref_id) JOIN params USING (property_id)),
+sc AS (SELECT ref_date AS date, risk_score FROM risk), la AS (SELECT max(date) AS date FROM sc), dl AS (SELECT * FROM dt WHERE date = (SELECT date FROM la)),
+rk AS (SELECT *, row_number() OVER (ORDER BY contribution DESC, property_id) AS n FROM dl)"""
+
+
+@query("M24_status_panel", f"WITH {STATUS} SELECT sc.date, risk_score, CASE WHEN risk_score >= 18.52 THEN 'WARNING' ELSE 'NORMAL' END AS status, (SELECT count(*) FROM sc x WHERE x.date > coalesce((SELECT max(date) FROM sc WHERE risk_score < 18.52), DATE '1900-01-01')) AS streak_days, (SELECT max(risk_score) FROM sc) AS peak_score, (SELECT min(date) FROM sc WHERE risk_score = (SELECT max(risk_score) FROM sc)) AS peak_date, (SELECT count(*) FROM dl WHERE ratio > 1.0) AS n_active, (SELECT count(*) FROM dl WHERE ratio > 1.5) AS n_extreme, (SELECT string_agg(property_id, ',' ORDER BY n) FROM rk WHERE n <= 6) AS top FROM sc JOIN la USING (date)")
+def _(spark, d):
+    references, daily, params = cut(base.refs(spark, d)), cut(base.daily(spark, d)), cut(base.params(spark, d))
+    scored = scoring.score_references(daily, references, params, max(s.WINDOWS)).select(F.col("ref_date").alias("date"), "risk_score")
+    found = scoring.contributions(windows.property_windows(daily, references, params, max(s.WINDOWS)), params).join(references.select("ref_id", F.col("ref_date").alias("date")), "ref_id")
+    details = found.select("date", "property_id", F.round("ratio", 6).alias("ratio"), F.round("contribution", 6).alias("contribution"))
+    return charts.status_panel(cut(scored), details, 18.52).withColumn("top", F.concat_ws(",", "top.property_id"))
+
+
+@query("M24_peak_pattern", f"WITH {s.SCORES}, f AS (SELECT min(date) AS first_ FROM scores WHERE risk_score >= 90), y AS (SELECT scores.* FROM scores, f WHERE date >= first_ - 7), p AS (SELECT date AS peak FROM y ORDER BY risk_score DESC, date LIMIT 1) SELECT date, risk_score, risk_score >= 90 AS is_warning, date = peak AS is_peak, CASE WHEN date < first_ THEN 'normal' WHEN date <= peak THEN 'rise' ELSE 'fall' END AS phase FROM y, p, f")
+def _(spark, d):
+    return charts.peak_pattern(s.daily_scores(spark, d), 90)
+
+
+@query("K9_validation_report")
+def _(spark, d):
+    """Scored labels stand in for reference dates, their score's tens for levels."""
+    scored = s.scored_labels(spark, d).select("date", "label", F.floor(F.col("score") / 8).cast("int").alias("level"), "score")
+    return validation.validation_report(cut(scored), base.event_table(spark, d).select(F.col("first_shock_date").alias("date")), "2019-12-31")

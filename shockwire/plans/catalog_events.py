@@ -126,10 +126,10 @@ def _(spark, d):
     return windows.match_articles(s.tagged(spark, d).select("article_id", "date"), refs(spark, d), 7).select("ref_id", "article_id", "date")
 
 
-@query("S7_combined_daily", f"WITH {s.DAILY}, m AS (SELECT * FROM daily WHERE date < DATE '1995-01-01' AND date >= DATE '1993-01-01'), x AS (SELECT * FROM daily WHERE date >= DATE '1994-06-01' AND date < DATE '1996-01-01') SELECT * FROM m UNION ALL SELECT * FROM x WHERE date NOT IN (SELECT date FROM m)")
+@query("S7_combined_daily", f"WITH {s.DAILY}, m AS (SELECT * FROM daily WHERE date < DATE '1995-01-01'), x AS (SELECT * FROM daily WHERE date >= DATE '1994-06-01') SELECT * FROM m UNION ALL SELECT * FROM x WHERE date NOT IN (SELECT date FROM m)")
 def _(spark, d):
     every = daily(spark, d)
-    return windows.combined_daily(every.where("date < '1995-01-01' and date >= '1993-01-01'"), every.where("date >= '1994-06-01' and date < '1996-01-01'"))
+    return windows.combined_daily(every.where("date < '1995-01-01'"), every.where("date >= '1994-06-01'"))
 
 
 @query("U2_dates", "SELECT DISTINCT o_orderdate::DATE AS date FROM orders UNION SELECT l_shipdate::DATE FROM lineitem")
@@ -246,19 +246,23 @@ def params(spark: SparkSession, d: str) -> DataFrame:
     return table.select("property_id", F.col("window_days").alias("optimal_window"), "ctrl_freq_mean", (1.0 / (1 + F.ascii(F.substring("property_id", 2, 1)) % 5)).alias("weight"))
 
 
-B11 = f"""{PARAMS}, pb AS (SELECT p.date AS ref_date, property_id, optimal_window AS w, ctrl_freq_mean, weight, sum(cnt) AS freq FROM prices p, daily JOIN params USING (property_id) WHERE daily.date BETWEEN p.date - optimal_window AND p.date - 1 GROUP BY ALL),
+B11_DAYS = """pb AS (SELECT p.date AS ref_date, property_id, optimal_window AS w, ctrl_freq_mean, weight, sum(cnt) AS freq FROM prices p, daily JOIN params USING (property_id) WHERE daily.date BETWEEN p.date - optimal_window AND p.date - 1 GROUP BY ALL),
 held AS (SELECT p.date AS ref_date, w, count(*) AS actual FROM prices p, per_day, (SELECT DISTINCT optimal_window AS w FROM params) WHERE per_day.date BETWEEN p.date - w AND p.date - 1 GROUP BY ALL),
 corrected AS (SELECT *, CASE WHEN actual < w AND actual / w::DOUBLE < 0.8 THEN trunc(freq * w::DOUBLE / actual) ELSE freq END AS f FROM pb JOIN held USING (ref_date, w)),
 rawd AS (SELECT ref_date, sum(weight * greatest(f / ctrl_freq_mean - 1, 0)) AS raw FROM corrected GROUP BY 1)"""
 
 
-B11 = f"""{SCORE}, {B11.split(PARAMS + ", ", 1)[1]}, most AS (SELECT max(raw_score) FILTER (label = 1) AS m FROM risk)
+B11 = f"""{SCORE}, {B11_DAYS}, most AS (SELECT max(raw_score) FILTER (label = 1) AS m FROM risk)
 SELECT date, round(coalesce(raw, 0), 4) AS raw_score, coalesce(round(least(100, coalesce(raw, 0) * 100 / CASE WHEN m > 0 THEN m END), 2), 0) AS risk_score FROM prices LEFT JOIN rawd ON ref_date = date, most"""
 
 
+def top_score(spark: SparkSession, d: str, model: DataFrame) -> DataFrame:
+    return scoring.empirical_max(scoring.score_references(daily(spark, d), refs(spark, d), model, max(s.WINDOWS)))
+
+
 def b11_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     counts, model = cut(daily(spark, d)), cut(params(spark, d))  # each is used several times
-    top = cut(scoring.empirical_max(scoring.score_references(counts, refs(spark, d), model, max(s.WINDOWS))))
+    top = cut(top_score(spark, d, model))
     return counts, windows.daily_articles(s.tagged(spark, d)), s.prices(spark, d).select("date"), model, top
 
 

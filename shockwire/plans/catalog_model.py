@@ -10,6 +10,7 @@ from shockwire.plans import catalog_events as base
 from shockwire.plans import standins as s
 from shockwire.plans.catalog_events import rounded
 from shockwire.registry import query
+from shockwire.sources.shared import cut
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -222,9 +223,13 @@ def _(spark, d):
     return paths(spark, d, "minmax").select("id", F.round(F.col("path")[0], 8).alias("d30"), F.round(F.col("path")[4], 8).alias("d0"))
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
+def with_labels(every: DataFrame) -> DataFrame:
     """Labels as an input: by the number of the event, one of four noise."""
-    return paths(spark, d).withColumn("label", (F.col("id") % 4 - 1).cast("int"))
+    return every.withColumn("label", (F.col("id") % 4 - 1).cast("int"))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return with_labels(paths(spark, d))
 
 
 TYPES = PATH + """, lab AS (SELECT id, path, (id % 4 - 1)::INT AS label FROM pt), tp_ AS (SELECT label, i, avg(path[i]) AS m, stddev_pop(path[i]) AS s FROM lab, range(1, 6) AS r(i) GROUP BY 1, 2),
@@ -241,26 +246,32 @@ SIM = "CASE WHEN list_max(list_transform({a}, lambda x: abs(x))) <= 1e-8 OR list
 MATCH = TYPES + f", ph AS (SELECT * FROM (VALUES ('D-21', 2), ('D-14', 3), ('D-7', 4), ('D-0', 5)) AS v(phase, points)), pre AS (SELECT id, type_id, phase, points, path[1:points] AS a, centroid[1:points] AS b FROM pt CROSS JOIN ty CROSS JOIN ph WHERE label >= 0), mt AS (SELECT id, type_id, phase, points, round({SIM.format(a='a', b='b')}, 4) AS similarity FROM pre), mr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, type_id, points DESC) AS rank FROM mt), mn AS (SELECT *, lead(type_id) OVER w AS next_type_id, lead(phase) OVER w AS next_phase, lead(similarity) OVER w AS next_similarity FROM mr WINDOW w AS (PARTITION BY id ORDER BY rank))"
 
 
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    """Every path with every type: paths are made once, for the types and for what is matched with them."""
+    every = cut(paths(spark, d))
+    return trajectory.match(every, trajectory.type_table(with_labels(every)))
+
+
 @query("J13_M16_M17_match", f"WITH {MATCH} SELECT id, type_id, phase, similarity FROM mt")
 def _(spark, d):
-    found = trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d)))
+    found = matched(spark, d)
     return found.select("id", "type_id", "phase", "similarity")
 
 
 @query("A13_M18_limits", f"WITH {MATCH}, b AS (SELECT id, max(similarity) AS s FROM mt GROUP BY 1) SELECT round(quantile_cont(s, 0.95) + 1e-9::DOUBLE, 4) AS threshold, round(stddev_pop(s) * 0.5 + 1e-9::DOUBLE, 4) AS margin FROM b")
 def _(spark, d):
-    found = trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d)))
+    found = matched(spark, d)
     return trajectory.confidence_limits(found)
 
 
 @query("T4_top_matches", f"WITH {MATCH} SELECT id, rank::INT AS rank, type_id, phase, similarity, next_type_id, next_phase, next_similarity FROM mn WHERE rank <= 10")
 def _(spark, d):
-    return trajectory.top_matches(trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d))))
+    return trajectory.top_matches(matched(spark, d))
 
 
 @query("M18_confidence", f"WITH {MATCH} SELECT id, type_id, phase, similarity, CASE WHEN similarity < 0.9 THEN 'unclassifiable' WHEN similarity - next_similarity < 0.01 THEN 'uncertain' ELSE 'confident' END AS confidence FROM mn WHERE rank = 1")
 def _(spark, d):
-    found = trajectory.match(paths(spark, d), trajectory.type_table(labelled(spark, d)))
+    found = matched(spark, d)
     return trajectory.confidence(found, spark.createDataFrame([(0.9, 0.01)], "threshold double, margin double"))
 
 

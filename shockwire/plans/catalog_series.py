@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from shockwire.operators import backtest, checks, evaluator, scoring, social, whatif, windows
@@ -354,12 +354,12 @@ def _(spark, d):
     return checks.check_shocks(shock_days(p, s.SHOCK), p)
 
 
-@query("Q10_Q13_events", f"WITH {s.CONTROLS}, m AS (SELECT (SELECT count(*) FROM events_) AS n, (SELECT max(duration_days) FROM events_) AS l, (SELECT count(*) FROM controls WHERE control_id <= 5) AS c) SELECT 'events' AS stage, CASE WHEN c = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'controls' AS \"check\", 'no or too few controls' AS message, c::DOUBLE AS value FROM m WHERE c = 0 OR c < 3 * n UNION ALL SELECT 'events', CASE WHEN n = 0 THEN 'CRITICAL' ELSE 'WARNING' END, 'count', 'no or few events', n::DOUBLE FROM m WHERE n < 3 UNION ALL SELECT 'events', 'WARNING', 'duration', 'an event of more than a year', l::DOUBLE FROM m WHERE l > 365")
+@query("Q10_Q13_events", f"WITH {s.CONTROLS}, m AS (SELECT (SELECT count(*) FROM events_) AS n, (SELECT max(duration_days) FROM events_) AS l, (SELECT count(*) FROM controls) AS c) SELECT 'events' AS stage, CASE WHEN c = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'controls' AS \"check\", 'no or too few controls' AS message, c::DOUBLE AS value FROM m WHERE c = 0 OR c < 3 * n UNION ALL SELECT 'events', CASE WHEN n = 0 THEN 'CRITICAL' ELSE 'WARNING' END, 'count', 'no or few events', n::DOUBLE FROM m WHERE n < 3 UNION ALL SELECT 'events', 'WARNING', 'duration', 'an event of more than a year', l::DOUBLE FROM m WHERE l > 365")
 def _(spark, d):
     from shockwire.operators.events import control_dates
 
     e = base.event_table(spark, d)
-    return checks.check_events(e, control_dates(s.prices(spark, d), e, s.EXCLUSION).where("control_id <= 5"))
+    return checks.check_events(e, control_dates(s.prices(spark, d), e, s.EXCLUSION))
 
 
 @query("Q14_Q15_status_board", "WITH d AS (SELECT unnest(range(DATE '1998-01-01', DATE '1998-12-31' + 1, INTERVAL 1 DAY))::DATE AS date), r AS (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem), t AS (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber = 1), o AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_orderstatus = 'P') SELECT date, CASE WHEN date IN (SELECT date FROM o) THEN 'done' WHEN date IN (SELECT date FROM t) THEN 'needs_score' WHEN date IN (SELECT date FROM r) THEN 'needs_tag' ELSE 'missing' END AS status FROM d")
@@ -383,14 +383,22 @@ def _(spark, d):
     return footers.tail_dates(spark, f"{d}/lineitem.parquet", "l_shipdate")
 
 
-@query("S20_months", "SELECT strftime(m, '%Y-%m') AS year_month, greatest(m::DATE, DATE '2024-01-15') AS first_day, least(last_day(m), DATE '2024-07-10') AS last_day FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-07-11', INTERVAL 1 MONTH)) AS m)")
+def span_of(spark: SparkSession, d: str) -> Row:
+    return footers.date_range(spark, f"{d}/orders.parquet", "o_orderdate").first()
+
+
+@query("S20_months", "WITH b AS (SELECT min(o_orderdate::DATE) AS lo, max(o_orderdate::DATE) AS hi FROM orders) SELECT strftime(m, '%Y-%m') AS year_month, greatest(m::DATE, lo) AS first_day, least(last_day(m), hi) AS last_day FROM (SELECT unnest(range(date_trunc('month', lo)::DATE, hi + 1, INTERVAL 1 MONTH)) AS m, lo, hi FROM b)")
 def _(spark, d):
-    return files.months(spark, "2024-01-15", "2024-07-10")
+    """The months that the orders span."""
+    span = span_of(spark, d)
+    return files.months(spark, span["first_date"], span["last_date"])
 
 
-@query("S21_days", "SELECT unnest(range(DATE '2024-01-15', DATE '2024-03-02', INTERVAL 1 DAY))::DATE AS date")
+@query("S21_days", "SELECT unnest(range(lo, hi + 1, INTERVAL 1 DAY))::DATE AS date FROM (SELECT min(o_orderdate::DATE) AS lo, max(o_orderdate::DATE) AS hi FROM orders)")
 def _(spark, d):
-    return files.days(spark, "2024-01-15", "2024-03-01")
+    """The days that the orders span."""
+    span = span_of(spark, d)
+    return files.days(spark, span["first_date"], span["last_date"])
 
 
 @query("S6_date_scan", f"WITH {s.TAGGED} SELECT article_id, date FROM tagged WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-01-31'")

@@ -54,3 +54,20 @@ def markdown(title: str, df: DataFrame, most: int = 200) -> str:
     rows = df.limit(most).collect()
     head = f"# {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
     return head + "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in rows)
+
+
+def report(title: str, rows: DataFrame, order: tuple[str, ...] = ()) -> str:
+    """K9: rows (section, model, measure, value) as Markdown: a table a section, measures down and models across. Sections
+    stand in the given order, others by name after them; numbers have four digits, counts none."""
+    found = rows.select("section", "model", "measure", "value").collect()  # what a report prints
+    held: dict[str, dict[tuple[str, str], float | None]] = {}
+    for r in found:
+        held.setdefault(r["section"], {})[r["measure"], r["model"]] = r["value"]
+    text = [f"# {title}"]
+    for section in [*[o for o in order if o in held], *sorted(set(held) - set(order))]:
+        cells = held[section]
+        models, measures = sorted({m for _, m in cells}), list(dict.fromkeys(m for m, _ in cells))
+        show = lambda v: "-" if v is None else f"{v:.0f}" if float(v).is_integer() else f"{v:.4f}"
+        text += ["", f"## {section}", "", f"| measure | {' | '.join(models)} |", "|---" * (len(models) + 1) + "|"]
+        text += [f"| {k} | {' | '.join(show(cells.get((k, m))) for m in models)} |" for k in measures]
+    return "\n".join(text) + "\n"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Days of one job at most.
-BATCH = 366
+BATCH = 3660
 REPORT = "date date, tagging string, scoring string, risk_score double, status string, error string"
 
 
