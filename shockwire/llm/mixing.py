@@ -10,7 +10,10 @@
    blocks, and the same rule gives each shard of it an integer quota.
 4. A shard's documents stand in a seeded order; the quota takes whole rounds of its blocks, then a run of blocks from a
    seeded start, round the end. A document's taken words are the overlap with what was taken, so a source's taken words
-   are its quota's blocks, whatever the lengths of its texts: within two blocks of its target, but for the short block.
+   are its quota's blocks, whatever the lengths of its texts.
+5. What a source's blocks leave short of its quota in words (by the same rule over all words), because its last block is short or it
+   has less than a block, is taken in words: from the first shards with room, and there from the first documents with room.
+   So no source is short by a word or more, and none is over by more than two blocks.
 
 Defined results: a null text has size 0 and is never taken; an empty table gives no rows; rows that repeat a doc_id are
 rows of their own (ordered by size where all else ties); a null source is a source of its own; a null doc_id is hashed
@@ -87,10 +90,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, repeats: int = 3, seed:
     per = targets(sizes, repeats=repeats)
     b = F.lit(block_words)
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    sources = cut(
-        apportion(per.withColumns({"all": F.lit(0), "seats": F.floor(total / F.lit(float(block_words)) + 0.5).cast("long")}), ["all"], "ordinal", "target", "seats")
-        .select(F.col("source").alias("_source"), "ordinal", "quota", F.ceil(F.sqrt(F.col("n_rows").cast("double"))).cast("long").alias("n_shards"))
-    )
+    seats = apportion(per.withColumns({"all": F.lit(0), "seats": F.floor(total / F.lit(float(block_words)) + 0.5).cast("long")}), ["all"], "ordinal", "target", "seats")
+    # a source without words has no quota, but its place and target
+    every = per.select(F.col("source").alias("_source"), "ordinal", F.ceil(F.sqrt(F.col("n_rows").cast("double"))).cast("long").alias("n_shards"))
+    sources = cut(every.join(seats.select("ordinal", "quota"), "ordinal", "left"))
     known = per.select(F.col("source").alias("_source"), "ordinal", "source_size", "target")
     sharded = (
         sizes.join(sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
@@ -126,8 +129,31 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, repeats: int = 3, seed:
     first, last = F.col("first"), F.col("first") + F.col("blocks")
     own = F.col("rounds") * over(first, last) + over(first + F.col("from"), F.least(first + F.col("to"), last)) + over(first, first + F.col("to") - F.col("blocks"))
     before = F.col("carried") * F.greatest(F.least(F.col("end"), first * b) - F.col("begin"), F.lit(0))
-    taken = joined.select("doc_id", "source", "size", "ordinal", (F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))).cast("long").alias("taken"))
-    return taken.join(known.withColumnRenamed("ordinal", "_o"), F.col("ordinal") == F.col("_o"), "left").select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = joined.select("doc_id", "source", "size", "ordinal", "shard", "id_text", (F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))).cast("long").alias("taken"))
+    full = top_up(cut(taken), word_quotas(per), repeats, seed)
+    return full.join(known.withColumnRenamed("ordinal", "_o"), F.col("ordinal") == F.col("_o"), "left").select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def word_quotas(per: DataFrame) -> DataFrame:
+    """ordinal and words: the integer words of each source, which add up to all words."""
+    total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))  # a row a source
+    return apportion(per.withColumns({"all": F.lit(0), "seats": total}), ["all"], "ordinal", "target", "seats").select(F.col("ordinal").alias("_o"), F.col("quota").alias("words"))
+
+
+def top_up(taken: DataFrame, words: DataFrame, repeats: int, seed: str) -> DataFrame:
+    """taken (ordinal, shard, id_text, size, taken) with what its sources lack added in words, by shard and in its seeded order."""
+    room = repeats * F.col("size") - F.col("taken")
+    line = Window.partitionBy("ordinal").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)  # the shards of a source
+    shards = taken.groupBy("ordinal", "shard").agg(F.sum("taken").alias("shard_taken"), F.sum(room).alias("room"))
+    lacking = shards.withColumn("upto", F.sum("room").over(line)).withColumn("source_taken", F.sum("shard_taken").over(Window.partitionBy("ordinal")))
+    lack = F.col("words") - F.col("source_taken")
+    extra = F.least(F.greatest(lack - (F.col("upto") - F.col("room")), F.lit(0)), F.col("room"))
+    extra = lacking.join(words, F.col("ordinal") == F.col("_o")).withColumn("extra", extra).where("extra > 0").select(F.col("ordinal").alias("_o"), F.col("shard").alias("_s"), "extra")
+    order = Window.partitionBy("ordinal", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("id_text"))), "id_text", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = taken.withColumn("room", room).withColumn("upto", F.sum("room").over(order))
+    more = F.least(F.greatest(F.col("extra") - (F.col("upto") - F.col("room")), F.lit(0)), F.col("room"))
+    joined = placed.join(extra, (F.col("ordinal") == F.col("_o")) & (F.col("shard") == F.col("_s")), "left")
+    return joined.select("doc_id", "source", "size", "ordinal", (F.col("taken") + F.coalesce(more, F.lit(0))).cast("long").alias("taken"))
 
 
 def oracle_sql(block_words: int = BLOCK_WORDS, seed: str = SEED) -> str:
@@ -163,10 +189,16 @@ c2 AS (SELECT *, q // nullif(blocks, 0) AS rounds FROM c1),
 c3 AS (SELECT *, lo + q - rounds * blocks AS hi FROM c2),
 chosen AS (SELECT *, last_value(rounds + CASE WHEN hi >= blocks THEN 1 ELSE 0 END IGNORE NULLS) OVER (PARTITION BY ordinal ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM c3),
 placed AS (SELECT *, sum(size) OVER (PARTITION BY ordinal, shard ORDER BY md5('{seed}|' || id_text), id_text, size ROWS UNBOUNDED PRECEDING)::BIGINT AS e_ FROM sharded),
-joined AS (SELECT p.*, base + e_ - size AS b, base + e_ AS e, first_, first_ + blocks AS last_, blocks, rounds, lo, hi, carried FROM placed p LEFT JOIN chosen USING (ordinal, shard))
-SELECT doc_id, size, source_size, target,
+joined AS (SELECT p.*, base + e_ - size AS b, base + e_ AS e, first_, first_ + blocks AS last_, blocks, rounds, lo, hi, carried FROM placed p LEFT JOIN chosen USING (ordinal, shard)),
+taken AS (SELECT doc_id, size, source_size, target, ordinal, shard, id_text,
   (coalesce(rounds * greatest(e - greatest(b, first_ * {block_words}), 0) + greatest(least(e, least(first_ + hi, last_) * {block_words}) - greatest(b, (first_ + lo) * {block_words}), 0)
      + greatest(least(e, (first_ + hi - blocks) * {block_words}) - greatest(b, first_ * {block_words}), 0), 0)
-   + coalesce(carried * greatest(least(e, first_ * {block_words}) - b, 0), 0))::BIGINT AS taken
-FROM joined
+   + coalesce(carried * greatest(least(e, first_ * {block_words}) - b, 0), 0))::BIGINT AS taken FROM joined),
+by_word AS (SELECT * REPLACE (total_::BIGINT AS seats) FROM (SELECT *, sum(source_size) OVER () AS total_ FROM targets)),
+{quota("word_quota", "by_word", "every", "ordinal", "target")},
+room_a AS (SELECT ordinal, shard, sum(taken) AS taken, sum(3 * size - taken) AS room FROM taken GROUP BY 1, 2),
+room_b AS (SELECT *, sum(room) OVER (PARTITION BY ordinal ORDER BY shard) AS upto, sum(taken) OVER (PARTITION BY ordinal) AS source_taken FROM room_a),
+extra AS (SELECT r.ordinal, r.shard, least(greatest(q.quota - source_taken - (upto - room), 0), room) AS extra FROM room_b r JOIN word_quota q USING (ordinal)),
+docs_room AS (SELECT t.*, 3 * size - taken AS room, sum(3 * size - taken) OVER (PARTITION BY ordinal, shard ORDER BY md5('{seed}|' || id_text), id_text, size ROWS UNBOUNDED PRECEDING) AS upto, x.extra FROM taken t LEFT JOIN extra x USING (ordinal, shard))
+SELECT doc_id, size, source_size, target, (taken + coalesce(least(greatest(extra - (upto - room), 0), room), 0))::BIGINT AS taken FROM docs_room
   """

@@ -252,6 +252,26 @@ def test_mixing_short_texts(spark):
     assert all(abs(by[s] - t) <= 2 * mixing.BLOCK_WORDS for s, t in facts.items()), (by, facts)
 
 
+@pytest.mark.parametrize("sizes", [[3] * 60, [1] * 7, [5, 17, 40, 0, 3, 250, 16, 15], [2, 2, 4000]])
+def test_sources_below_a_block(spark, sizes):
+    """Sources of a few words take all the words that are theirs: no source is short by a word, the whole by none."""
+    rows = [(1000 * k + i, "w " * n, f"s{k:02d}") for k, size in enumerate(sizes) for i, n in enumerate([size // 3, size // 3, size - 2 * (size // 3)])]
+    by, target = Counter(), {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.mix(docs).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        by[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(by[s] - t > -1 and by[s] - t <= 2 * mixing.BLOCK_WORDS for s, t in target.items()), (by, target)
+    assert sum(sizes) <= by.total()
+    if len(sizes) == 60:
+        assert all(abs(by[s] - t) < 1 for s, t in target.items()) and by.total() == 180
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.sql(f"select doc_id, taken from ({mixing.oracle_sql()})").fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_mixing_of_given_tables(spark, sf):
     by = llm_queries.op5_mixing(spark, f"/root/testdata/sf{sf}").groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
