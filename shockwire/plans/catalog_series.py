@@ -70,7 +70,13 @@ def _(spark, d):
     return six(social.best_lag(social.lagged(merged(spark, d), "risk_mean", "returned")).select("lag", "correlation"))
 
 
-@query("X10_cross_correlation")
+#: Student's t of whole degrees of freedom has a finite sum in the angle th.
+STUDENT = f"""{LAG}, th AS (SELECT lag, r, n_obs, n_obs - 2 AS v, atan(abs(r) / sqrt(greatest(1 - r * r, 1e-300))) AS th, count(*) OVER () AS m FROM lg WHERE n_obs >= 5),
+tp AS (SELECT *, greatest(0, 1 - CASE WHEN v % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, v // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(th), 2 * j)))
+  ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1))), 0)) END) AS p FROM th)"""
+
+
+@query("X10_cross_correlation", f"WITH {STUDENT} SELECT lag, round(r, 6) AS correlation, n_obs, round(p, 6) AS p_value, round(least(1.0::DOUBLE, p * m), 6) AS p_adjusted, least(1.0::DOUBLE, p * m) < 0.05 AS significant FROM tp")
 def _(spark, d):
     return six(social.cross_correlation(merged(spark, d), "risk_mean", "returned"))
 
