@@ -96,17 +96,17 @@ def _u_tail(n1: int, n2: int) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def u_tail(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """The exact one-sided p of U without ties."""
-    return pd.Series([float(_u_tail(*sorted((int(a), int(b))))[int(round(x))]) for x, a, b in zip(u, n1, n2, strict=True)])
+    """The exact one-sided p of U without ties; null where U is."""
+    return pd.Series([None if x != x else float(_u_tail(*sorted((int(a), int(b))))[int(round(x))]) for x, a, b in zip(u, n1, n2, strict=True)], dtype=float)
 
 
 def frequency_tests(dense: DataFrame) -> DataFrame:
     """X5 with its one-sided p: 1 where all frequencies are 0 (or alike), exact for small samples without ties."""
     found = mann_whitney(dense)
     small = (F.least("n1", "n2") <= EXACT) & (F.least("n1", "n2") > 0) & (F.col("ties") == 0)
-    rough = found.where(~small).withColumn("p_value", F.when((F.col("top") == 0) | F.col("z").isNull(), 1.0).otherwise(normal_tail("z")))
-    exact = found.where(small).withColumn("p_value", F.when(F.col("top") == 0, 1.0).otherwise(u_tail("u", "n1", "n2")))
-    return rough.unionByName(exact).drop("ties")
+    rows = found.withColumn("_u", F.when(small, F.col("u"))).withColumn("_exact", u_tail("_u", "n1", "n2"))  # one pass: null where it does not apply
+    rough = F.when(F.col("z").isNull(), 1.0).otherwise(normal_tail("z"))
+    return rows.withColumn("p_value", F.when(F.col("top") == 0, 1.0).when(F.col("_u").isNotNull(), F.col("_exact")).otherwise(rough)).drop("ties", "_u", "_exact")
 
 
 def bh_adjust(tests: DataFrame, p: str = "p_value", within: list[str] | None = None, *ties: str) -> DataFrame:
