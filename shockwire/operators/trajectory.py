@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shockwire.functions.hdbscan import hdbscan, silhouette
 from shockwire.functions.vectors import cosine, distance
+from shockwire.sources.shared import cut
 
 #: Points of a path that are known by phase: name -> length of the prefix.
 PHASES = {"D-21": 2, "D-14": 3, "D-7": 4, "D-0": 5}
@@ -161,7 +162,7 @@ def leave_one_out(labelled: DataFrame, min_cluster_size: int, alpha: float = 0.7
         return pd.DataFrame({"held": [pdf["held"].iloc[0]] * len(kinds), "type_id": [f"type_{k}" for k in kinds], "label": kinds, "centroid": [x[labels == k].mean(axis=0) for k in kinds]})
 
     types = keyed.groupBy("held").applyInPandas(run, f"held {dict(labelled.dtypes)['id']}, type_id string, label int, centroid array<double>")
-    types = types.persist()  # both matches use it; recomputed if an executor is lost
+    types = cut(types)  # both matches use it
     best = lambda path: match(path, types, alpha, own=("id", "held")).where("rank = 1")
     full = best(some).select("id", F.col("type_id").alias("full_type"), F.col("similarity").alias("full_similarity"))
     partial = best(some.withColumn("path", F.slice("path", 1, 3))).select("id", F.col("type_id").alias("partial_type"), F.col("phase").alias("partial_phase"), F.col("similarity").alias("partial_similarity"))
@@ -197,7 +198,7 @@ def time_split(labelled_dates: DataFrame, cutoff: str, min_cluster_size: int, al
     a reason and no matches, below twice min_cluster_size early paths and below two clusters."""
     day = F.lit(cutoff).cast("date")
     early, late = labelled_dates.where(F.col("date") < day), labelled_dates.where(F.col("date") >= day)
-    labelled = cluster(early.select("id", "path"), min_cluster_size).select("id", "path", "label").persist()
+    labelled = cut(cluster(early.select("id", "path"), min_cluster_size).select("id", "path", "label"))
     sizes = labelled.agg(F.count(F.lit(1)).alias("n_train"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_train_clusters"))
     sizes = sizes.crossJoin(late.agg(F.count(F.lit(1)).alias("n_test")))  # one row each
     reason = F.when(F.col("n_train") < 2 * min_cluster_size, "insufficient_train_data").when(F.col("n_train_clusters") < 2, F.concat(F.lit("only_"), F.col("n_train_clusters").cast("string"), F.lit("_clusters")))
