@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shockwire.operators.scoring import daily_batch
 from shockwire.operators.windows import range_sums
 from shockwire.sources.files import exists
+from shockwire.sources.shared import cut
 
 _SCORES = "date date, raw_score double, risk_score double, model string"
 _INPUTS = "date date, print long"
@@ -55,11 +56,11 @@ def backfill(path: str, daily: DataFrame, articles_per_day: DataFrame, days: Dat
     scored, seen = _newest(spark, f"{path}/scores", _SCORES), _newest(spark, f"{path}/inputs", _INPUTS)
     prints = day_prints(daily, articles_per_day)
     both = prints.join(seen.select("date", F.col("print").alias("before")), "date", "full_outer")
-    changed = both.where(~F.col("print").eqNullSafe(F.col("before"))).select("date", "print")
+    changed = cut(both.where(~F.col("print").eqNullSafe(F.col("before"))).select("date", "print"))  # what follows uses it three times
     known = scored.where(F.col("model") == model).select("date")
     asked = known.select(F.col("date").alias("ref_date"), F.lit(longest).cast("int").alias("window_days"))
     stale = range_sums(changed.select("date", F.lit(1).alias("n")), asked, [], ["n"]).where("n > 0").select(F.col("ref_date").alias("date"))
-    due = days.select("date").where("date is not null").distinct().join(known.join(stale, "date", "left_anti"), "date", "left_anti")
+    due = cut(days.select("date").where("date is not null").distinct().join(known.join(stale, "date", "left_anti"), "date", "left_anti"))
     span = due.agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     run = max((r[0] for name in ("scores", "inputs") if exists(spark, f"{path}/{name}") for r in [spark.read.schema("run long").parquet(f"{path}/{name}").agg(F.max("run")).first()] if r[0] is not None), default=0) + 1
     if span["n"]:
