@@ -1,4 +1,4 @@
-"""K8: what the evaluator keeps: insights by date, judgments, its memory and sessions by date.
+"""What the evaluator keeps (insights by date, judgments, its memory and sessions by date), and where a job stopped.
 
 Insights and judgments are JSON lines that are appended to, so two writers do not lose each other's; memory and sessions are texts of
 which the newest version counts. All of them lie under one path, on any file system that Spark writes.
@@ -6,6 +6,8 @@ which the newest version counts. All of them lie under one path, on any file sys
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,16 @@ def load_text(spark: SparkSession, path: str, kind: str, name: str = "") -> str:
     return (_newest(spark, path, kind, name) or (0, ""))[1]
 
 
+def save_state(spark: SparkSession, path: str, job: str, state: dict) -> None:
+    """Where a job stands, as JSON: the files it has done, the dates it chose."""
+    save_text(spark, path, "state", json.dumps(state, ensure_ascii=False, sort_keys=True), job)
+
+
+def load_state(spark: SparkSession, path: str, job: str) -> dict:
+    """The newest state of a job; empty at its start."""
+    return json.loads(load_text(spark, path, "state", job) or "{}")
+
+
 def _newest(spark: SparkSession, path: str, kind: str, name: str) -> tuple[int, str] | None:
     if not exists(spark, f"{path}/{kind}"):
         return None

@@ -22,3 +22,12 @@ def test_stores(spark, tmp_path):
         stores.save_text(spark, path, "sessions", f"session {text}", "2026-03-07")
     assert stores.load_text(spark, path, "memory") == "second\nwith lines" and stores.load_text(spark, path, "sessions", "2026-03-07") == "session second\nwith lines"
     assert stores.load_text(spark, path, "sessions", "2026-03-08") == ""
+
+
+def test_a_job_takes_up_where_it_stopped(spark, tmp_path):
+    path = f"file://{tmp_path}/jobs"
+    assert stores.load_state(spark, path, "convert") == {}
+    for done in (["a.xlsx"], ["a.xlsx", "나.xlsx"]):
+        stores.save_state(spark, path, "convert", {"done": done, "end": None})
+    stores.save_state(spark, path, "download", {"from": "2024-01-01"})
+    assert stores.load_state(spark, path, "convert") == {"done": ["a.xlsx", "나.xlsx"], "end": None}
