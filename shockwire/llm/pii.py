@@ -5,13 +5,12 @@ are written so that a text is gone over once: a run is entered at its start only
 finds the same matches. A card's pattern takes exactly the maximal runs of 16 to 19 digits.
 
 Information-theoretic sanitisation. The base spans' values are the protected entities. A context is the CONTEXT words on
-either side of an entity within its line; c and d count documents by the smallest hashes of their SHINGLE-word shingles (the
-median of the distinct values of MARKS such marks), so that copies and near copies of a document are hardly evidence, while
-different records of one template are. With N windows in the corpus, a term t that stands in contexts of an entity e in c documents, of d that
-hold e, and n times in the corpus, has PMI(t; e) = log2(c N / (n d)) and the entity IC(e) = log2(N / d). A term with c >=
+either side of an entity within its line. All counts are of one unit, unlike documents: the median of the distinct values of
+MARKS smallest hashes of a document's SHINGLE-word shingles, so that copies count once and near copies hardly more, while
+different records of one template are counted each. Of N in the corpus, n hold a term t, d an entity e, and c hold t in a
+context of e; PMI(t; e) = log2(c N / (n d)), and the entity's information is IC(e) = log2(N / d). A term with c >=
 MIN_CONTEXTS and PMI >= DISCLOSURE * IC reveals e: its occurrences in the documents that hold e are spans of kind `term`,
-which sanitise() generalises (a number or a word), as base spans are replaced by their kind. n and N count every copy, so a
-term of much copied documents reveals less than it would.
+which sanitise() generalises (a number or a word), as base spans are replaced by their kind.
 
 Counts cover all documents: the pairs of terms and entities come from the contexts alone, and only the terms among them
 that have enough contexts are counted over the corpus, after a partial count in each task.
@@ -104,6 +103,10 @@ def _core(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
 def _mark(k: int):
     return lambda w: F.xxhash64(F.lit(k), w)
 
@@ -152,11 +155,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, context: int = CONTEXT,
     terms = seen.select("entity", F.explode("near").alias("term"), *marks).where("term != ''")
     pairs = terms.groupBy("entity", "term").agg(unlike.alias("c")).where(F.col("c") >= min_contexts)
     pairs = cut(pairs.join(known, "entity"))
-    all_words = docs.select(F.explode(F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counted = cut(all_words.groupBy(_core(F.col("w")).alias("term")).agg(F.sum("n").alias("n")).join(pairs.select("term").distinct(), "term", "left_semi"))
-    windows = (docs.agg(F.sum(F.regexp_count(text_of("text"), F.lit(WORD)))).first()[0] or 0) / (2 * context + 1)
-    ratio = F.log2(F.try_divide(F.col("c") * F.lit(float(windows)), F.col("n") * F.col("d")))
-    ic = F.log2(F.try_divide(F.lit(float(windows)), F.col("d")))
+    # the empty term stands for the whole, so that its n is N; only the terms looked for are exchanged
+    wanted = pairs.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    cores = F.array_distinct(F.concat(F.transform(F.array_distinct(_words(F.col("_text"))), _core), F.array(F.lit(""))))
+    told = _marks(docs.select(text_of("text").alias("_text"))).select(*marks, F.explode(cores).alias("term"))
+    counted = cut(told.join(wanted, "term", "left_semi").groupBy("term").agg(unlike.alias("n")))
+    whole = float((counted.where("term = ''").first() or {"n": 0})["n"])
+    ratio = F.log2(F.try_divide(F.col("c") * F.lit(whole), F.col("n") * F.col("d")))
+    ic = F.log2(F.try_divide(F.lit(whole), F.col("d")))
     revealing = pairs.join(counted, "term").where((ic > 0) & (ratio >= F.lit(disclosure) * ic)).select("entity", "term")
     return seen.select("doc_id", "entity").distinct(), cut(revealing)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -359,6 +360,52 @@ def test_pii_templates_and_copies(spark):
     assert not [r for r in pii.report(spark.createDataFrame(near + rest, "doc_id long, text string")).collect() if "term" in r.spans]
 
 
+@pytest.mark.parametrize("copies", [1, 50, 1000])
+def test_pii_copies_hide_nothing(spark, copies):
+    """The spans of six records are the same, however often each record, or each other document, is copied."""
+    rnd = random.Random(3)
+    some = lambda n: " ".join(f"word{rnd.randrange(300)}" for _ in range(n))
+    records = [f"{some(6)} Zoltan {some(3)} zk@mail.example {some(5)}" for _ in range(6)]
+    rest = [some(30) for _ in range(200)]
+    told = [r.spans for r in pii.report(spark.createDataFrame(list(enumerate(records + rest)), "doc_id long, text string")).collect()]
+    assert sum("term" in x for x in told) == 6
+    once = set(told)
+    rows = list(enumerate(records * copies + rest * min(copies, 20)))
+    assert {r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == once
+
+
+def test_disclosure_by_brute_force(spark):
+    """Which terms reveal which entities, from counts of unlike documents made one by one: each text here is one, or a copy."""
+    rnd = random.Random(6)
+    names = ["Zoltan", "Imre", "(Vera)", "river", "market", "report", "the"]
+    rows = []
+    for k in range(400):
+        words = [rnd.choice(names[3:]) if rnd.random() < 0.3 else f"w{rnd.randrange(900)}" for _ in range(14)]
+        if k % 8 == 0:
+            who = rnd.randrange(3)
+            words[5:5] = [names[who] if rnd.random() < 0.9 else "market", f"mail{who}@mail.example"]
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, rows[k % 40][1]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.base_spans(docs).where(F.size("base") > 0)
+    _, revealing = pii.disclosing_terms(docs, found)
+    texts = {t for _, t in rows}
+    core = lambda w: re.sub(r"^\W+|\W+$", "", w).lower()
+    holds, d, c = Counter(), Counter(), Counter()
+    for t in texts:
+        words = t.split()
+        holds.update({core(w) for w in words})
+        for k, w in enumerate(words):
+            if "@" in w:
+                d[w] += 1
+                c.update({(w, core(v)) for v in words[max(0, k - 10) : k] + words[k + 1 : k + 11]})
+    size, want = len(texts), set()
+    for (e, t), n in c.items():
+        if n >= 3 and d[e] >= 3 and math.log2(n * size / (holds[t] * d[e])) >= 0.7 * math.log2(size / d[e]) > 0:
+            want.add((f"email:{e}", t))
+    assert {(r.entity, r.term) for r in revealing.collect()} == want and len(want) >= 3
+
+
 def test_contexts_by_brute_force(spark):
     rnd = random.Random(5)
     bits = ["alpha", "beta,", "(gamma)", "\n", " \n", "zk@mail.example", "<b@c.org>,", "1.2.3.4", "999.1.1.1", "+1 2345 67890", "delta"]
