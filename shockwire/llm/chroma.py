@@ -1,15 +1,14 @@
 """Chroma audio fingerprints: filters over an integral image of pitch-class frames, packed to integers; recordings are
 aligned by offset histograms and bit errors, each with its own tail and with those whose id is divisible by EVERY.
 
-Recordings with equal codes are one class. A class's keys are its pairs of neighbouring codes (a lone code is a key itself),
-each once, dealt by a hash and packed. Of the classes that hold an id to look for, the LEADERS with the smallest such ids lead
-a key; every class is aligned with the leaders of its keys on whole codes: every equal position votes for its offset (loops by
-convolution), and at the offset with most votes (the smallest of a tie) the stretch of codes that differ least is taken: a
-match where its bit error is small and it holds more equal codes than recordings of these lengths share by chance. An id to
-look for beyond a key's leaders that matches one of them is represented by it; those that none represents lead the key in the
-next round, twice as many a round, until none is left. So each two recordings that share a key, one of them to look for, are
-aligned, or the one to look for matches a leader of that key, which the other is aligned with; `component_id` joins them. A
-group of copies or a passage costs rows by its members and not by its pairs; only keys whose holders do not match take more.
+Recordings with equal codes are one class. A class's keys are its distinct codes, dealt by a hash and packed; each class that
+holds an id to look for meets every class that shares a key with it. A match holds some equal codes at one offset (see `_enough`),
+so pairs whose shared codes, counted by all pairs of equal positions, are fewer are none; all others are aligned on whole codes: every
+equal position votes for its offset (loops by convolution), and at the offset with most votes (the smallest of a tie) the stretch of
+codes that differ least is taken: a match where its bit error is small and it holds more equal codes than recordings of these
+lengths share by chance. Every match is told, and `component_id` joins them. Pairs travel packed, the codes of a class to look for go
+once to each bucket that holds classes it may match, and the codes of these once; a group of n near copies makes n * n / EVERY
+alignments and matches.
 
 Defined results: null, empty and short recordings (fewer frames than a filter's window) have no codes, no alignment, no
 matches (null) and no frames or fewer than WINDOW; rows that repeat and null ids go row by row, and null ids are not looked
@@ -25,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockwire.llm.common import cut, map_rows, small_batches
@@ -46,8 +45,8 @@ _STEPS = (float(np.exp(-0.2)), float(np.exp(0.2)))
 #: Recordings whose id this divides are looked for among all; the stretch of a match has as large a bit error at most, and as
 #: many equal codes at least (see `_enough`).
 EVERY, VOTES, BIT_ERROR = 20, 2, 0.1
-#: Ids that lead a key in the first round; pairs that a task makes at once.
-LEADERS, PAIRS = 4, 1 << 21
+#: Pairs that a task makes at once.
+PAIRS = 1 << 20
 #: Buckets over which the classes of one key are dealt; buckets a task; codes packed at once.
 SALT, BUCKETS, PACKED = 4, 4, 1 << 20
 #: Stand-in recordings: samples of a word's tone; a shorter recording is repeated to as many samples as give it codes and its
@@ -171,45 +170,55 @@ def fingerprints(recordings: DataFrame, decode: Callable[[bytes], bytes] = bytes
     return map_rows(source, lambda: f, "id long, n_frames long, n_codes long, codes binary, codes_sha256 string, offset long, bit_error double", rows=128)
 
 
-def keys(codes: np.ndarray) -> np.ndarray:
-    """The distinct pairs of neighbouring codes as 64-bit numbers, ascending; one code stands for itself."""
-    x = codes.astype(np.uint64)
-    return np.unique(x[:-1] << np.uint64(32) | x[1:]) if len(x) > 1 else x
+def keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and a byte for each: how often it stands there (15: as often or more), and in the upper half
+    the whole logarithm of the number of codes (15 at most)."""
+    found, often = np.unique(codes, return_counts=True)
+    return found, (np.minimum(often, 15) | min(15, len(codes).bit_length() - 1) << 4).astype(np.uint8)
 
 
-def _packed(numbers: np.ndarray, key: np.ndarray) -> bytes:
-    """Ascending numbers of classes (or ids) and a key for each, compressed."""
-    return zlib.compress(np.diff(numbers, prepend=0).astype("<i8").tobytes() + key.astype("<u8").tobytes(), 1)
+def _pack(numbers: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Ascending numbers and columns as long, compressed."""
+    return zlib.compress(b"".join([np.diff(numbers, prepend=0).astype("<i8").tobytes(), *(c.tobytes() for c in columns)]), 1)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = zlib.decompress(data)
-    n = len(x) // 16
-    return np.frombuffer(x, "<i8", n).cumsum(), np.frombuffer(x, "<u8", n, 8 * n)
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    x, out, at = zlib.decompress(data), [], 0
+    n = len(x) // (8 + sum(np.dtype(k).itemsize for k in kinds))
+    for kind in ("<i8", *kinds):
+        out.append(np.frombuffer(x, kind, n, at))
+        at += n * out[-1].itemsize
+    return [out[0].cumsum(), *out[1:]]
 
 
-def _buckets(numbers: np.ndarray, key: np.ndarray, salt: np.ndarray | int, buckets: int, of: int) -> pa.RecordBatch:
-    """Rows (bucket, of, data), one a bucket, of numbers and their keys; a key's salts are in different buckets."""
-    bucket = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) + salt) % buckets
+def _split(bucket: np.ndarray) -> list[np.ndarray]:
+    """The places of each value of bucket, in order."""
     order = np.argsort(bucket, kind="stable")
-    groups = [g for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(g)]
-    columns = [pa.array([bucket[g[0]] for g in groups], pa.int64()), pa.array([of] * len(groups), pa.int32()), pa.array([_packed(numbers[g], key[g]) for g in groups], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "of", "data"])
+    return [g for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(g)]
 
 
 def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, 1, data) of the keys of classes (n, codes)."""
-
-    def flush(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        found = [(n, keys(np.frombuffer(c, "<u4"))) for n, c in sorted(rows, key=lambda r: r[0])]
-        numbers = np.repeat(np.array([n for n, _ in found], np.int64), [len(k) for _, k in found])
-        return _buckets(numbers, np.concatenate([k for _, k in found]), numbers % SALT, buckets, 1)
+    """Rows (bucket, of, data) of the keys of classes (n, asked, codes): of 1 for all classes, each in one of a key's SALT buckets,
+    and 0 for those to look for, in all of these."""
+
+    def flush(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[0])
+        found = [keys(np.frombuffer(c, "<u4")) for _, _, c in rows]
+        sizes = [len(k) for k, _ in found]
+        key, byte = np.concatenate([k for k, _ in found]), np.concatenate([x for _, x in found])
+        numbers, asked = np.repeat(np.array([r[0] for r in rows], np.int64), sizes), np.repeat([r[1] is not None for r in rows], sizes)
+        home = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        out = []
+        for of, salt, which in [(1, numbers % SALT, slice(None)), *((0, k, np.flatnonzero(asked)) for k in range(SALT))]:
+            bucket, n, k, x = (home + salt)[which] % buckets, numbers[which], key[which], byte[which]
+            out += [(int(bucket[g[0]]), of, _pack(n[g], k[g], x[g])) for g in _split(bucket)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "of", "data"])
 
     held, size = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             held.append(row)
-            size += len(row[1]) // 4
+            size += len(row[2]) // 4
             if size >= PACKED:
                 yield flush(held)
                 held, size = [], 0
@@ -217,27 +226,25 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         yield flush(held)
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, n) of the keys of classes (n, asked, codes)."""
-    for batch in batches:
-        for n, asked, codes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            key = keys(np.frombuffer(codes, "<u4")).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), asked)), pa.array(np.full(len(key), n))], names=["key", "a", "n"])
+def _summed(a: np.ndarray, b: np.ndarray, votes: np.ndarray, *same: np.ndarray) -> list[np.ndarray]:
+    """Each pair (a, b) once, ascending, with the sum of its votes (255 at most), and the columns that are the same in all its rows."""
+    order = np.lexsort((b, a))
+    a, b, votes = a[order], b[order], votes[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])) if len(a) else np.zeros(0, np.int64)
+    return [a[first], b[first], np.minimum(np.add.reduceat(votes, first) if len(a) else votes, 255).astype(np.uint8), *(x[order][first] for x in same)]
 
 
-def _leading(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, 0, data) of leaders (key, n), in the buckets of all of a key's salts."""
-    for batch in batches:
-        key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        order = np.argsort(n, kind="stable")
-        for salt in range(SALT):
-            yield _buckets(n[order], key[order].view(np.uint64), salt, buckets, 0)
+def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (at, data) of the pairs of classes (a to look for, b) that share a key of a bucket, dealt by b. Rows are sorted by
+    bucket, classes to look for first; a task holds these of one bucket, and PAIRS pairs, or those of one key and class, at once."""
+    bucket, kept, led = None, [], None
+    held, size = [], 0
 
+    def flush() -> pa.RecordBatch:
+        a, b, votes, sizes = _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        rows = [(int(b[g[0]] % buckets), _pack(a[g], b[g].astype("<i8"), votes[g], sizes[g])) for g in _split(b % buckets)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["at", "data"])
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b): b, the number of a class, and a, that of a leader of one of its keys. Rows are sorted by bucket, leaders
-    first; a task holds the leaders of one bucket, and PAIRS pairs, or those of one key and class, at once."""
-    bucket, kept, led, leader = None, [], None, None
     for batch in batches:
         for at, of, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if at != bucket:
@@ -248,79 +255,95 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not kept:
                 continue
             if led is None:
-                leader, led = (np.concatenate(c) for c in zip(*map(_unpacked, kept), strict=True))
-                order = np.lexsort((leader, led))
-                leader, led = leader[order], led[order]
-            numbers, key = _unpacked(data)
+                leader, led, leading = (np.concatenate(c) for c in zip(*(_unpack(x, "<u4", "u1") for x in kept), strict=True))
+                order = np.argsort(led, kind="stable")
+                leader, led, leading = leader[order], led[order], leading[order]
+            numbers, key, byte = _unpack(data, "<u4", "u1")
             first = np.searchsorted(led, key)
             many = np.searchsorted(led, key, "right") - first
-            numbers, first, many = (x[many > 0] for x in (numbers, first, many))
+            numbers, first, many, byte = (x[many > 0] for x in (numbers, first, many, byte))
             part = many.cumsum() // PAIRS
             for k in np.unique(part):
                 now = part == k
-                pairs = np.unique(np.stack([leader[_runs(first[now], many[now])], np.repeat(numbers[now], many[now])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                of_a = _runs(first[now], many[now])
+                of_b, byte_b, byte_a = np.repeat(numbers[now], many[now]), np.repeat(byte[now], many[now]), leading[of_a]
+                often = (byte_a & 15).astype(np.int64) * (byte_b & 15)
+                often[(byte_a & 15 == 15) | (byte_b & 15 == 15)] = 255
+                other = leader[of_a] != of_b
+                held.append([x[other] for x in (leader[of_a], of_b, np.minimum(often, 255), (byte_a & 240) | byte_b >> 4)])
+                size += int(other.sum())
+                if size >= PAIRS:
+                    yield flush()
+                    held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, n, others) of the pairs of rows (at, data), sorted by at, that share as many codes as a match holds: n is to look for
+    and others the numbers of the classes that it may match, or others is null and n one of these."""
+
+    def told(at: int, held: list[bytes]) -> pa.RecordBatch:
+        a, b, votes, sizes = _summed(*(np.concatenate(c) for c in zip(*(_unpack(x, "<i8", "u1", "u1") for x in held), strict=True)))
+        # the lower bounds of both numbers of codes ask for no more than their true numbers do
+        least = np.array([_enough(1 << (x >> 4), 1 << (x & 15)) for x in range(256)])
+        a, b = (x[votes >= least[sizes]] for x in (a, b))
+        rows = [(at, int(n), None) for n in np.unique(b)] + [(at, int(a[g[0]]), b[g].astype("<i8").tobytes()) for g in _split(a)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["at", "n", "others"])
+
+    now, held = None, []
+    for batch in batches:
+        for at, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            if at != now and held:
+                yield told(now, held)
+                held = []
+            now = at
+            held.append(data)
+    if held:
+        yield told(now, held)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], bit_error: float) -> Iterator[pa.RecordBatch]:
-    """Matches (b, a, offset, votes, bit_error, start, length) of pairs (b, a, codes of a, codes of b)."""
+    """Matches (b, a, offset, votes, bit_error, start, length) of rows (at, n, others, codes), sorted by at, those without others
+    first: a task holds the codes of these of one `at`."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    now, held = None, {}
     for batch in batches:
         rows = []
         for r in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(k)[r].as_buffer(), "<u4") for k in (2, 3))
-            if found := align(x, y):
-                start, length, equal, error = stretch(x, y, found[0], bit_error)
-                if equal >= _enough(len(x), len(y)):
-                    rows.append((batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), found[0], equal, error, start, length))
+            at, n, others = (batch.column(k)[r].as_py() for k in range(3))
+            x = np.frombuffer(batch.column(3)[r].as_py(), "<u4")
+            if at != now:
+                now, held = at, {}
+            if others is None:
+                held[n] = x
+                continue
+            for b in np.frombuffer(others, "<i8").tolist():
+                y = held[b]
+                if found := align(x, y):
+                    start, length, equal, error = stretch(x, y, found[0], bit_error)
+                    if equal >= _enough(len(x), len(y)):
+                        rows.append((b, n, found[0], equal, error, start, length))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["b", "a", "offset", "votes", "bit_error", "start", "length"])
 
 
-def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR, leaders: int = LEADERS) -> DataFrame:
+def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR) -> DataFrame:
     """known (rows of fingerprints()) with copy_of, the smallest id with equal codes, component_id, the smallest id that equal
-    codes and matches lead to (a row's own id without them), and `matches`: the leaders whose codes differ but align, with the
-    position of this recording's start in them, and of the stretch that matches the equal codes, the bit error, the start in
-    the leader and the length. Empty where nothing aligns, null without codes."""
+    codes and matches lead to (a row's own id without them), and `matches`: all ids to look for (the smallest of equal codes) whose
+    codes differ but align, with the position of this recording's start in them, and of the stretch that matches the equal
+    codes, the bit error, the start in that recording and the length. Empty where nothing aligns, null without codes."""
     known = cut(known.withColumn("class", F.when(F.col("n_codes") > 0, F.xxhash64("codes_sha256"))))
     parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(SALT, BUCKETS * parts)
     classes = small_batches(known).where("class is not null").groupBy("class").agg(F.min("id").alias("copy_of"), F.min(F.when(F.col("id") % every == 0, F.col("id"))).alias("asked"), F.first("codes").alias("codes"))
     classes = cut(classes.withColumn("n", F.monotonically_increasing_id()))  # numbers near each other, which pack well
-    size = F.length("codes")
-    one = classes.where("asked is not null").select(F.col("n").alias("a"), size.alias("size_a"), F.col("codes").alias("codes_a"))
-    other = classes.select(F.col("n").alias("b"), size.alias("size_b"), F.col("codes").alias("codes_b"))
-    postings = classes.select("n", "codes").mapInArrow(partial(_postings, buckets=buckets), "bucket long, of int, data binary")
-
-    def compare(leading: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs of leaders (key, n) and classes that share a key, but those tried before, and the matches among them."""
-        packed = leading.select("key", "n").mapInArrow(partial(_leading, buckets=buckets), "bucket long, of int, data binary")
-        met = postings.unionByName(packed).repartition(parts, "bucket").sortWithinPartitions("bucket", "of").mapInArrow(_meet, "a long, b long").distinct()
-        if tried is not None:
-            met = met.join(tried, ["a", "b"], "left_anti")
-        met = cut(met.where("a != b").join(one.drop("codes_a"), "a").join(other.drop("codes_b"), "b").select("a", "b", (F.col("size_a") < F.col("size_b")).alias("a_moves")))
-        # the shorter codes of a pair go with it, and meet the longer
-        codes_a, codes_b = one.select("a", "codes_a"), other.select("b", "codes_b")
-        whole = met.where("a_moves").join(codes_a, "a").join(codes_b, "b").select("b", "a", "codes_a", "codes_b")
-        whole = whole.unionByName(met.where("not a_moves").join(codes_b, "b").join(codes_a, "a").select("b", "a", "codes_a", "codes_b"))
-        found = whole.mapInArrow(partial(_aligned, bit_error=bit_error), "b long, a long, offset long, votes long, bit_error double, start long, length long")
-        return met.select("a", "b"), cut(found)
-
-    by_key = Window.partitionBy("key").orderBy("a", "n")
-    open_ = classes.where("asked is not null").select("n", "asked", "codes").mapInArrow(_asked, "key long, a long, n long")
-    tried, found = None, None
-    while True:
-        ranked = cut(open_.withColumn("rank", F.row_number().over(by_key)))
-        leading, rest = ranked.where(F.col("rank") <= leaders), ranked.where(F.col("rank") > leaders).drop("rank")
-        now, hits = compare(leading, tried)
-        tried, found = (now, hits) if tried is None else (tried.unionByName(now), found.unionByName(hits))
-        if rest.isEmpty():
-            break
-        said = rest.join(leading.select("key", F.col("n").alias("leader")), "key").join(found.select(F.col("a").alias("leader"), F.col("b").alias("n")), ["leader", "n"], "left_semi").select("key", "n").distinct()
-        open_ = cut(rest.join(said, ["key", "n"], "left_anti"))
-        if open_.isEmpty():
-            break
-        leaders *= 2
+    postings = classes.select("n", "asked", "codes").mapInArrow(partial(_postings, buckets=buckets), "bucket long, of int, data binary")
+    met = postings.repartition(parts, "bucket").sortWithinPartitions("bucket", "of").mapInArrow(partial(_meet, buckets=buckets), "at long, data binary")
+    needed = cut(met.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_candidates, "at long, n long, others binary"))
+    coded = needed.join(classes.select("n", "codes"), "n").select("at", "n", "others", "codes")
+    ordered = coded.repartition(parts, "at").sortWithinPartitions("at", F.col("others").isNotNull())
+    found = cut(ordered.mapInArrow(partial(_aligned, bit_error=bit_error), "b long, a long, offset long, votes long, bit_error double, start long, length long"))
     named = found.join(classes.select(F.col("n").alias("a"), F.col("asked").alias("id")), "a")
     lists = named.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "offset", "votes", "bit_error", "start", "length"))).alias("matches"))
     linked = components(found.select("a", "b")).withColumnRenamed("id", "_n")
