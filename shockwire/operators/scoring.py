@@ -76,8 +76,8 @@ def empirical_max(references: DataFrame) -> DataFrame:
     return references.where("label = 1").agg(F.max(F.round("raw_score", 4)).alias("top"))
 
 
-def daily_batch(daily: DataFrame, articles_per_day: DataFrame, days: DataFrame, params: DataFrame, top: DataFrame, rule: str = "below_0_8") -> DataFrame:
-    """raw_score and risk_score (0 to 100 against top, see `empirical_max`; 0 without it) of every trading day of days (date),
+def daily_batch(daily: DataFrame, articles_per_day: DataFrame, days: DataFrame, params: DataFrame, top: DataFrame, rule: str = "below_0_8", unscaled: float = 0.0) -> DataFrame:
+    """raw_score and risk_score (0 to 100 against top, see `empirical_max`; `unscaled` without it) of every trading day of days (date),
     counts corrected for missing days. Each property's sums over its own window come from running sums (`windows.range_sums`)."""
     refs = days.select(F.col("date").alias("ref_date")).where("ref_date is not null").distinct()
     used = params.select("property_id", F.col("optimal_window").cast("int").alias("window_days"))
@@ -87,5 +87,5 @@ def daily_batch(daily: DataFrame, articles_per_day: DataFrame, days: DataFrame,
     freq = freq.where("freq > 0").withColumn("ref_id", F.col("ref_date")).drop("ref_date")
     sums = contributions(correct_coverage(freq, held.withColumnRenamed("ref_date", "ref_id"), rule), params).groupBy("ref_id").agg(F.sum("contribution").alias("raw_score"))
     raw = refs.join(sums, F.col("ref_id") == F.col("ref_date"), "left").withColumn("raw_score", F.coalesce("raw_score", F.lit(0.0)))
-    risk = F.when(F.col("top") > 0, F.round(F.least(F.lit(100.0), F.col("raw_score") * 100 / F.when(F.col("top") > 0, F.col("top"))), 2)).otherwise(0.0)
+    risk = F.when(F.col("top") > 0, F.round(F.least(F.lit(100.0), F.col("raw_score") * 100 / F.when(F.col("top") > 0, F.col("top"))), 2)).otherwise(float(unscaled))
     return raw.join(F.broadcast(top)).select(F.col("ref_date").alias("date"), F.round("raw_score", 4).alias("raw_score"), risk.alias("risk_score"))  # top is one row

@@ -41,18 +41,18 @@ def day_prints(daily: DataFrame, articles_per_day: DataFrame) -> DataFrame:
     return counts.join(articles_per_day, "date", "full_outer").select("date", F.xxhash64("p", "n_articles").alias("print"))
 
 
-def model_print(params: DataFrame, top: DataFrame, rule: str) -> str:
-    """What tells models apart: parameters, empirical maximum and coverage rule."""
+def model_print(params: DataFrame, top: DataFrame, rule: str, unscaled: float = 0.0) -> str:
+    """What tells models apart: parameters, empirical maximum, coverage rule and the score without a maximum, where that is not 0."""
     of = params.select(F.xxhash64("property_id", "optimal_window", "ctrl_freq_mean", "weight").alias("h")).agg(F.expr("bit_xor(h)").alias("h"))
     row = of.join(F.broadcast(top)).first()
-    return f"{row['h']}-{row['top']}-{rule}"
+    return f"{row['h']}-{row['top']}-{rule}" + (f"-{unscaled:g}" if unscaled else "")
 
 
-def backfill(path: str, daily: DataFrame, articles_per_day: DataFrame, days: DataFrame, params: DataFrame, top: DataFrame, rule: str = "below_0_8") -> int:
+def backfill(path: str, daily: DataFrame, articles_per_day: DataFrame, days: DataFrame, params: DataFrame, top: DataFrame, rule: str = "below_0_8", unscaled: float = 0.0) -> int:
     """Scores what is due among days (date) and appends it; returns how many days that were. Inputs as in `daily_batch`."""
     spark = days.sparkSession
     longest = params.agg(F.max("optimal_window").alias("w")).first()["w"] or 0
-    model = model_print(params, top, rule)
+    model = model_print(params, top, rule, unscaled)
     scored, seen = _newest(spark, f"{path}/scores", _SCORES), _newest(spark, f"{path}/inputs", _INPUTS)
     prints = day_prints(daily, articles_per_day)
     both = prints.join(seen.select("date", F.col("print").alias("before")), "date", "full_outer")
@@ -65,7 +65,7 @@ def backfill(path: str, daily: DataFrame, articles_per_day: DataFrame, days: Dat
     run = max((r[0] for name in ("scores", "inputs") if exists(spark, f"{path}/{name}") for r in [spark.read.schema("run long").parquet(f"{path}/{name}").agg(F.max("run")).first()] if r[0] is not None), default=0) + 1
     if span["n"]:
         inside = F.col("date").between(F.date_sub(F.lit(span["lo"]), longest), F.lit(span["hi"]))
-        rows = daily_batch(daily.where(inside), articles_per_day.where(inside), due, params, top, rule)
+        rows = daily_batch(daily.where(inside), articles_per_day.where(inside), due, params, top, rule, unscaled)
         rows.withColumn("model", F.lit(model)).coalesce(1).write.parquet(f"{path}/scores/run={run}")  # a row a day
     if not changed.isEmpty():
         changed.coalesce(1).write.parquet(f"{path}/inputs/run={run}")
