@@ -72,7 +72,9 @@ def _(spark, d):
 
 @query("D1_distinct_ids", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey FROM x WHERE n = 1")
 def _(spark, d):
-    return text.first_of(s.read(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey")
+    # rows of one number stand in the table's order, which no exchange keeps
+    rows = s.read(spark, d, "lineitem").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return text.first_of(rows, ["l_orderkey"], "l_linenumber", "_file", "_row").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("D2_distinct_vendor_ids", "WITH x AS (SELECT l_partkey AS vendor_id, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem) SELECT vendor_id, l_orderkey, l_linenumber FROM x WHERE n = 1")
