@@ -15,13 +15,13 @@ def p_heatmap(tests: DataFrame, windows: tuple[int, ...], p: str = "p_value") ->
     return wide.select("property_id", *[F.col(str(w)).alias(f"w{w}") for w in windows])
 
 
-def dual_axis(merged: DataFrame, left: str, right: str) -> DataFrame:
-    """Two monthly series, each as it is and on 0..1 of its own range."""
+def dual_axis(merged: DataFrame, left: str, right: str, flat: float = 0.0) -> DataFrame:
+    """Two monthly series, each as it is and on 0..1 of its own range (`flat` where all its values are equal; null stays null)."""
     every = Window.partitionBy(F.lit(0))
 
     def unit(c: str):
         lo, hi = F.min(c).over(every), F.max(c).over(every)
-        return F.when(hi > lo, (F.col(c) - lo) / F.when(hi > lo, hi - lo)).otherwise(0.0)
+        return F.when(hi > lo, (F.col(c) - lo) / F.when(hi > lo, hi - lo)).when(F.col(c).isNotNull(), F.lit(float(flat)))
 
     return merged.select("year_month", left, right, unit(left).alias(f"{left}_unit"), unit(right).alias(f"{right}_unit"))
 
