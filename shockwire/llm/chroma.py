@@ -95,30 +95,41 @@ def codes(chroma: np.ndarray) -> np.ndarray:
     return packed
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
-    """The commonest offset of equal codes of b in a, all pairs of equal positions voting, its votes, and the share of
-    unequal bits there; None without equal codes."""
-    shared = np.intersect1d(a, b)
-    if not len(shared):
+def commonest(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[int, int] | None:
+    """The commonest offset of equal codes of b in a, all pairs of equal positions voting, and its votes; None without equal
+    codes. in_a and in_b are the orders of a and b (stable)."""
+    by_a, by_b = a[in_a], b[in_b]
+    at = np.searchsorted(by_a, by_b)
+    many = np.searchsorted(by_a, by_b, "right") - at
+    pairs = int(many.sum())
+    if not pairs:
         return None
-    in_a, in_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    (at_a, at_b), (n_a, n_b) = zip(*((lo := np.searchsorted(x, shared), np.searchsorted(x, shared, "right") - lo) for x in (a[in_a], b[in_b])), strict=True)
-    # codes that repeat much vote by a convolution, so that a loop's pairs are not made one by one
-    much = n_a * n_b > 64 * (len(a) + len(b))
+    most = 64 * (len(a) + len(b))
     votes = np.zeros(len(a) + len(b) - 1, np.int64)
-    size = 1 << (len(votes) - 1).bit_length()
-    for k in np.flatnonzero(much):
-        x, y = np.zeros(size), np.zeros(size)
-        x[in_a[at_a[k] : at_a[k] + n_a[k]]] = 1
-        y[len(b) - 1 - in_b[at_b[k] : at_b[k] + n_b[k]]] = 1
-        votes += np.rint(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[: len(votes)]).astype(np.int64)
-    few = np.repeat(np.flatnonzero(~much), n_b[~much])
-    of_b = in_b[_runs(at_b[~much], n_b[~much])]
-    of_a = in_a[_runs(at_a[few], n_a[few])]
-    votes += np.bincount(of_a - np.repeat(of_b, n_a[few]) + len(b) - 1, minlength=len(votes))
-    offset = int(np.argmax(votes)) - len(b) + 1
-    lo, hi = max(0, offset), min(len(a), offset + len(b))
-    return offset, int(votes.max()), float(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).mean() / 32)
+    if pairs > most:
+        # codes that repeat much vote by a convolution, so that a loop's pairs are not made one by one
+        first = np.concatenate([[0], np.flatnonzero(np.diff(by_b)) + 1])
+        n_b = np.diff(np.append(first, len(b)))
+        much = many[first] * n_b > most
+        size = 1 << (len(votes) - 1).bit_length()
+        for k in np.flatnonzero(much):
+            x, y = np.zeros(size), np.zeros(size)
+            x[in_a[at[first[k]] : at[first[k]] + many[first[k]]]] = 1
+            y[len(b) - 1 - in_b[first[k] : first[k] + n_b[k]]] = 1
+            votes += np.rint(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[: len(votes)]).astype(np.int64)
+        many = np.where(np.repeat(much, n_b), 0, many)
+    votes += np.bincount(in_a[_runs(at, many)] - np.repeat(in_b, many) + len(b) - 1, minlength=len(votes))
+    best = int(np.argmax(votes))
+    return best - len(b) + 1, int(votes[best])
+
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
+    """The commonest offset of equal codes of b in a, its votes, and the share of unequal bits there; None without equal codes."""
+    found = commonest(a, b, np.argsort(a, kind="stable"), np.argsort(b, kind="stable"))
+    if not found:
+        return None
+    lo, hi = max(0, found[0]), min(len(a), found[0] + len(b))
+    return *found, float(np.bitwise_count(a[lo:hi] ^ b[lo - found[0] : hi - found[0]]).mean() / 32)
 
 
 def stretch(a: np.ndarray, b: np.ndarray, offset: int, bit_error: float = BIT_ERROR) -> tuple[int, int, int, float]:
@@ -304,28 +315,29 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], bit_error: float) -> Iterator[pa.RecordBatch]:
-    """Matches (b, a, offset, votes, bit_error, start, length) of rows (at, n, others, codes), sorted by at, those without others
-    first: a task holds the codes of these of one `at`."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    """Matches (b, a, id, offset, votes, bit_error, start, length) of rows (at, n, others, codes, asked), sorted by at, those without
+    others first: a task holds the codes of these of one `at`."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     now, held = None, {}
     for batch in batches:
         rows = []
         for r in range(batch.num_rows):
             at, n, others = (batch.column(k)[r].as_py() for k in range(3))
             x = np.frombuffer(batch.column(3)[r].as_py(), "<u4")
+            in_x, asked = np.argsort(x, kind="stable"), batch.column(4)[r].as_py()
             if at != now:
                 now, held = at, {}
             if others is None:
-                held[n] = x
+                held[n] = x, in_x
                 continue
             for b in np.frombuffer(others, "<i8").tolist():
-                y = held[b]
-                if found := align(x, y):
+                y, in_y = held[b]
+                if found := commonest(x, y, in_x, in_y):
                     start, length, equal, error = stretch(x, y, found[0], bit_error)
                     if equal >= _enough(len(x), len(y)):
-                        rows.append((b, n, found[0], equal, error, start, length))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["b", "a", "offset", "votes", "bit_error", "start", "length"])
+                        rows.append((b, n, asked, found[0], equal, error, start, length))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["b", "a", "id", "offset", "votes", "bit_error", "start", "length"])
 
 
 def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR) -> DataFrame:
@@ -341,12 +353,14 @@ def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR)
     postings = classes.select("n", "asked", "codes").mapInArrow(partial(_postings, buckets=buckets), "bucket long, of int, data binary")
     met = postings.repartition(parts, "bucket").sortWithinPartitions("bucket", "of").mapInArrow(partial(_meet, buckets=buckets), "at long, data binary")
     needed = cut(met.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_candidates, "at long, n long, others binary"))
-    coded = needed.join(classes.select("n", "codes"), "n").select("at", "n", "others", "codes")
+    coded = needed.join(classes.select("n", "codes", "asked"), "n").select("at", "n", "others", "codes", "asked")
     ordered = coded.repartition(parts, "at").sortWithinPartitions("at", F.col("others").isNotNull())
-    found = cut(ordered.mapInArrow(partial(_aligned, bit_error=bit_error), "b long, a long, offset long, votes long, bit_error double, start long, length long"))
-    named = found.join(classes.select(F.col("n").alias("a"), F.col("asked").alias("id")), "a")
-    lists = named.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "offset", "votes", "bit_error", "start", "length"))).alias("matches"))
-    linked = components(found.select("a", "b")).withColumnRenamed("id", "_n")
+    found = ordered.mapInArrow(partial(_aligned, bit_error=bit_error), "b long, a long, id long, offset long, votes long, bit_error double, start long, length long")
+    lists = cut(found.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "offset", "votes", "bit_error", "start", "length"))).alias("matches"), F.min("a").alias("a"), F.collect_list("a").alias("all")))
+    # a class and all that it matches are one component: each is joined with the smallest of these, so that edges grow with rows
+    edges = lists.select("a", "b").union(lists.select("a", F.explode("all").alias("b")).where("a != b")).distinct()
+    linked = components(edges).withColumnRenamed("id", "_n")
+    lists = lists.select("b", "matches")
     told = classes.select("class", "n", "copy_of").join(linked, F.col("n") == F.col("_n"), "left").withColumn("label", F.coalesce("label", "n"))
     smallest = told.groupBy("label").agg(F.min("copy_of").alias("component_id"))
     told = told.join(smallest, "label").join(lists, F.col("n") == F.col("b"), "left").select(F.col("class").alias("_class"), "copy_of", "component_id", "matches")
