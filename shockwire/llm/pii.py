@@ -13,7 +13,8 @@ MIN_CONTEXTS and PMI >= DISCLOSURE * IC reveals e: its occurrences in the docume
 which sanitise() generalises (a number or a word), as base spans are replaced by their kind.
 
 Counts cover all documents: the pairs of terms and entities come from the contexts alone, and only the terms among them
-that have enough contexts are counted over the corpus, after a partial count in each task.
+that have enough contexts, and are not already too frequent for PMI in the documents with entities, are looked for in the
+corpus; the others of a document are left out in the task that reads it.
 
 Defined results: a null text is empty and has no spans; rows that repeat a doc_id get the terms of all of them; a null
 doc_id gets base spans alone; an empty table gives no rows; further columns of docs are kept by sanitise(), else not read.
@@ -32,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")
 #: Words on either side of an entity.
 CONTEXT = 10
+#: Slots of a hash of terms, of which those of the terms looked for are broadcast.
+SLOTS = 1 << 18
 #: Words of the shingles that tell copies of a document from others.
 SHINGLE, MARKS = 5, 5
 MIN_CONTEXTS = 3
@@ -145,26 +148,53 @@ def contexts(found: DataFrame, context: int = CONTEXT) -> DataFrame:
     return rows.select("doc_id", *marks, each.alias("x")).select("doc_id", *marks, F.explode("x").alias("x")).select("doc_id", "x.entity", "x.near", *marks)
 
 
+def _unlike() -> Column:
+    """The number of unlike documents among rows with marks."""
+    return F.element_at(F.array_sort(F.array(*[F.count_distinct(f"m{k}") for k in range(MARKS)])), MARKS // 2 + 1)
+
+
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS))
+
+
+def holders(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """m0, m1, ... (marks of a document of docs) and each term of wanted (term) that it holds; the empty term, if wanted, is held
+    by all. What falls in no wanted term's slot goes before any exchange, and SLOTS bound what is broadcast, however many the terms."""
+    cores = F.array_distinct(F.concat(F.transform(F.array_distinct(_words(F.col("_text"))), _core), F.array(F.lit(""))))
+    # outer, as Spark makes the array twice to leave out empty ones, of which there are none
+    held = _marks(docs.select(text_of("text").alias("_text"))).select(*[f"m{k}" for k in range(MARKS)], F.explode_outer(cores).alias("term"))
+    slots = F.broadcast(wanted.select(_slot(F.col("term")).alias("_slot")).distinct())
+    return held.join(slots, _slot(F.col("term")) == F.col("_slot"), "left_semi").join(wanted, "term", "left_semi")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, context: int = CONTEXT, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, entity) of the documents' entities, and (entity, term) of the terms that reveal them. docs: doc_id, text; found:
     those with entities, and their base spans."""
+    spark = docs.sparkSession
     seen = cut(contexts(found, context))
     marks = [f"m{k}" for k in range(MARKS)]
-    unlike = F.element_at(F.array_sort(F.array(*map(F.count_distinct, marks))), MARKS // 2 + 1)
-    known = seen.groupBy("entity").agg(unlike.alias("d")).where(F.col("d") >= min_contexts)
+    known = seen.groupBy("entity").agg(_unlike().alias("d")).where(F.col("d") >= min_contexts)
     terms = seen.select("entity", F.explode("near").alias("term"), *marks).where("term != ''")
-    pairs = terms.groupBy("entity", "term").agg(unlike.alias("c")).where(F.col("c") >= min_contexts)
+    pairs = terms.groupBy("entity", "term").agg(_unlike().alias("c")).where(F.col("c") >= min_contexts)
     pairs = cut(pairs.join(known, "entity"))
-    # the empty term stands for the whole, so that its n is N; only the terms looked for are exchanged
-    wanted = pairs.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    cores = F.array_distinct(F.concat(F.transform(F.array_distinct(_words(F.col("_text"))), _core), F.array(F.lit(""))))
-    told = _marks(docs.select(text_of("text").alias("_text"))).select(*marks, F.explode(cores).alias("term"))
-    counted = cut(told.join(wanted, "term", "left_semi").groupBy("term").agg(unlike.alias("n")))
-    whole = float((counted.where("term = ''").first() or {"n": 0})["n"])
+    entities, none = seen.select("doc_id", "entity").distinct(), spark.createDataFrame([], "entity string, term string")
+    if pairs.isEmpty():
+        return entities, none
+    # PMI >= disclosure * IC, of entities with an IC, is n <= c * (N / d) ** (1 - disclosure); N is the number of rows at most, and n that among the
+    # documents with entities at least, so that frequent terms are told to be too frequent before the corpus is gone over
+    most = F.max(F.col("c") * F.pow(F.greatest(F.lit(float(docs.count())) / F.col("d"), F.lit(1.0)), F.lit(max(1.0 - disclosure, 0.0))))
+    likely = cut(pairs.groupBy("term").agg((most * (1 + 1e-6)).alias("most")))
+    among = cut(holders(found, likely.select("term")).groupBy("term").agg(_unlike().alias("n")))
+    likely = likely.join(among, "term", "left").where("n is null or n <= most").select("term")
+    # the empty term stands for the whole, so that its n is N
+    wanted = cut(likely.union(spark.range(1).select(F.lit("").alias("term"))))
+    held = cut(holders(docs, wanted))
+    whole = float(held.where("term = ''").agg(_unlike().alias("n")).first()["n"])
+    counted = held.where("term != ''").groupBy("term").agg(_unlike().alias("n"))
     ratio = F.log2(F.try_divide(F.col("c") * F.lit(whole), F.col("n") * F.col("d")))
     ic = F.log2(F.try_divide(F.lit(whole), F.col("d")))
     revealing = pairs.join(counted, "term").where((ic > 0) & (ratio >= F.lit(disclosure) * ic)).select("entity", "term")
-    return seen.select("doc_id", "entity").distinct(), cut(revealing)
+    return entities, cut(revealing)
 
 
 def all_spans(docs: DataFrame, **parameters) -> DataFrame:

@@ -374,6 +374,29 @@ def test_pii_copies_hide_nothing(spark, copies):
     assert {r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == once
 
 
+def _shuffled(spark, since=-1):
+    """Bytes that stages after `since` have written for exchanges, and the last stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    told = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(k) for k in range(stages.size()))]
+    return sum(n for k, n in told if k > since), max((k for k, _ in told), default=-1)
+
+
+def test_pii_exchanges_no_other_terms(spark):
+    """Of the corpus, the terms that may reveal an entity alone are exchanged; neither words that stand by none nor frequent ones."""
+    rnd = random.Random(4)
+    some = lambda n: " ".join(f"word{rnd.randrange(40_000)} the" for _ in range(n))
+    records = [(k, f"{some(3)} Zoltan the zk@mail.example {some(5)}") for k in range(6)]
+    rest = [(100 + k, some(300) + (f" by a{k}@mail.example" if k % 4 == 0 else "")) for k in range(1200)]
+    docs = spark.createDataFrame(records + rest, "doc_id long, text string").repartition(4).localCheckpoint()
+    _, last = _shuffled(spark)
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    moved, _ = _shuffled(spark, last)
+    assert all(got[k].count("term:") == 1 for k in range(6)) and not any("term" in got[k] for k, _ in rest)
+    assert moved < 0.3 * sum(len(t) for _, t in rest), moved
+
+
 def test_disclosure_by_brute_force(spark):
     """Which terms reveal which entities, from counts of unlike documents made one by one: each text here is one, or a copy."""
     rnd = random.Random(6)
