@@ -59,8 +59,10 @@ def tones(text: bytes) -> bytes:
     """A stand-in recording of a text: a tone for each word between spaces, its pitch by a hash of the word."""
     if not text:
         return b""
-    sound = _TONES[np.array([zlib.crc32(w) % len(_TONES) for w in text.split(b" ")])].ravel()
-    return np.resize(sound, max(len(sound), SHORTEST)).tobytes()
+    words = text.split(b" ")
+    pitches = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % len(_TONES)
+    sound = _TONES.take(pitches, axis=0).ravel()
+    return (sound if len(sound) >= SHORTEST else np.resize(sound, SHORTEST)).tobytes()
 
 
 def frames(samples: np.ndarray) -> np.ndarray:
@@ -69,8 +71,10 @@ def frames(samples: np.ndarray) -> np.ndarray:
         return np.zeros((0, 12))
     out, windows = [], np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     for at in range(0, len(windows), 128):
-        z = np.fft.rfft(windows[at : at + 128] * _HANN, axis=1)[:, _USED]
-        out.append((z.real * z.real + z.imag * z.imag) @ _TO_CLASS)
+        z = np.fft.rfft(windows[at : at + 128] * _HANN, axis=1)
+        # squares of both parts in one run over memory
+        x = np.square(z.view(z.real.dtype)[:, 2 * _USED.start : 2 * _USED.stop])
+        out.append((x[:, 0::2] + x[:, 1::2]) @ _TO_CLASS)
     x = np.concatenate(out)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -81,9 +85,12 @@ def codes(chroma: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint32)
     whole = np.rint(chroma * PARTS).astype(np.int64)
-    image = np.pad(np.concatenate([whole, whole], axis=1).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    t, half = np.arange(n), WINDOW // 2
-    area = lambda t0, t1, c0, c1: image[t + t1, c1] - image[t + t0, c1] - image[t + t1, c0] + image[t + t0, c0]
+    # a row a pitch class, so that what a filter reads of all windows lies in one run
+    image = np.zeros((25, len(chroma) + 1), np.int64)
+    image[1:, 1:] = np.concatenate([whole, whole], axis=1).T.cumsum(0)
+    np.cumsum(image, axis=1, out=image)
+    half = WINDOW // 2
+    area = lambda t0, t1, c0, c1: image[c1, t1 : t1 + n] - image[c1, t0 : t0 + n] - image[c0, t1 : t1 + n] + image[c0, t0 : t0 + n]
     packed = np.zeros(n, np.uint32)
     for c, wide, kind in FILTERS:
         whole, other = area(0, WINDOW, c, c + wide), area(0, WINDOW, c + 6, c + 6 + wide)
@@ -189,16 +196,18 @@ def keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(numbers: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Ascending numbers and columns as long, compressed."""
-    return zlib.compress(b"".join([np.diff(numbers, prepend=0).astype("<i8").tobytes(), *(c.tobytes() for c in columns)]), 1)
+    """Ascending numbers and columns as long, compressed: a column's first bytes, then its second ones, as the high ones repeat."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in (np.diff(numbers, prepend=0).astype("<i8"), *columns)]
+    return zlib.compress(b"".join(planes), 1)
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    x, out, at = zlib.decompress(data), [], 0
-    n = len(x) // (8 + sum(np.dtype(k).itemsize for k in kinds))
-    for kind in ("<i8", *kinds):
-        out.append(np.frombuffer(x, kind, n, at))
-        at += n * out[-1].itemsize
+    x, out, at = np.frombuffer(zlib.decompress(data), np.uint8), [], 0
+    kinds = [np.dtype(k) for k in ("<i8", *kinds)]
+    n = len(x) // sum(k.itemsize for k in kinds)
+    for kind in kinds:
+        out.append(np.ascontiguousarray(x[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
     return [out[0].cumsum(), *out[1:]]
 
 
@@ -340,6 +349,16 @@ def _aligned(batches: Iterator[pa.RecordBatch], bit_error: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["b", "a", "id", "offset", "votes", "bit_error", "start", "length"])
 
 
+def _among(classes: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of classes (n, ...) whose number needed (n) has, so that no other codes are exchanged: a bit a number is broadcast."""
+    bits = needed.groupBy(F.bitmap_bucket_number("n").alias("_of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("_bits"))
+    at = F.bitmap_bit_position("n")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int") + 1)
+    found = classes.join(F.broadcast(bits), F.bitmap_bucket_number("n") == F.col("_of"))
+    return found.where(byte.bitwiseAND(there) != 0).select(*classes.columns)
+
+
 def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR) -> DataFrame:
     """known (rows of fingerprints()) with copy_of, the smallest id with equal codes, component_id, the smallest id that equal
     codes and matches lead to (a row's own id without them), and `matches`: all ids to look for (the smallest of equal codes) whose
@@ -353,7 +372,7 @@ def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR)
     postings = classes.select("n", "asked", "codes").mapInArrow(partial(_postings, buckets=buckets), "bucket long, of int, data binary")
     met = postings.repartition(parts, "bucket").sortWithinPartitions("bucket", "of").mapInArrow(partial(_meet, buckets=buckets), "at long, data binary")
     needed = cut(met.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_candidates, "at long, n long, others binary"))
-    coded = needed.join(classes.select("n", "codes", "asked"), "n").select("at", "n", "others", "codes", "asked")
+    coded = needed.join(_among(classes.select("n", "codes", "asked"), needed), "n").select("at", "n", "others", "codes", "asked")
     ordered = coded.repartition(parts, "at").sortWithinPartitions("at", F.col("others").isNotNull())
     found = ordered.mapInArrow(partial(_aligned, bit_error=bit_error), "b long, a long, id long, offset long, votes long, bit_error double, start long, length long")
     lists = cut(found.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "offset", "votes", "bit_error", "start", "length"))).alias("matches"), F.min("a").alias("a"), F.collect_list("a").alias("all")))

@@ -158,6 +158,27 @@ def test_noise_does_not_match(spark):
     assert len(got) == 42 and all(r.matches == [] and r.component_id == r.id for r in got)
 
 
+def test_no_other_codes_are_exchanged(spark):
+    """Of the classes, those that may match alone are dealt with their codes: a bit a number tells them, exactly."""
+    rnd = np.random.default_rng(6)
+    numbers = [int(k) << 33 | int(r) for k in range(3) for r in rnd.integers(0, 70_000, 300)] + [0, 1, 7, 8, 32_767, 32_768, 32_769]
+    classes = spark.createDataFrame([(n, b"x") for n in sorted(set(numbers))], "n long, codes binary")
+    some = sorted(set(rnd.choice(numbers, 200).tolist()) | {0, 8, 32_768})
+    needed = spark.createDataFrame([(k, n) for k in range(2) for n in some], "at long, n long")
+    assert sorted(r.n for r in chroma._among(classes, needed).collect()) == some
+    assert chroma._among(classes, needed.limit(0)).count() == 0
+
+
+def test_packed_columns_come_back():
+    rnd = np.random.default_rng(7)
+    for n in (0, 1, 1000):
+        a, b, c = np.sort(rnd.integers(0, 1 << 40, n)), rnd.integers(0, 1 << 33, n), rnd.integers(0, 256, n).astype(np.uint8)
+        packed = chroma._pack(a, b.astype("<i8"), c)
+        assert all((x == y).all() for x, y in zip(chroma._unpack(packed, "<i8", "u1"), (a, b, c), strict=True))
+    # numbers of many partitions that lie far apart: the bytes that they share take no room
+    assert len(chroma._pack(np.arange(1000), (rnd.integers(0, 1 << 12, 1000) + (5 << 33)).astype("<i8"), np.zeros(1000, np.uint8))) < 2300
+
+
 def test_names_that_clash(spark):
     """Columns of these names beside the table's own are not read."""
     rows = [(20, "a b " * 300, 1, "x", "y"), (21, "a b " * 200, 2, "x", "y"), (22, None, 3, None, None)]
