@@ -3,12 +3,13 @@ aligned by offset histograms and bit errors, each with its own tail and with tho
 
 Recordings with equal codes are one class. A class's keys are its distinct codes, dealt by a hash and packed; each class that
 holds an id to look for meets every class that shares a key with it. A match holds some equal codes at one offset (see `_enough`),
-so pairs whose shared codes, counted by all pairs of equal positions, are fewer are none; all others are aligned on whole codes: every
+so pairs that share fewer, each code counted as often as the recording that has it less often, are none; all others are aligned on whole codes: every
 equal position votes for its offset (loops by convolution), and at the offset with most votes (the smallest of a tie) the stretch of
 codes that differ least is taken: a match where its bit error is small and it holds more equal codes than recordings of these
-lengths share by chance. Every match is told, and `component_id` joins them. Pairs travel packed, the codes of a class to look for go
-once to each bucket that holds classes it may match, and the codes of these once; a group of n near copies makes n * n / EVERY
-alignments and matches.
+lengths share by chance. Every match is told, and `component_id` joins them. A class is told by one of its rows, whose codes stay
+where they are until pairs are known. Pairs travel packed. Classes whose pairs have the same smallest class to look for are aligned
+together, in tiles of about TILE times TILE, so that a group's codes travel once a tile and not once a bucket; a group of n near
+copies makes n * n / EVERY alignments and matches.
 
 Defined results: null, empty and short recordings (fewer frames than a filter's window) have no codes, no alignment, no
 matches (null) and no frames or fewer than WINDOW; rows that repeat and null ids go row by row, and null ids are not looked
@@ -47,8 +48,8 @@ _STEPS = (float(np.exp(-0.2)), float(np.exp(0.2)))
 EVERY, VOTES, BIT_ERROR = 20, 2, 0.1
 #: Pairs that a task makes at once.
 PAIRS = 1 << 20
-#: Buckets over which the classes of one key are dealt; buckets a task; codes packed at once.
-SALT, BUCKETS, PACKED = 4, 4, 1 << 20
+#: Buckets over which the classes of one key are dealt; buckets a task; codes packed at once; classes at each side of a tile.
+SALT, BUCKETS, PACKED, TILE = 4, 4, 1 << 20, 512
 #: Stand-in recordings: samples of a word's tone; a shorter recording is repeated to as many samples as give it codes and its
 #: tail too.
 TONE, SHORTEST = 64, 26 * HOP
@@ -196,9 +197,15 @@ def keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(numbers: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Ascending numbers and columns as long, compressed: a column's first bytes, then its second ones, as the high ones repeat."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in (np.diff(numbers, prepend=0).astype("<i8"), *columns)]
-    return zlib.compress(b"".join(planes), 1)
+    """Ascending numbers and columns as long, compressed: a column's first bytes, then its second ones, as the high ones repeat, each
+    with a code of its own; runs alone are looked for."""
+    coder, out = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_RLE), []
+    for c in (np.diff(numbers, prepend=0).astype("<i8"), *columns):
+        for plane in np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T:
+            out.append(coder.compress(plane.tobytes()))
+            if plane.any():
+                out.append(coder.flush(zlib.Z_SYNC_FLUSH))
+    return b"".join([*out, coder.flush()])
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -217,28 +224,27 @@ def _split(bucket: np.ndarray) -> list[np.ndarray]:
     return [g for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(g)]
 
 
-def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, of, data) of the keys of classes (n, asked, codes): of 1 for all classes, each in one of a key's SALT buckets,
-    and 0 for those to look for, in all of these."""
+def _postings(batches: Iterator[pa.RecordBatch], buckets: int, of: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, of, data) of the keys of classes (n, codes): of 1 for all classes, each in one of a key's SALT buckets, and 0
+    for those to look for, in all of these."""
 
-    def flush(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
+    def flush(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[0])
-        found = [keys(np.frombuffer(c, "<u4")) for _, _, c in rows]
-        sizes = [len(k) for k, _ in found]
+        found = [keys(np.frombuffer(c, "<u4")) for _, c in rows]
         key, byte = np.concatenate([k for k, _ in found]), np.concatenate([x for _, x in found])
-        numbers, asked = np.repeat(np.array([r[0] for r in rows], np.int64), sizes), np.repeat([r[1] is not None for r in rows], sizes)
+        numbers = np.repeat(np.array([r[0] for r in rows], np.int64), [len(k) for k, _ in found])
         home = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
         out = []
-        for of, salt, which in [(1, numbers % SALT, slice(None)), *((0, k, np.flatnonzero(asked)) for k in range(SALT))]:
-            bucket, n, k, x = (home + salt)[which] % buckets, numbers[which], key[which], byte[which]
-            out += [(int(bucket[g[0]]), of, _pack(n[g], k[g], x[g])) for g in _split(bucket)]
+        for salt in [numbers % SALT] if of else range(SALT):
+            bucket = (home + salt) % buckets
+            out += [(int(bucket[g[0]]), of, _pack(numbers[g], key[g], byte[g])) for g in _split(bucket)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "of", "data"])
 
     held, size = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
             held.append(row)
-            size += len(row[2]) // 4
+            size += len(row[1]) // 4
             if size >= PACKED:
                 yield flush(held)
                 held, size = [], 0
@@ -254,15 +260,22 @@ def _summed(a: np.ndarray, b: np.ndarray, votes: np.ndarray, *same: np.ndarray)
     return [a[first], b[first], np.minimum(np.add.reduceat(votes, first) if len(a) else votes, 255).astype(np.uint8), *(x[order][first] for x in same)]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (at, data) of the pairs of classes (a to look for, b) that share a key of a bucket, dealt by b. Rows are sorted by
-    bucket, classes to look for first; a task holds these of one bucket, and PAIRS pairs, or those of one key and class, at once."""
-    bucket, kept, led = None, [], None
+def _least() -> np.ndarray:
+    """Equal codes that a match holds at least, by the logarithms of both numbers of codes, as keys() tells them: these lower bounds
+    ask for no more than the true numbers do."""
+    return np.array([np.ceil(_enough(1 << (x >> 4), 1 << (x & 15))) for x in range(256)]).astype(np.uint8)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (at, data) of the pairs of classes (b, a to look for) that share a key of a bucket, dealt by b,
+    with the equal codes that one offset may have (a position has one partner there) and those that a match holds. Rows are sorted
+    by bucket, classes to look for first; a task holds these of one bucket, and PAIRS pairs, or those of one key and class, at once."""
+    bucket, kept, led, least = None, [], None, _least()
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        a, b, votes, sizes = _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        rows = [(int(b[g[0]] % buckets), _pack(a[g], b[g].astype("<i8"), votes[g], sizes[g])) for g in _split(b % buckets)]
+        b, a, votes, enough = _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        rows = [(int(b[g[0]] % parts), _pack(b[g], a[g].astype("<i8"), votes[g], enough[g])) for g in _split(b % parts)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["at", "data"])
 
     for batch in batches:
@@ -287,10 +300,10 @@ def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 now = part == k
                 of_a = _runs(first[now], many[now])
                 of_b, byte_b, byte_a = np.repeat(numbers[now], many[now]), np.repeat(byte[now], many[now]), leading[of_a]
-                often = (byte_a & 15).astype(np.int64) * (byte_b & 15)
-                often[(byte_a & 15 == 15) | (byte_b & 15 == 15)] = 255
+                often = np.minimum(byte_a & 15, byte_b & 15)
+                often[often == 15] = 255
                 other = leader[of_a] != of_b
-                held.append([x[other] for x in (leader[of_a], of_b, np.minimum(often, 255), (byte_a & 240) | byte_b >> 4)])
+                held.append([x[other] for x in (of_b, leader[of_a], often, least[(byte_a & 240) | byte_b >> 4])])
                 size += int(other.sum())
                 if size >= PAIRS:
                     yield flush()
@@ -299,52 +312,78 @@ def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield flush()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, n, others) of the pairs of rows (at, data), sorted by at, that share as many codes as a match holds: n is to look for
-    and others the numbers of the classes that it may match, or others is null and n one of these."""
-
-    def told(at: int, held: list[bytes]) -> pa.RecordBatch:
-        a, b, votes, sizes = _summed(*(np.concatenate(c) for c in zip(*(_unpack(x, "<i8", "u1", "u1") for x in held), strict=True)))
-        # the lower bounds of both numbers of codes ask for no more than their true numbers do
-        least = np.array([_enough(1 << (x >> 4), 1 << (x & 15)) for x in range(256)])
-        a, b = (x[votes >= least[sizes]] for x in (a, b))
-        rows = [(at, int(n), None) for n in np.unique(b)] + [(at, int(a[g[0]]), b[g].astype("<i8").tobytes()) for g in _split(a)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["at", "n", "others"])
-
-    now, held = None, []
+def _spread(numbers: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """Each number's place among so many, by a hash."""
+    return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % over
+
+
+def _tiles(a: np.ndarray, b: np.ndarray, every: int) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """Rows (leader, tile, n, others) of all pairs of some classes b, sorted by b and a: others are the a that n is aligned with, or
+    null and n one of these. The leader is b's smallest a, which near copies have in common; b has about one `every`th of its group
+    as a, which tells the group's size."""
+    first = np.flatnonzero(np.diff(b, prepend=-1))
+    many = np.diff(np.append(first, len(b)))
+    # powers of two, so that classes of one group have the same tiles where their numbers of pairs differ
+    power = lambda x: np.repeat(np.exp2(np.ceil(np.log2(np.maximum(x, 1)))).astype(np.int64), many)
+    leader, tile = np.repeat(a[first], many), _spread(b, power(every * many / TILE)) << 32 | _spread(a, power(many / TILE))
+    for n, other in ((b, a), (a, None)):
+        order = np.lexsort((a, n, tile, leader))
+        now = [x[order] for x in (leader, tile, n)]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in now], axis=0)]) if len(n) else [])
+        packed = [None] * len(starts) if other is None else [_pack(x) for x in np.split(other[order], starts[1:]) if len(x)]
+        yield from zip(*(x[starts].tolist() for x in now), packed, strict=True)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
+    """The rows of _tiles() of the pairs of rows (at, data), sorted by at, that share as many codes as a match holds. A task holds
+    the different pairs of one `at`, and PAIRS others or as many again."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    summed = lambda held: _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def told(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        b, a, votes, enough = summed(held)
+        rows = list(_tiles(a[votes >= enough], b[votes >= enough], every))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["leader", "tile", "n", "others"])
+
+    now, held, size, most = None, [], 0, PAIRS
     for batch in batches:
         for at, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
             if at != now and held:
-                yield told(now, held)
-                held = []
+                yield told(held)
+                held, size, most = [], 0, PAIRS
             now = at
-            held.append(data)
+            held.append(_unpack(data, "<i8", "u1", "u1"))
+            size += len(held[-1][0])
+            if size > most:
+                held = [summed(held)]
+                size = len(held[0][0])
+                most = size + max(size, PAIRS)
     if held:
-        yield told(now, held)
+        yield told(held)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], bit_error: float) -> Iterator[pa.RecordBatch]:
-    """Matches (b, a, id, offset, votes, bit_error, start, length) of rows (at, n, others, codes, asked), sorted by at, those without
-    others first: a task holds the codes of these of one `at`."""
+    """Matches (b, a, id, offset, votes, bit_error, start, length) of rows (leader, tile, n, others, codes, asked), sorted by leader
+    and tile, those without others first: a task holds the codes of these of one tile."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     now, held = None, {}
     for batch in batches:
         rows = []
         for r in range(batch.num_rows):
-            at, n, others = (batch.column(k)[r].as_py() for k in range(3))
-            x = np.frombuffer(batch.column(3)[r].as_py(), "<u4")
-            in_x, asked = np.argsort(x, kind="stable"), batch.column(4)[r].as_py()
+            *at, n, others = (batch.column(k)[r].as_py() for k in range(4))
+            y = np.frombuffer(batch.column(4)[r].as_py(), "<u4")
+            in_y = np.argsort(y, kind="stable")
             if at != now:
                 now, held = at, {}
             if others is None:
-                held[n] = x, in_x
+                held[n] = y, in_y, batch.column(5)[r].as_py()
                 continue
-            for b in np.frombuffer(others, "<i8").tolist():
-                y, in_y = held[b]
+            for a in _unpack(others)[0].tolist():
+                x, in_x, asked = held[a]
                 if found := commonest(x, y, in_x, in_y):
                     start, length, equal, error = stretch(x, y, found[0], bit_error)
                     if equal >= _enough(len(x), len(y)):
-                        rows.append((b, n, asked, found[0], equal, error, start, length))
+                        rows.append((n, a, asked, found[0], equal, error, start, length))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["b", "a", "id", "offset", "votes", "bit_error", "start", "length"])
 
@@ -364,17 +403,21 @@ def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR)
     codes and matches lead to (a row's own id without them), and `matches`: all ids to look for (the smallest of equal codes) whose
     codes differ but align, with the position of this recording's start in them, and of the stretch that matches the equal
     codes, the bit error, the start in that recording and the length. Empty where nothing aligns, null without codes."""
-    known = cut(known.withColumn("class", F.when(F.col("n_codes") > 0, F.xxhash64("codes_sha256"))))
+    known = known.withColumn("class", F.when(F.col("n_codes") > 0, F.xxhash64("codes_sha256")))
+    known = cut(known.withColumn("_row", F.monotonically_increasing_id()))  # numbers near each other, which pack well
     parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(SALT, BUCKETS * parts)
-    classes = small_batches(known).where("class is not null").groupBy("class").agg(F.min("id").alias("copy_of"), F.min(F.when(F.col("id") % every == 0, F.col("id"))).alias("asked"), F.first("codes").alias("codes"))
-    classes = cut(classes.withColumn("n", F.monotonically_increasing_id()))  # numbers near each other, which pack well
-    postings = classes.select("n", "asked", "codes").mapInArrow(partial(_postings, buckets=buckets), "bucket long, of int, data binary")
-    met = postings.repartition(parts, "bucket").sortWithinPartitions("bucket", "of").mapInArrow(partial(_meet, buckets=buckets), "at long, data binary")
-    needed = cut(met.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_candidates, "at long, n long, others binary"))
-    coded = needed.join(_among(classes.select("n", "codes", "asked"), needed), "n").select("at", "n", "others", "codes", "asked")
-    ordered = coded.repartition(parts, "at").sortWithinPartitions("at", F.col("others").isNotNull())
-    found = ordered.mapInArrow(partial(_aligned, bit_error=bit_error), "b long, a long, id long, offset long, votes long, bit_error double, start long, length long")
+    # a class has the number of one of its rows, so that neither are its codes exchanged to find it, nor written again
+    classes = cut(known.where("class is not null").groupBy("class").agg(F.min("id").alias("copy_of"), F.min(F.when(F.col("id") % every == 0, F.col("id"))).alias("asked"), F.min("_row").alias("n")))
+    coded = small_batches(known).select(F.col("_row").alias("n"), "codes")
+    posted = lambda of, rows: _among(coded, rows).mapInArrow(partial(_postings, buckets=buckets, of=of), "bucket long, of int, data binary")
+    postings = posted(1, classes).union(posted(0, classes.where("asked is not null")))
+    met = postings.repartition(parts, "bucket").sortWithinPartitions("bucket", "of").mapInArrow(partial(_meet, parts=parts), "at long, data binary")
+    needed = cut(met.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(partial(_candidates, every=every), "leader long, tile long, n long, others binary"))
+    asked = needed.where("others is null").distinct().join(classes.select("n", "asked"), "n")
+    dealt = asked.unionByName(needed.where("others is not null"), allowMissingColumns=True).join(_among(coded, needed), "n")
+    dealt = dealt.select("leader", "tile", "n", "others", "codes", "asked").repartition(parts, "leader", "tile").sortWithinPartitions("leader", "tile", F.col("others").isNotNull())
+    found = dealt.mapInArrow(partial(_aligned, bit_error=bit_error), "b long, a long, id long, offset long, votes long, bit_error double, start long, length long")
     lists = cut(found.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "offset", "votes", "bit_error", "start", "length"))).alias("matches"), F.min("a").alias("a"), F.collect_list("a").alias("all")))
     # a class and all that it matches are one component: each is joined with the smallest of these, so that edges grow with rows
     edges = lists.select("a", "b").union(lists.select("a", F.explode("all").alias("b")).where("a != b")).distinct()
@@ -385,4 +428,4 @@ def matches(known: DataFrame, every: int = EVERY, bit_error: float = BIT_ERROR)
     told = told.join(smallest, "label").join(lists, F.col("n") == F.col("b"), "left").select(F.col("class").alias("_class"), "copy_of", "component_id", "matches")
     empty = F.array().cast("array<struct<id:bigint,offset:bigint,votes:bigint,bit_error:double,start:bigint,length:bigint>>")
     whole = known.join(told, F.col("class") == F.col("_class"), "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return whole.withColumn("matches", F.when(F.col("n_codes") > 0, F.coalesce("matches", empty))).drop("class", "_class")
+    return whole.withColumn("matches", F.when(F.col("n_codes") > 0, F.coalesce("matches", empty))).drop("class", "_class", "_row")

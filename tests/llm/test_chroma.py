@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shockwire.llm import chroma
@@ -169,6 +170,66 @@ def test_no_other_codes_are_exchanged(spark):
     assert chroma._among(classes, needed.limit(0)).count() == 0
 
 
+def _shuffled(spark, f):
+    """Bytes that f's stages write for exchanges."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    out = f()
+    return out, written() - before
+
+
+def test_codes_of_a_group_do_not_go_to_each_bucket(spark):
+    """1,000 near copies, 50 of them to look for, and 64 partitions: codes went once to each of 256 buckets, and once to find
+    classes. Lone codes that many others hold, often in one recording of a pair and once in the other, need no alignment."""
+    rnd = np.random.default_rng(8)
+    code = lambda n: rnd.integers(0, 1 << 32, n, dtype=np.uint64).astype("<u4")
+    family, lone = code(30), code(1)
+    rows = [(k, np.concatenate([family, code(70)])) for k in range(1000)]
+    rows += [(1000 + k, np.concatenate([code(100), lone.repeat(1 if k % 20 else 12)])) for k in range(400)]
+    rows = [(i, x.astype("<u4").tobytes()) for i, x in rows]
+    known = spark.createDataFrame([(i, len(x) // 4, x, hashlib.sha256(x).hexdigest()) for i, x in rows], "id long, n_codes long, codes binary, codes_sha256 string").repartition(4)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got, shuffled = _shuffled(spark, lambda: chroma.matches(known).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    told = {r.id: {m.id for m in r.matches} for r in got}
+    want = lambda k: set(range(0, 1000, 20)) if k < 1000 else set() if k % 20 else set(range(1000, 1400, 20))
+    assert len(told) == 1400 and all(told[k] == want(k) - {k} for k in told)
+    assert shuffled < 9 * sum(len(x) for _, x in rows)  # 7.0 times; 12.5 when they went to each bucket
+
+
+def test_tiles_hold_every_pair_once(monkeypatch):
+    """Pairs of three groups and lone ones, in many pieces, with sums in between: each pair with enough votes is in one tile, with
+    both classes, and none other is."""
+    monkeypatch.setattr(chroma, "PAIRS", 50)
+    monkeypatch.setattr(chroma, "TILE", 4)
+    rnd = np.random.default_rng(9)
+    pairs = {(a, b): int(rnd.integers(1, 6)) for g in range(3) for a in range(1000 * g, 1000 * g + 400, 20) for b in range(1000 * g, 1000 * g + 400) if a != b and rnd.random() < 0.7}
+    pairs |= {(20 * int(rnd.integers(300)), int(b)): 3 for b in range(5000, 5100)}
+    pieces, at = [], {}
+    for (a, b), votes in pairs.items():
+        pieces += [(b, a)] * votes
+    rnd.shuffle(pieces)
+    for k in range(0, len(pieces), 90):
+        b, a, votes, enough = chroma._summed(*np.array(pieces[k : k + 90]).T, np.ones(len(pieces[k : k + 90]), np.uint8), np.full(len(pieces[k : k + 90]), 3, np.uint8))
+        for part in range(2):
+            x = b % 2 == part
+            at.setdefault(part, []).append(chroma._pack(b[x], a[x].astype("<i8"), votes[x], enough[x]))
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k in at for _ in at[k]], pa.int64()), pa.array([d for k in at for d in at[k]], pa.binary())], names=["at", "data"])
+    rows = [tuple(r.values()) for out in chroma._candidates(iter([batch]), 20) for r in out.to_pylist()]
+    held = {r[:3] for r in rows if r[3] is None}
+    told = [(int(a), n, leader, tile) for leader, tile, n, others in rows if others is not None for a in chroma._unpack(others)[0]]
+    assert sorted(t[:2] for t in told) == sorted(p for p, votes in pairs.items() if votes >= 3)
+    assert {(leader, tile, a) for a, _, leader, tile in told} == held and len({t[2:] for t in told}) > 20
+
+
 def test_packed_columns_come_back():
     rnd = np.random.default_rng(7)
     for n in (0, 1, 1000):
